@@ -36,10 +36,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
+def clean_double_sql(name: str) -> str:
+    quoted = "`" + name.replace("`", "``") + "`"
+    return f"nanvl(CAST({quoted} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
 def clean_double(name: str) -> Column:
-    """A numeric cell as double, NaN read as missing."""
-    x = q(name).cast("double")
-    return F.when(~F.isnan(x), x)
+    """A numeric cell as double, NaN read as missing (one parsed expression: wide tables build fast)."""
+    return F.expr(clean_double_sql(name))
 
 
 def rounded(c: Column, digits: int = 6) -> Column:

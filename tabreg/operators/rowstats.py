@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabreg.functions.columns import clean_double, is_numeric, q
+from tabreg.functions.columns import clean_double_sql, is_numeric, q
 from tabreg.operators.order import BUCKET, HALO, INDEX, order_buckets, with_halo
 from tabreg.roles import Roles
 
@@ -37,7 +37,7 @@ def row_features(df: DataFrame, roles: Roles, cols: Sequence[str] | None = None,
     weights = [float(c) for c in names]
     p = len(names)
     extra = list(dict.fromkeys((*roles.row_id, *roles.order_by, *roles.categorical, roles.target)))
-    base = df.select(*[q(c) for c in extra], F.array(*[clean_double(c) for c in names]).alias("a"))
+    base = df.select(*[q(c) for c in extra], F.expr(f"array({', '.join(map(clean_double_sql, names))})").alias("a"))
     base = base.withColumn("v", F.array_compact("a")).withColumn("n", F.size("v").cast("double"))
     base = base.withColumn("Mean", F.try_divide(_total(F.col("v")), F.col("n"))) \
         .withColumn("s", F.array_sort("v")).withColumn("whole", F.col("n") == p)
@@ -67,7 +67,7 @@ def row_features(df: DataFrame, roles: Roles, cols: Sequence[str] | None = None,
                * 100.0 / p).otherwise(0.0).alias("Percent_Close_to_Median"),
         F.when(n < 3, F.lit(None)).when(flat, F.lit(0.0)).otherwise(unbiased).alias("Skew"),
         F.when(whole, _quantile(F.col("s"), 0.9)).alias("Flux_Percentile"),
-        F.when(whole, _total(F.zip_with("a", F.array(*[F.lit(w) for w in weights]), lambda x, y: x * y))
+        F.when(whole, _total(F.zip_with("a", F.expr(f"array({', '.join(f'{w!r}D' for w in weights)})"), lambda x, y: x * y))
                / F.lit(sum(weights))).alias("Weighted_Average"))
     parts = order_buckets(out, roles.order_by, min_rows=1, n=df.count(), **options)
     flux = F.col("Flux_Percentile")

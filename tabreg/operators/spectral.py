@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabreg.functions.columns import clean_double, is_numeric, q
+from tabreg.functions.columns import clean_double, clean_double_sql, is_numeric, q
 from tabreg.functions.distributions import correlation_p_value
 from tabreg.operators.order import INDEX, with_row_index
 from tabreg.roles import Roles
 
 FEW_PAIRS = 64
+SEPARATOR = "\u0001"
 
 
 def index_value(a: str, b: str) -> Column:
@@ -72,21 +73,20 @@ def _many(df: DataFrame, bands: list[str], target: str) -> DataFrame:
                     n, n * mz, n * my, (dz * dz).sum(0), (dy * dy).sum(0), (dz * dy).sum(0),
                     n * mz * mz, n * my * my, n * mz * my])
                 at += p - 1 - i
-        names = ["pair", "n", "sz", "sy", "vz", "vy", "vzy", "mzz", "myy", "mzy"]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int32)), *map(pa.array, total)], names=names)
+        names = ["i", "j", "n", "sz", "sy", "vz", "vy", "vzy", "mzz", "myy", "mzy"]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), *map(pa.array, total)], names=names)
 
-    schema = "pair int, n double, sz double, sy double, vz double, vy double, vzy double, " \
+    schema = "i int, j int, n double, sz double, sy double, vz double, vy double, vzy double, " \
              "mzz double, myy double, mzy double"
-    parts = df.select(*[clean_double(c) for c in (*bands, target)]).mapInArrow(fold, schema)
-    s = parts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in
+    parts = df.selectExpr(*[f"{clean_double_sql(c)} AS x{i}" for i, c in enumerate((*bands, target))]).mapInArrow(fold, schema)
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in
                                     ("n", "sz", "sy", "vz", "vy", "vzy", "mzz", "myy", "mzy")])
     n = F.nullif(F.col("n"), F.lit(0.0))
-    names = F.array(*[F.lit(b) for b in bands])
-    first = F.array(*[F.lit(int(i)) for i in left])
-    second = F.array(*[F.lit(int(i)) for i in right])
+    names = F.split(F.lit(SEPARATOR.join(bands)), SEPARATOR)
     return s.select(
-        F.get(names, F.get(first, F.col("pair"))).alias("band1"),
-        F.get(names, F.get(second, F.col("pair"))).alias("band2"), "n",
+        F.get(names, F.col("i")).alias("band1"),
+        F.get(names, F.col("j")).alias("band2"), "n",
         ((F.col("vzy") + F.col("mzy") - F.col("sz") * F.col("sy") / n) / n).alias("szy"),
         ((F.col("vz") + F.col("mzz") - F.col("sz") * F.col("sz") / n) / n).alias("szz"),
         ((F.col("vy") + F.col("myy") - F.col("sy") * F.col("sy") / n) / n).alias("syy"))

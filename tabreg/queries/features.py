@@ -17,8 +17,8 @@ BAND_SQL = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS \"{b}\"" for i, b i
 
 def bands(spark, sf):
     """embeddings as a spectral table: 64 band columns named by wavelength."""
-    return load(spark, sf, "embeddings").select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(b) for i, b in enumerate(BANDS)])
+    return load(spark, sf, "embeddings").selectExpr(
+        "vec_id", "label", *[f"CAST(embedding[{i}] AS DOUBLE) AS `{b}`" for i, b in enumerate(BANDS)])
 
 
 def _line(spark, sf):
@@ -84,15 +84,15 @@ def row_features_sql(digits=5):
     med = "list_median(a)"
     weights = "[" + ", ".join(f"{float(b)}" for b in BANDS) + "]"
     return f"""
-WITH b AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS a FROM embeddings),
+WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
  s AS (SELECT vec_id, label, a, list_avg(a) AS m, {med} AS md, list_stddev_samp(a) AS sd,
   list_aggregate(a, 'quantile_cont', 0.9) AS p90 FROM b)
 SELECT vec_id, label, {rr('m')} AS "Mean", {rr('md')} AS "Median", {rr('sd')} AS "Std",
- {rr('len(list_filter(a, x -> abs(x - m) > sd)) / 64.0::DOUBLE')} AS "Percent_Beyond_Std",
+ {rr('len(list_filter(a, lambda x: abs(x - m) > sd)) / 64.0::DOUBLE')} AS "Percent_Beyond_Std",
  {rr('list_max(a) - list_min(a)')} AS "Amplitude", {rr('list_max(a)')} AS "Max", {rr('list_min(a)')} AS "Min",
- {rr('list_max(list_transform(range(2, 65), i -> abs(a[i] - a[i - 1])))')} AS "Max_Slope",
- {rr('list_median(list_transform(a, x -> abs(x - md)))')} AS "MAD",
- {rr('len(list_filter(a, x -> abs(x - md) < 0.5 * md)) * 100.0::DOUBLE / 64')} AS "Percent_Close_to_Median",
+ {rr('list_max(list_transform(range(2, 65), lambda i: abs(a[i] - a[i - 1])))')} AS "Max_Slope",
+ {rr('list_median(list_transform(a, lambda x: abs(x - md)))')} AS "MAD",
+ {rr('len(list_filter(a, lambda x: abs(x - md) < 0.5 * md)) * 100.0::DOUBLE / 64')} AS "Percent_Close_to_Median",
  {rr('coalesce(list_skewness(a), 0)')} AS "Skew", {rr('p90')} AS "Flux_Percentile",
  {rr(f"list_dot_product(a, CAST({weights} AS DOUBLE[])) / list_sum(CAST({weights} AS DOUBLE[]))")} AS "Weighted_Average",
  {rr('coalesce(p90 / nullif(lag(p90) OVER (ORDER BY vec_id), 0) - 1, 0)')} AS "Percent_Difference_Flux_Percentile"

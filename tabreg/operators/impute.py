@@ -32,6 +32,14 @@ def fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
     return df.select(*out)
 
 
+def gap_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Numeric columns that have a missing cell."""
+    if not cols:
+        return []
+    row = df.agg(*[F.max(clean_double(c).isNull().cast("int")).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if row[f"g{i}"]]
+
+
 def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     if not cols:
         return {}
@@ -73,9 +81,9 @@ def impute(df: DataFrame, method: str, k: int = 5, row_id: Sequence[str] = (),
     """Fill or drop missing cells by one of METHODS.  Text columns are left alone except by mode."""
     numeric = [c for c in (cols or numeric_columns(df)) if c in numeric_columns(df)]
     if method == "mean":
-        return fill(df, column_means(df, numeric))
+        return fill(df, column_means(df, gap_columns(df, numeric)))
     if method == "median":
-        return fill(df, {c: v[0] for c, v in column_quantiles(df, numeric, [0.5]).items()})
+        return fill(df, {c: v[0] for c, v in column_quantiles(df, gap_columns(df, numeric), [0.5]).items()})
     if method == "mode":
         return fill(df, column_modes(df, cols))
     if method == "zero":

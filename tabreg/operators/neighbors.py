@@ -3,7 +3,8 @@
 Donor rows are grouped by nearest pivot (and by which of their cells are missing), so every group has
 a bounding box.  Round one looks into the closest groups of a query until it has seen k donors; that
 gives a distance bound.  Round two visits only groups whose box is within the bound.  Nothing is
-approximated: a group is skipped only when no row in it can be among the k nearest.
+approximated: a group is skipped only when no row in it can be among the k nearest.  A donor set that
+was counted and found small is sent to the tasks whole instead, which needs one job.
 
 Groups are cut into blocks of bounded size and queries into chunks of bounded size, so a crowded
 region becomes many small tasks.  Copies of one donor vector are cut to the k first ids, which cannot
@@ -27,6 +28,8 @@ MAX_GROUPS = 20_000
 BLOCK_ROWS = 2_048
 CHUNK_ROWS = 256
 SCRATCH_CELLS = 2_000_000
+SMALL_DONORS = 20_000
+SMALL_CELLS = 2_000_000
 
 
 def _vectors(df: DataFrame, features: Sequence[str], row_id: str, payload: str | None = None) -> DataFrame:
@@ -151,7 +154,8 @@ def _pivot_rows(donors: DataFrame, count: int) -> np.ndarray:
 
 
 def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], k: int, query_id: str, donor_id: str,
-            payload: str | None = None, metric: int = 2, exclude_self: bool = False) -> DataFrame:
+            payload: str | None = None, metric: int = 2, exclude_self: bool = False,
+            small_donors: int = SMALL_DONORS) -> DataFrame:
     """(id, neighbor, rank, dist, value): the k nearest donors of every query, ties by donor id."""
     p = len(features)
     if k < 1 or metric not in (1, 2):
@@ -160,6 +164,12 @@ def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], k: i
     every = _vectors(donors, features, donor_id, payload)
     if payload is None:
         every = every.withColumn("value", F.lit(None).cast("double"))
+    limit = min(small_donors, SMALL_CELLS // p)
+    few = every.limit(limit + 1).toPandas() if limit else None
+    if few is not None and len(few) == 0:
+        raise ValueError("no donor rows")
+    if few is not None and len(few) <= limit:
+        return _against_all(_vectors(queries, features, query_id), every, few, p, k, metric, exclude_self)
     # NaN equals NaN inside grouping keys, so copies with the same missing cells count as copies
     copies = Window.partitionBy("vec").orderBy("id")
     unique = (every.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= want).drop("copy"))
@@ -223,6 +233,34 @@ def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], k: i
         "id", "neighbor", "rank", "dist", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
 
 
+def _against_all(ask: DataFrame, every: DataFrame, few, p: int, k: int, metric: int, exclude_self: bool) -> DataFrame:
+    """Every query against a small, counted donor set held by each task."""
+    did = few["id"].to_numpy()
+    d = np.vstack([np.asarray(v, float) for v in few["vec"]])
+    dv = few["value"].to_numpy(float)
+    id_type, did_type = ask.schema["id"].dataType.simpleString(), every.schema["id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCRATCH_CELLS // (len(d) * p))
+        for batch in batches:
+            qid, x = batch.column(0).to_numpy(zero_copy_only=False), _stack(batch.column(1), p)
+            for at in range(0, len(x), step):
+                out = []
+                for i, line in enumerate(distances(x[at:at + step], d, metric)):
+                    if exclude_self:
+                        line[did == qid[at + i]] = np.inf
+                    best = _best(line, did, k)
+                    out.append((np.repeat(qid[at + i:at + i + 1], len(best)), did[best],
+                                np.arange(1, len(best) + 1, dtype=np.int32), line[best], dv[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(5)],
+                                                 names=["id", "neighbor", "rank", "dist", "value"])
+
+    # the comparisons, not the rows, are the work: use every core even if the scan is one split
+    spread = ask.repartition(ask.sparkSession.sparkContext.defaultParallelism, "id")
+    found = spread.mapInArrow(compare, f"id {id_type}, neighbor {did_type}, rank int, dist double, value double")
+    return found.select("id", "neighbor", "rank", "dist", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+
+
 def _edges(p: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabreg.functions.columns import clean_double, clean_double_sql, is_numeric, q
 from tabreg.functions.distributions import correlation_p_value
@@ -26,7 +27,7 @@ def index_value(a: str, b: str) -> Column:
     return F.try_divide(x - y, x + y)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p_value(a, b) for a, b in zip(r, n)], dtype="float64")
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tabreg.queries.catalog import ORACLES, QUERIES
 
-MODULES = ("cleaning", "ordered", "features")
+MODULES = ("cleaning", "ordered", "features", "modelling")
 
 
 def _load() -> None:

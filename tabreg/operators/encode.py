@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabreg.functions.columns import clean_double, q
+from tabreg.functions.columns import clean_double_sql, q
 from tabreg.operators.order import INDEX, with_row_index
 
 MAX_DUMMIES = 10_000
@@ -28,10 +28,10 @@ class Scaler:
         return df.select(*[self.apply(c).alias(c) if c in self.shift else q(c) for c in df.columns])
 
     def apply(self, c: str) -> Column:
-        x = clean_double(c)
+        x = clean_double_sql(c)
         if not self.width[c]:
-            return F.when(x.isNotNull(), F.lit(0.0))
-        return (x - F.lit(self.shift[c])) / F.lit(self.width[c])
+            return F.expr(f"CASE WHEN {x} IS NOT NULL THEN 0.0D END")
+        return F.expr(f"({x} - ({float(self.shift[c])!r}D)) / ({float(self.width[c])!r}D)")
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard") -> Scaler:
@@ -40,9 +40,8 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard") -> Sc
         raise ValueError(f"unknown scaler {kind!r}")
     if not cols:
         return Scaler({}, {})
-    row = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.min(clean_double(c)).alias(f"lo{i}"), F.max(clean_double(c)).alias(f"hi{i}"),
-        F.avg(clean_double(c)).alias(f"m{i}"), F.stddev_pop(clean_double(c)).alias(f"s{i}"))]).first()
+    row = df.agg(*[F.expr(f"{fn}({clean_double_sql(c)}) AS {name}{i}") for i, c in enumerate(cols)
+                   for fn, name in (("min", "lo"), ("max", "hi"), ("avg", "m"), ("stddev_pop", "s"))]).first()
     shift, width = {}, {}
     for i, c in enumerate(cols):
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]

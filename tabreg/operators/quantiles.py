@@ -19,6 +19,7 @@ from tabreg.functions.columns import clean_double
 ACCURACY = 20_000
 GROUP_ACCURACY = 10_000
 MARGIN = 5
+SMALL = 20_000  # up to here the whole group is counted; ranks next to each other would slip the sketch's bracket
 
 
 def _fractions(qs: Sequence[float], accuracy: int) -> list[float]:
@@ -45,7 +46,8 @@ def _pick_ranks(counted: DataFrame, keys: list[str], wanted: Column, rows: Colum
         F.max("cum").alias("top"), F.first("lowr").alias("lowr"), F.first("highr").alias("highr"),
         F.first("frac").alias("frac"))
     held = (F.col("below") <= F.col("lowr")) & (F.col("top") > F.col("highr"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * F.col("frac"))
     checked = F.when(held, value).otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
     return out.select(*keys, "slot", checked.alias("value"))
 
@@ -65,6 +67,8 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
         if row[f"n{i}"]:
             for j, p in enumerate(qs):
                 lo, hi = row[f"p{i}"][2 * j], row[f"p{i}"][2 * j + 1]
+                if row[f"n{i}"] <= SMALL:
+                    lo, hi = float("-inf"), float("inf")
                 slots.append((i * len(qs) + j, clean_double(c), lo, hi, float(p), row[f"n{i}"]))
     out: dict[str, list[float | None]] = {c: [None] * len(qs) for c in cols}
     if not slots:
@@ -99,7 +103,9 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], p:
         t = q2("l", k).eqNullSafe(q2("r", k))
         same = t if same is None else same & t
     entries = [_entry(i, F.when(~F.isnan(q2("l", c).cast("double")), q2("l", c).cast("double")),
-                      F.col(f"r.__p{i}")[0], F.col(f"r.__p{i}")[1]) for i, c in enumerate(cols)]
+                      F.when(F.col(f"r.__n{i}") <= SMALL, float("-inf")).otherwise(F.col(f"r.__p{i}")[0]),
+                      F.when(F.col(f"r.__n{i}") <= SMALL, float("inf")).otherwise(F.col(f"r.__p{i}")[1]))
+               for i, c in enumerate(cols)]
     n = F.array(*[F.col(f"r.__n{i}") for i in range(len(cols))])
     counted = (left.join(right, same)
                .select(*[q2("l", k).alias(k) for k in keys], n.alias("__n"),

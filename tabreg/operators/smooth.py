@@ -91,6 +91,19 @@ def _decayed(values: np.ndarray, keep: float, carry: float) -> np.ndarray:
     return pd.Series(seeded).ewm(alpha=a, adjust=False).mean().to_numpy()[1:] / a
 
 
+FADED = 1e-280
+
+
+def _ratio(num: np.ndarray, den: np.ndarray) -> np.ndarray:
+    return np.divide(num, den, out=np.full(len(num), np.nan), where=den > FADED)
+
+
+def _held(mean: np.ndarray, before: float) -> np.ndarray:
+    """Where all weight has faded away, the last mean still stands."""
+    at = np.maximum.accumulate(np.where(np.isnan(mean), -1, np.arange(len(mean))))
+    return np.where(at >= 0, mean[np.maximum(at, 0)], before)
+
+
 def _series(table: pa.Table, col: str) -> tuple[np.ndarray, np.ndarray]:
     x = table[col].cast(pa.float64()).to_numpy(zero_copy_only=False)
     seen = ~np.isnan(x)
@@ -110,7 +123,7 @@ def exponential(df: DataFrame, alpha: float, order_by: Sequence[str],
     names = _targets(df, order_by, cols)
     parts = order_buckets(df, order_by, **options)
     placed = with_halo(parts, 0, 0).drop(HALO)
-    starts = {c: [(0.0, 0.0)] * len(parts.counts) for c in names}
+    starts = {c: [(0.0, 0.0, np.nan)] * len(parts.counts) for c in names}
     if len(parts.counts) > 1:
         starts = _chain(_end_states(placed, names, keep), parts, names, keep)
     fields = [T.StructField(f.name, T.DoubleType()) if f.name in names else f for f in df.schema.fields]
@@ -120,9 +133,8 @@ def exponential(df: DataFrame, alpha: float, order_by: Sequence[str],
         bucket = table[BUCKET][0].as_py()
         for c in names:
             x, seen = _series(table, c)
-            num0, den0 = starts[c][bucket]
-            num, den = _decayed(x, keep, num0), _decayed(seen.astype(float), keep, den0)
-            mean = np.divide(num, den, out=np.full(len(x), np.nan), where=den > 0)
+            num0, den0, mean0 = starts[c][bucket]
+            mean = _held(_ratio(_decayed(x, keep, num0), _decayed(seen.astype(float), keep, den0)), mean0)
             at = table.schema.get_field_index(c)
             table = table.set_column(at, c, pa.array(mean, from_pandas=True))
         return table.drop_columns([INDEX, BUCKET])
@@ -132,15 +144,16 @@ def exponential(df: DataFrame, alpha: float, order_by: Sequence[str],
 
 
 def _end_states(placed: DataFrame, names: list[str], keep: float) -> DataFrame:
-    schema = "bucket int, " + ", ".join(f"num{i} double, den{i} double" for i in range(len(names)))
+    schema = "bucket int, " + ", ".join(f"num{i} double, den{i} double, mean{i} double" for i in range(len(names)))
 
     def ends(key, table):
         table = table.sort_by(INDEX)
         row = {"bucket": pa.array([key[0].as_py()], pa.int32())}
         for i, c in enumerate(names):
             x, seen = _series(table, c)
-            row[f"num{i}"] = [float(_decayed(x, keep, 0.0)[-1])]
-            row[f"den{i}"] = [float(_decayed(seen.astype(float), keep, 0.0)[-1])]
+            num, den = _decayed(x, keep, 0.0), _decayed(seen.astype(float), keep, 0.0)
+            row[f"num{i}"], row[f"den{i}"] = [float(num[-1])], [float(den[-1])]
+            row[f"mean{i}"] = [float(_held(_ratio(num, den), np.nan)[-1])]
         return pa.table(row)
 
     return placed.select(BUCKET, INDEX, *[q(c) for c in names]).groupBy(BUCKET).applyInArrow(ends, schema)
@@ -150,12 +163,15 @@ def _chain(states: DataFrame, parts: Buckets, names: list[str], keep: float) ->
     by_bucket = {r["bucket"]: r for r in states.collect()}  # one row per bucket
     out = {c: [] for c in names}
     for i, c in enumerate(names):
-        num = den = 0.0
+        num, den, mean = 0.0, 0.0, np.nan
         for b, size in enumerate(parts.counts):
-            out[c].append((num, den))
-            fade = keep ** size
-            num = num * fade + by_bucket[b][f"num{i}"]
-            den = den * fade + by_bucket[b][f"den{i}"]
+            out[c].append((num, den, mean))
+            fade, own = keep ** size, by_bucket[b]
+            num, den = num * fade + own[f"num{i}"], den * fade + own[f"den{i}"]
+            if den > FADED:
+                mean = num / den
+            elif not np.isnan(own[f"mean{i}"]):
+                mean = own[f"mean{i}"]
     return out
 
 

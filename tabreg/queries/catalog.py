@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabreg.functions.columns import rounded
+from tabreg.sources.shipping import ship_package
 from tabreg.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,7 @@ def register(name: str, sql: str | None = None):
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; these hold no NaN, so scans stay bare and filters reach the reader."""
+    ship_package(spark)
     return read_table(spark, f"{sf_dir}/{name}.parquet", normalise_nan=False)
 
 

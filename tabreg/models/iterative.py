@@ -44,7 +44,7 @@ def _cost(loss: str, e: np.ndarray, eps: float) -> np.ndarray:
 
 def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "l2", alpha: float = 1e-4,
             l1_ratio: float = 0.15, eps: float = 0.1, rounds: int = 40, tol: float = 1e-4,
-            patience: int = 5, step: float = 0.2, power: float = 0.5, batch_rows: int = 256,
+            patience: int = 5, step: float = 0.2, power: float = 0.5, batch_rows: int = 32,
             fit_intercept: bool = True):
     """Mini-batch descent with parameter averaging (Zinkevich et al. 2010): (coefficients, intercept).
 
@@ -67,7 +67,7 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "
         rate, start = step / (1.0 + r) ** power, w.copy()
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, seen, cost, path, steps = start.copy(), 0, 0.0, np.zeros_like(start), 0
+            own, seen, cost = start.copy(), 0, 0.0
             for batch in batches:
                 x, y = matrix(batch, p), batch.column(p).to_numpy(zero_copy_only=False).astype(float)
                 x = (x - mean) / wide
@@ -84,11 +84,8 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "
                         own[:d] = np.sign(own[:d]) * np.maximum(np.abs(own[:d]) - move * l1, 0.0)
                     if fit_intercept:
                         own[d] -= move * slope.mean()
-                    path += own
-                    steps += 1
             if seen:
-                mean_path = path / steps
-                row = np.concatenate([mean_path * seen, [seen, cost]])
+                row = np.concatenate([own * seen, [seen, cost]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)], names=["k", "v"])
 

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is named (local runs)."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
@@ -17,9 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tabreg-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tabreg-")
+    return _LOCAL[app]
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

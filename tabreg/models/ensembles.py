@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from tabreg.functions.columns import clean_double, clean_double_sql, q
 from tabreg.models.base import Fitted, FittedLinear, FittedSpark, Regressor, assemble
 from tabreg.models.linear import Ridge
-from tabreg.sources.storage import cut_lineage
+from tabreg.sources.storage import cut_lineage, spread
 
 LABEL = "__y"
 
 
 def prepared(df: DataFrame, features, target) -> DataFrame:
-    return assemble(df, features).withColumn(LABEL, clean_double(target))
+    narrow = df.select(*[F.expr(f"{clean_double_sql(c)} AS `{c}`") for c in features],
+                       clean_double(target).alias(LABEL))
+    return assemble(spread(narrow), features).select("__x", LABEL)
 
 
 class SparkRegressor(Regressor):
@@ -241,12 +243,12 @@ class FittedMedianTrees(Fitted):
 class AdaBoost(Regressor):
     """AdaBoost.R2 (Drucker 1997) with row weights instead of resampling.
 
-    Each round adds a weighted tree; the weight column is written out every few rounds so that the
-    plan does not grow with the number of rounds.
+    Each round adds a weighted tree; the weight column is written out after it, so that neither
+    the plan nor the work of a round grows with the number of rounds.
     """
 
     defaults = {"n_estimators": 50, "learning_rate": 1.0, "loss": "linear", "max_depth": 3, "random_state": 42}
-    rounds_per_cut = 5
+    rounds_per_cut = 1
 
     def fit(self, df, features, target):
         o = self.params
@@ -254,7 +256,7 @@ class AdaBoost(Regressor):
             raise ValueError("loss must be linear, square or exponential")
         rows = df.select(*[F.expr(f"{clean_double_sql(c)} AS `{c}`") for c in features],
                          clean_double(target).alias(LABEL), F.lit(1.0).alias("__w"))
-        rows = cut_lineage(rows)
+        rows = cut_lineage(spread(rows))
         models, votes = [], []
         for i in range(int(o["n_estimators"])):
             tree = M.DecisionTreeRegressor(featuresCol="__x", labelCol=LABEL, weightCol="__w",

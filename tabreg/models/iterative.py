@@ -16,6 +16,7 @@ from tabreg.models.gram import column_shift, grams, matrix, numeric_view, total
 from tabreg.models.linear import LinearRegression, least_squares
 from tabreg.operators.encode import fit_scaler
 from tabreg.operators.quantiles import column_quantiles
+from tabreg.sources.storage import cut_lineage, spread
 
 
 def _slope(loss: str, e: np.ndarray, eps: float) -> np.ndarray:
@@ -44,7 +45,7 @@ def _cost(loss: str, e: np.ndarray, eps: float) -> np.ndarray:
 
 def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "l2", alpha: float = 1e-4,
             l1_ratio: float = 0.15, eps: float = 0.1, rounds: int = 40, tol: float = 1e-4,
-            patience: int = 5, step: float = 0.2, power: float = 0.5, batch_rows: int = 32,
+            patience: int = 5, step: float = 1.0, power: float = 0.5, batch_rows: int = 32,
             fit_intercept: bool = True):
     """Mini-batch descent with parameter averaging (Zinkevich et al. 2010): (coefficients, intercept).
 
@@ -57,7 +58,7 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "
     mean = np.array([scaler.shift[c] for c in features])
     wide = np.array([scaler.width[c] or 1.0 for c in features])
     ymean, ywide = scaler.shift[target], scaler.width[target] or 1.0
-    view = numeric_view(df, features, target)
+    view = cut_lineage(spread(numeric_view(df, features, target)))
     d = p
     w = np.zeros(d + 1)
     l1 = alpha * {"l2": 0.0, "l1": 1.0, "elasticnet": l1_ratio}[penalty] if penalty else 0.0
@@ -78,7 +79,7 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "
                     xb, yb = x[at:at + batch_rows], y[at:at + batch_rows]
                     slope = _slope(loss, xb @ own[:d] + own[d] - yb, eps)
                     grad = xb.T @ slope / len(yb) + l2 * own[:d]
-                    move = rate / max(1.0, np.sqrt((xb * xb).sum(1).mean()))
+                    move = rate / max(1.0, (xb * xb).sum(1).mean())
                     own[:d] -= move * grad
                     if l1:
                         own[:d] = np.sign(own[:d]) * np.maximum(np.abs(own[:d]) - move * l1, 0.0)
@@ -108,7 +109,7 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "
 
 class SGD(Regressor):
     defaults = {"loss": "squared_error", "penalty": "l2", "alpha": 1e-4, "l1_ratio": 0.15, "epsilon": 0.1,
-                "max_iter": 40, "tol": 1e-4, "eta0": 0.2, "power_t": 0.5, "fit_intercept": True,
+                "max_iter": 40, "tol": 1e-4, "eta0": 1.0, "power_t": 0.5, "fit_intercept": True,
                 "n_iter_no_change": 5}
 
     def fit(self, df, features, target):
@@ -122,16 +123,17 @@ class SGD(Regressor):
 
 
 def reweighted(df: DataFrame, features, target: str, *, eps: float = 0.0, tau: float = 0.5, strength: float = 0.0,
-               rounds: int = 30, tol: float = 1e-5, fit_intercept: bool = True, mapper: Callable | None = None):
+               rounds: int = 30, tol: float = 1e-4, fit_intercept: bool = True, mapper: Callable | None = None):
     """Absolute-type losses by reweighted least squares (Perez-Cruz et al. 2000): one scan per round.
 
     Minimises strength * |b|^2 / 2 + sum of losses, where an error beyond eps costs its excess, times
     2 tau below and 2 (1 - tau) above the rule.  Every round replaces the loss by a parabola that
     touches it at the current errors, so the objective never rises.
     """
+    df = cut_lineage(spread(df.select(*[F.expr(f"{clean_double_sql(c)} AS `{c}`") for c in (*features, target)])))
     centre = column_shift(df, features, target)
     g = total(grams(df, features, target, mapper=mapper, centre=centre))
-    spread = np.sqrt(max(g.variance, 1e-300))
+    unit = np.sqrt(max(g.variance, 1e-300))
 
     def solve(g):
         c, v, _ = g.moments(fit_intercept)
@@ -140,7 +142,7 @@ def reweighted(df: DataFrame, features, target: str, *, eps: float = 0.0, tau: f
 
     coef, b = solve(g)
     for r in range(rounds):
-        floor = spread * max(1e-6, 0.03 * 0.5 ** r)
+        floor = unit * max(1e-4, 0.03 * 0.4 ** r)
 
         def adjust(x, y, coef=coef, b=b, floor=floor):
             e = y - x @ coef - b
@@ -153,9 +155,12 @@ def reweighted(df: DataFrame, features, target: str, *, eps: float = 0.0, tau: f
         g = total(grams(df, features, target, mapper=mapper, adjust=adjust, centre=centre))
         if g.n <= 0:  # every row lies inside the tube
             break
-        old = np.append(coef, b)
+        old, shift = coef, b
         coef, b = solve(g)
-        if np.abs(np.append(coef, b) - old).max() <= tol * max(1.0, np.abs(old).max()) and floor <= spread * 1e-3:
+        step = coef - old
+        c, _, _ = g.moments(True)
+        moved = np.sqrt(max(step @ c @ step, 0.0)) + abs(b - shift + (g.xmean @ step))
+        if moved <= tol * unit and floor <= unit * 1e-4:
             break
     return coef, b
 
@@ -313,8 +318,8 @@ class Ransac(Regressor):
         limit = o["residual_threshold"]
         if limit is None:
             mid = column_quantiles(df, [target], [0.5])[target][0]
-            spread = df.select(F.abs(clean_double(target) - F.lit(mid)).alias("d"))
-            limit = column_quantiles(spread, ["d"], [0.5])["d"][0]
+            off = df.select(F.abs(clean_double(target) - F.lit(mid)).alias("d"))
+            limit = column_quantiles(off, ["d"], [0.5])["d"][0]
         view = numeric_view(df, features, target)
         key = F.xxhash64(F.lit(int(o["random_state"])), *[F.col(c) for c in view.columns],
                          F.monotonically_increasing_id())
@@ -369,10 +374,11 @@ class Dummy(Regressor):
 
 # --- target transforms ---------------------------------------------------------------------------
 
-def yeo_johnson(y: Column, lam: float) -> Column:
-    up = F.log1p(y) if abs(lam) < 1e-12 else (F.pow(y + 1, F.lit(lam)) - 1) / lam
-    down = -F.log1p(-y) if abs(lam - 2) < 1e-12 else -(F.pow(1 - y, F.lit(2 - lam)) - 1) / (2 - lam)
-    return F.when(y >= 0, up).otherwise(down)
+def yeo_johnson(y: str, lam: float) -> str:
+    up = f"log1p({y})" if abs(lam) < 1e-12 else f"(power({y} + 1, {lam!r}D) - 1) / ({lam!r}D)"
+    k = 2 - lam
+    down = f"-log1p(-({y}))" if abs(k) < 1e-12 else f"-(power(1 - ({y}), {k!r}D) - 1) / ({k!r}D)"
+    return f"CASE WHEN {y} >= 0 THEN {up} ELSE {down} END"
 
 
 def yeo_johnson_back(z: Column, lam: float) -> Column:
@@ -382,8 +388,8 @@ def yeo_johnson_back(z: Column, lam: float) -> Column:
     return F.when(z >= 0, up).otherwise(down)
 
 
-def box_cox(y: Column, lam: float) -> Column:
-    return F.log(y) if abs(lam) < 1e-12 else (F.pow(y, F.lit(lam)) - 1) / lam
+def box_cox(y: str, lam: float) -> str:
+    return f"ln({y})" if abs(lam) < 1e-12 else f"(power({y}, {lam!r}D) - 1) / ({lam!r}D)"
 
 
 def box_cox_back(z: Column, lam: float) -> Column:
@@ -391,17 +397,39 @@ def box_cox_back(z: Column, lam: float) -> Column:
 
 
 def power_lambda(df: DataFrame, target: str, kind: str) -> float:
-    """Most likely power: two scans over a grid, each scoring every candidate at once."""
-    y = clean_double(target)
-    logs = (F.signum(y) * F.log1p(F.abs(y))) if kind == "yeo-johnson" else F.log(y)
-    fn = yeo_johnson if kind == "yeo-johnson" else box_cox
+    """Most likely power: a few scans over a shrinking grid, each scoring every candidate at once."""
+    view = df.select(clean_double(target).alias("y")).where(F.col("y").isNotNull())
+    yeo = kind == "yeo-johnson"
     low, high = -2.0, 4.0
-    for _ in range(3):
-        grid = np.linspace(low, high, 25)
-        row = df.agg(F.sum(logs).alias("s"), F.count(y).alias("n"),
-                     *[F.var_pop(fn(y, float(g))).alias(f"v{i}") for i, g in enumerate(grid)]).first()
-        scores = [-row["n"] / 2 * np.log(row[f"v{i}"]) + (g - 1) * row["s"] if row[f"v{i}"] else -np.inf
-                  for i, g in enumerate(grid)]
+    for _ in range(4):
+        grid = np.linspace(low, high, 13)
+
+        def moments(batches: Iterator[pa.RecordBatch], grid=grid) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                y = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+                if not len(y):
+                    continue
+                logs = np.sign(y) * np.log1p(np.abs(y)) if yeo else np.log(y)
+                size = np.abs(logs)
+                out = []
+                for g in grid:
+                    e = np.where(y < 0, 2 - g, g) if yeo else np.full(len(y), g)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        z = np.where(np.abs(e) < 1e-12, size if yeo else logs, np.expm1(e * (size if yeo else logs)) / e)
+                    z = np.where(y < 0, -z, z) if yeo else z
+                    out.append((z.mean(), ((z - z.mean()) ** 2).sum()))
+                mean, rest = np.array(out).T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(grid), dtype=np.int32)), pa.array(np.full(len(grid), float(len(y)))),
+                     pa.array(mean * len(y)), pa.array(rest + len(y) * mean * mean),
+                     pa.array(np.full(len(grid), logs.sum()))], names=["k", "n", "s", "ss", "logs"])
+
+        rows = (view.mapInArrow(moments, "k int, n double, s double, ss double, logs double")
+                .groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "logs")]).orderBy("k").collect())
+        scores = []
+        for g, r in zip(grid, rows):
+            variance = r["ss"] / r["n"] - (r["s"] / r["n"]) ** 2
+            scores.append(-r["n"] / 2 * np.log(variance) + (g - 1) * r["logs"] if variance > 0 else -np.inf)
         best = int(np.argmax(scores))
         low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
     return float(grid[best])
@@ -432,7 +460,7 @@ class TransformedTarget(Regressor):
             made, back = F.log(y), F.exp
         elif kind in ("yeo-johnson", "box-cox"):
             lam = power_lambda(df, target, kind)
-            made = (yeo_johnson if kind == "yeo-johnson" else box_cox)(y, lam)
+            made = F.expr((yeo_johnson if kind == "yeo-johnson" else box_cox)(f"({clean_double_sql(target)})", lam))
             back = (lambda z: yeo_johnson_back(z, lam)) if kind == "yeo-johnson" else (lambda z: box_cox_back(z, lam))
         elif kind == "quantile":
             marks = np.linspace(0.0, 1.0, int(self.params["n_quantiles"]))

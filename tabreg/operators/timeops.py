@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,12 +27,20 @@ _STEP = {"30T": "INTERVAL 30 MINUTES", "H": "INTERVAL 1 HOUR", "D": "INTERVAL 1
          "M": "INTERVAL 1 MONTH", "Q": "INTERVAL 3 MONTHS", "Y": "INTERVAL 1 YEAR"}
 
 
+def layout_shape(layout: str) -> str:
+    """Text shape of a layout; only cells of that shape go to the parser, whose failures are slow."""
+    digits = {"yyyy": r"\d{4}", "mm": r"\d{2}", "ss": r"\d{2}"}
+    parts = re.findall(r"yyyy|mm|ss|[MdH]|[^A-Za-z]", layout)
+    return "^" + "".join(digits.get(t, r"\d{1,2}" if t.isalpha() else re.escape(t)) for t in parts) + "$"
+
+
 def date_candidates(text: Column) -> list[tuple[str, Column]]:
     """(layout name, parsed column) in trial order; an unreadable cell parses to NULL."""
     trimmed = F.trim(text)
     out = [("ISO", F.when(trimmed.rlike(ISO_SHAPE), trimmed).try_cast("timestamp_ntz"))]
     for layout in (*MONTH_FIRST, *DAY_FIRST):
-        out.append((layout, F.try_to_timestamp(trimmed, F.lit(layout)).cast("timestamp_ntz")))
+        shaped = F.when(trimmed.rlike(layout_shape(layout)), trimmed)
+        out.append((layout, F.try_to_timestamp(shaped, F.lit(layout)).cast("timestamp_ntz")))
     return out
 
 

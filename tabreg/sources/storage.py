@@ -37,3 +37,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even pieces for work that reads a table many times; a table of many files is left as it is."""
+    files = len(df.inputFiles())
+    return df.hint("rebalance") if files < df.sparkSession.sparkContext.defaultParallelism else df

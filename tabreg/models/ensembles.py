@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabreg.functions.columns import clean_double, clean_double_sql, q
 from tabreg.models.base import Fitted, FittedLinear, FittedSpark, Regressor, assemble
 from tabreg.models.linear import Ridge
-from tabreg.sources.storage import cut_lineage, spread
+from tabreg.sources.storage import cut_lineage, discard, spread
 
 LABEL = "__y"
 
@@ -248,15 +248,13 @@ class AdaBoost(Regressor):
     """
 
     defaults = {"n_estimators": 50, "learning_rate": 1.0, "loss": "linear", "max_depth": 3, "random_state": 42}
-    rounds_per_cut = 1
-
     def fit(self, df, features, target):
         o = self.params
         if o["loss"] not in ("linear", "square", "exponential"):
             raise ValueError("loss must be linear, square or exponential")
         rows = df.select(*[F.expr(f"{clean_double_sql(c)} AS `{c}`") for c in features],
                          clean_double(target).alias(LABEL), F.lit(1.0).alias("__w"))
-        rows = cut_lineage(spread(rows))
+        rows = rows_kept = cut_lineage(spread(rows))
         models, votes = [], []
         for i in range(int(o["n_estimators"])):
             tree = M.DecisionTreeRegressor(featuresCol="__x", labelCol=LABEL, weightCol="__w",
@@ -284,6 +282,8 @@ class AdaBoost(Regressor):
             # dividing by the mean weight keeps the column near 1
             rows = scored.withColumn("__w", F.col("__w") / F.lit(weight) * F.pow(
                 F.lit(beta), (1 - F.col("__loss")) * F.lit(float(o["learning_rate"])))).drop("prediction", "__loss")
-            if (i + 1) % self.rounds_per_cut == 0:
-                rows = cut_lineage(rows)
+            rows, used = cut_lineage(rows), rows_kept
+            discard(used)
+            rows_kept = rows
+        discard(rows_kept)
         return FittedMedianTrees(features, models, votes)

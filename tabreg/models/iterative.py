@@ -16,7 +16,7 @@ from tabreg.models.gram import column_shift, grams, matrix, numeric_view, total
 from tabreg.models.linear import LinearRegression, least_squares
 from tabreg.operators.encode import fit_scaler
 from tabreg.operators.quantiles import column_quantiles
-from tabreg.sources.storage import cut_lineage, spread
+from tabreg.sources.storage import cut_lineage, discard, spread
 
 
 def _slope(loss: str, e: np.ndarray, eps: float) -> np.ndarray:
@@ -103,6 +103,7 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "
         if stale >= patience:
             break
         w = v[:d + 1] / v[d + 1]
+    discard(view)
     coef = best[:d] / wide * ywide
     return coef, best[d] * ywide + ymean - coef @ mean
 
@@ -162,6 +163,7 @@ def reweighted(df: DataFrame, features, target: str, *, eps: float = 0.0, tau: f
         moved = np.sqrt(max(step @ c @ step, 0.0)) + abs(b - shift + (g.xmean @ step))
         if moved <= tol * unit and floor <= unit * 1e-4:
             break
+    discard(df)
     return coef, b
 
 

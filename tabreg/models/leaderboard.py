@@ -79,6 +79,10 @@ class Leaderboard:
             out = model.predict(out, name)
         return out.select(*[q(c) for c in row_id], q(self.target), *[q(n) for n in self.fitted])
 
+    def release(self) -> None:
+        """Drop the cached test rows once predictions are written."""
+        self.test.unpersist()
+
     def best(self, k: int = 15) -> list[str]:
         rows = self.scores.where(F.col("status") == "ok").orderBy(F.col("r_squared").desc_nulls_last(), "model").limit(k)
         return [r["model"] for r in rows.collect()]
@@ -118,8 +122,11 @@ def leaderboard(train: DataFrame, test: DataFrame, roles: Roles, models: Sequenc
             return None, (name, None, None, None, time.perf_counter() - start, None, "failed",
                           f"{type(e).__name__}: {str(e)[:300]}")
 
-    with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        done = list(pool.map(one, names))
+    try:
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            done = list(pool.map(one, names))
+    finally:
+        xtrain.unpersist()
     scores = train.sparkSession.createDataFrame(
         [row for _, row in done], "model string, adjusted_r_squared double, r_squared double, rmse double, "
                                   "time_taken double, custom_metric double, status string, error string")

@@ -221,6 +221,74 @@ def lasso_coefficients(spark, sf):
     return _coefficients(spark, make("Lasso", alpha=500.0).fit(load(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice"))
 
 
+# One feature: every least-squares family has a closed form that SQL can state.
+# The target mixes in the feature, so that cross-validation and the information criterion keep it.
+ONE_SQL = """WITH s AS (SELECT l_quantity, l_extendedprice + 3000 * l_quantity AS y FROM lineitem),
+ m AS (SELECT count(*) AS n, avg(l_quantity) AS mx, avg(y) AS my,
+ covar_pop(l_quantity, y) AS sxy, var_pop(l_quantity) AS sxx FROM s)"""
+
+
+def mixed_target(spark, sf):
+    return load(spark, sf, "lineitem").select(
+        "l_quantity", (F.col("l_extendedprice") + 3000 * F.col("l_quantity")).alias("y"))
+
+
+CLOSED = {  # model: (settings, slope from the moments)
+    "LinearRegression": ({}, "sxy / sxx"), "Lars": ({}, "sxy / sxx"), "LarsCV": ({}, "sxy / sxx"),
+    "LassoLarsCV": ({}, "sxy / sxx"), "LassoLarsIC": ({}, "sxy / sxx"), "OrthogonalMatchingPursuit": ({}, "sxy / sxx"),
+    "OrthogonalMatchingPursuitCV": ({}, "sxy / sxx"),
+    "ElasticNet": ({"alpha": 40.0, "l1_ratio": 0.5}, "(sxy - 20.0) / (sxx + 20.0)"),
+    "LassoLars": ({"alpha": 700.0}, "(sxy - 700.0) / sxx"),
+    "LassoCV": ({}, "sxy * 0.999 / sxx"), "ElasticNetCV": ({}, "sxy * 0.999 / (sxx + 0.001 * sxy)"),
+    "TweedieRegressor": ({"alpha": 3.0}, "sxy / (sxx + 3.0)"),
+    "TransformedTargetRegressor": ({}, "sxy / sxx"),
+}
+for _name, (_args, _slope) in CLOSED.items():
+    def _closed(spark, sf, name=_name, args=_args):
+        return _coefficients(spark, make(name, **args).fit(mixed_target(spark, sf), ["l_quantity"], "y"))
+
+    register(f"coefficients_{_name}", f"""{ONE_SQL}, b AS (SELECT {_slope} AS b, mx, my FROM m)
+SELECT 'l_quantity' AS term, {r('b', 4)} AS coefficient FROM b
+UNION ALL SELECT '(intercept)', {r('my - b * mx', 4)} FROM b""")(_closed)
+
+
+@register("coefficients_RidgeCV", f"""{ONE_SQL},
+ a AS (SELECT unnest([100.0, 100000.0, 10000000.0]) AS alpha),
+ b AS (SELECT alpha, sxy * n / (sxx * n + alpha) AS b, mx, my, n, sxx FROM a, m),
+ e AS (SELECT alpha, b, mx, my, avg(pow((y - my - b * (l_quantity - mx))
+   / (1 - 1.0 / n - pow(l_quantity - mx, 2) / (sxx * n + alpha)), 2)) AS loss FROM b, s GROUP BY alpha, b, mx, my),
+ w AS (SELECT * FROM e ORDER BY loss LIMIT 1)
+SELECT 'l_quantity' AS term, {r('b', 4)} AS coefficient FROM w
+UNION ALL SELECT '(intercept)', {r('my - b * mx', 4)} FROM w""")
+def coefficients_ridge_cv(spark, sf):
+    model = make("RidgeCV", alphas=(1e2, 1e5, 1e7)).fit(mixed_target(spark, sf), ["l_quantity"], "y")
+    return _coefficients(spark, model)
+
+
+def _cov(a, b):
+    return f"covar_pop({a}, {b})"
+
+
+Q, D, T_, P = LINE.features[0], LINE.features[1], LINE.features[2], LINE.target
+
+
+@register("coefficients_three_features", f"""
+WITH m AS (SELECT {_cov(Q, Q)} AS a11, {_cov(Q, D)} AS a12, {_cov(Q, T_)} AS a13, {_cov(D, D)} AS a22, {_cov(D, T_)} AS a23,
+ {_cov(T_, T_)} AS a33, {_cov(Q, P)} AS c1, {_cov(D, P)} AS c2, {_cov(T_, P)} AS c3,
+ avg({Q}) AS m1, avg({D}) AS m2, avg({T_}) AS m3, avg({P}) AS my FROM lineitem),
+ d AS (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det FROM m),
+ b AS (SELECT *,
+  (c1 * (a22 * a33 - a23 * a23) - a12 * (c2 * a33 - a23 * c3) + a13 * (c2 * a23 - a22 * c3)) / det AS b1,
+  (a11 * (c2 * a33 - a23 * c3) - c1 * (a12 * a33 - a23 * a13) + a13 * (a12 * c3 - c2 * a13)) / det AS b2,
+  (a11 * (a22 * c3 - c2 * a23) - a12 * (a12 * c3 - c2 * a13) + c1 * (a12 * a23 - a22 * a13)) / det AS b3 FROM d)
+SELECT '{Q}' AS term, {r('b1', 3)} AS coefficient FROM b UNION ALL SELECT '{D}', {r('b2', 3)} FROM b
+UNION ALL SELECT '{T_}', {r('b3', 3)} FROM b
+UNION ALL SELECT '(intercept)', {r('my - b1 * m1 - b2 * m2 - b3 * m3', 3)} FROM b""")
+def coefficients_three_features(spark, sf):
+    model = LinearRegression().fit(load(spark, sf, "lineitem"), LINE.features, LINE.target)
+    return _coefficients(spark, model).withColumn("coefficient", F.round("coefficient", 3) + F.lit(0.0))
+
+
 for _name in ("ElasticNet", "LassoCV", "ElasticNetCV", "Lars", "LarsCV", "LassoLars", "LassoLarsCV", "LassoLarsIC",
               "OrthogonalMatchingPursuit", "OrthogonalMatchingPursuitCV", "BayesianRidge", "RidgeCV", "HuberRegressor",
               "RANSACRegressor", "SGDRegressor", "LinearSVR", "QuantileRegressor", "TweedieRegressor"):
@@ -341,7 +409,12 @@ def shap_values_forest(spark, sf):
 
 # --- log and plan -----------------------------------------------------------------------------------
 
-@register("model_run_log")
+@register("model_run_log", f"""
+WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem),
+ e AS (SELECT l_extendedprice AS y, a + b * l_quantity AS yhat FROM lineitem, f)
+SELECT 'LinearRegression' AS model_name, 'mean' AS missing_values_method, CAST(5 AS INTEGER) AS cv_folds,
+ 70.0::DOUBLE AS split_percentage, {r('avg(abs(y - yhat))', 4)} AS mae, {r('sqrt(avg((y - yhat) * (y - yhat)))', 4)} AS rmse,
+ {r('1 - avg((y - yhat) * (y - yhat)) / var_pop(y)', 4)} AS r2 FROM e""")
 def model_run_log(spark, sf):
     from tabreg.sources.runlog import ModelLog
     from tabreg.sources.storage import shared_path
@@ -349,9 +422,23 @@ def model_run_log(spark, sf):
     df, model = _line_model(spark, sf)
     scores = regression_metrics(model.predict(df, "yhat"), "l_extendedprice", "yhat").first().asDict()
     log = ModelLog(spark, shared_path(spark, "runlog"))
-    log.log_iteration({"model_name": "LinearRegression", "split_percentage": 70.0, "cv_folds": 5, "missing_values_method": "mean",
-                       "metrics": {k: scores[k] for k in ("mae", "mse", "rmse", "r2")}})
-    return log.frame().drop("timestamp")
+    log.log_iteration({"model_name": "LinearRegression", "split_percentage": 70.0, "cv_folds": 5,
+                       "missing_values_method": "mean", "metrics": {k: scores[k] for k in ("mae", "mse", "rmse", "r2")}})
+    return round_all(log.frame().select("model_name", "missing_values_method", "cv_folds", "split_percentage",
+                                        "mae", "rmse", "r2"), 4)
+
+
+@register("saved_model_predictions", f"""
+WITH {FIT2} SELECT l_orderkey, l_linenumber, {r('a + b * l_quantity', 4)} AS prediction FROM lineitem, f""")
+def saved_model_predictions(spark, sf):
+    from tabreg.sources.artifacts import load_model, save_model
+    from tabreg.sources.storage import shared_path
+
+    df, model = _line_model(spark, sf)
+    folder = shared_path(spark, "models")
+    save_model(spark, model, folder, "line")
+    again = load_model(spark, folder, "line")
+    return round_all(again.predict(df).select("l_orderkey", "l_linenumber", "prediction"), 4)
 
 
 @register("prepared_table", """

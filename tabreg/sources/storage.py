@@ -36,7 +36,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Free the storage of a table made by ``cut_lineage`` once nothing reads it any more."""
+    path = getattr(df, "_cut_path", None)
+    if path is None:
+        return
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    df._cut_path = None
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ from tabreg.operators.quantiles import column_quantiles
 
 def drop_first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """Drop the first ``n`` rows in the stated order; ``INDEX`` of the result starts at 0."""
-    if n < 1:
-        raise ValueError("n must be at least 1")
-    indexed = with_row_index(df, order_by)
+    rows = df.count()
+    if not 1 <= n <= rows - 1:
+        raise ValueError(f"n must lie between 1 and {rows - 1}")
+    indexed = with_row_index(df, order_by, n=rows)
     return indexed.where(F.col(INDEX) >= n).withColumn(INDEX, F.col(INDEX) - n)
 
 

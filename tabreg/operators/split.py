@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from tabreg.functions.columns import q
 from tabreg.operators.order import INDEX, with_row_index
 
-HEX_DIGITS = 13
-SPACE = 16 ** HEX_DIGITS
+def shuffle_key(row_id: Sequence[str], seed: int = 42) -> Column:
+    """MD5 text of a row's id: uniform, the same in every engine, and compared without decoding."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[q(c).cast("string") for c in row_id]))
 
 
-def shuffle_key(row_id: Sequence[str], seed: int = 42) -> Column:
-    """Uniform 52-bit number of a row, the same in every engine that has MD5."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[q(c).cast("string") for c in row_id])
-    return F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("long")
+def _key_at(share: float) -> str:
+    """Key below which a share of all keys lies."""
+    return format(min(max(int(share * 16 ** 13), 0), 16 ** 13 - 1), "013x")
 
 
 def shuffle(df: DataFrame, row_id: Sequence[str], seed: int = 42) -> DataFrame:
@@ -50,18 +50,16 @@ def train_test_split(df: DataFrame, row_id: Sequence[str], train_fraction: float
     if size in (0, n):
         raise ValueError("the table is too small to split")
     rank = size - 1
-    slack = 10.0 / math.sqrt(n) + 2.0 / n
-    lo = int(max(0.0, rank / n - slack) * SPACE)
-    hi = int(min(1.0, rank / n + slack) * SPACE)
-    ids = [q(c) for c in row_id]
-    keyed = df.select(key.alias("__key"), *ids)
-    found = keyed.agg(F.sum((F.col("__key") < lo).cast("long")), F.sum((F.col("__key") <= hi).cast("long"))).first()
-    if not found[0] <= rank < found[1]:
-        lo, hi, found = 0, SPACE, (0, n)
-    near = keyed.where(F.col("__key").between(lo, hi))
-    cut = with_row_index(near, ["__key", *row_id]).where(F.col(INDEX) == rank - found[0])
-    edge = cut.select("__key", *[q(c).cast("string") for c in row_id]).first()
-    kinds = ["long", *[df.schema[c].dataType for c in row_id]]
-    limit = F.struct(*[F.lit(v).cast(t) for v, t in zip(edge, kinds)])
-    held_out = F.struct(key, *ids) <= limit
-    return df.where(~held_out), df.where(held_out)
+    slack = 3.0 / math.sqrt(n) + 2.0 / n  # six deviations of a uniform rank on either side
+    lo, hi = _key_at(rank / n - slack), _key_at(rank / n + slack) + "~"
+    keyed = df.select(key.alias("__key"), *[q(c) for c in row_id])
+    below, upto = (F.sum(t.cast("long")) for t in (F.col("__key") < lo, F.col("__key") <= hi))
+    found = keyed.agg(below, upto).first()
+    if found[0] <= rank < found[1]:
+        # about 6 * sqrt(n) keys: two million for a hundred billion rows
+        near = keyed.where(F.col("__key").between(lo, hi)).select("__key").toPandas()["__key"]
+        cut = near.sort_values().iloc[rank - found[0]]
+    else:
+        cut = with_row_index(keyed, ["__key", *row_id], n=n).where(F.col(INDEX) == rank).first()["__key"]
+    # two ids with one MD5 are not to be expected, so the key alone decides
+    return df.where(key > cut), df.where(key <= cut)

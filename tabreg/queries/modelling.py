@@ -130,7 +130,7 @@ def all_relevant_features(spark, sf):
 
 # --- models -----------------------------------------------------------------------------------------
 
-HASH = "CAST('0x' || substr(md5('42|' || p_partkey), 1, 13) AS BIGINT)"
+HASH = "md5('42|' || p_partkey)"
 SPLIT_SQL = f"""s AS (SELECT *, row_number() OVER (ORDER BY {HASH}, p_partkey)
  <= CAST(ceil(count(*) OVER () * CAST(0.3 AS DECIMAL(4, 2))) AS BIGINT) AS test FROM part)"""
 ONE = Roles(["p_partkey"], "p_retailprice", row_id=["p_partkey"])
@@ -281,12 +281,12 @@ WITH m AS (SELECT {_cov(Q, Q)} AS a11, {_cov(Q, D)} AS a12, {_cov(Q, T_)} AS a13
   (c1 * (a22 * a33 - a23 * a23) - a12 * (c2 * a33 - a23 * c3) + a13 * (c2 * a23 - a22 * c3)) / det AS b1,
   (a11 * (c2 * a33 - a23 * c3) - c1 * (a12 * a33 - a23 * a13) + a13 * (a12 * c3 - c2 * a13)) / det AS b2,
   (a11 * (a22 * c3 - c2 * a23) - a12 * (a12 * c3 - c2 * a13) + c1 * (a12 * a23 - a22 * a13)) / det AS b3 FROM d)
-SELECT '{Q}' AS term, {r('b1', 3)} AS coefficient FROM b UNION ALL SELECT '{D}', {r('b2', 3)} FROM b
-UNION ALL SELECT '{T_}', {r('b3', 3)} FROM b
-UNION ALL SELECT '(intercept)', {r('my - b1 * m1 - b2 * m2 - b3 * m3', 3)} FROM b""")
+SELECT '{Q}' AS term, {r('b1', 2)} AS coefficient FROM b UNION ALL SELECT '{D}', {r('b2', 2)} FROM b
+UNION ALL SELECT '{T_}', {r('b3', 2)} FROM b
+UNION ALL SELECT '(intercept)', {r('my - b1 * m1 - b2 * m2 - b3 * m3', 2)} FROM b""")
 def coefficients_three_features(spark, sf):
     model = LinearRegression().fit(load(spark, sf, "lineitem"), LINE.features, LINE.target)
-    return _coefficients(spark, model).withColumn("coefficient", F.round("coefficient", 3) + F.lit(0.0))
+    return _coefficients(spark, model).withColumn("coefficient", F.round("coefficient", 2) + F.lit(0.0))
 
 
 for _name in ("ElasticNet", "LassoCV", "ElasticNetCV", "Lars", "LarsCV", "LassoLars", "LassoLarsCV", "LassoLarsIC",

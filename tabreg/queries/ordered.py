@@ -131,7 +131,7 @@ def savitzky_golay_5(spark, sf):
     return round_all(smooth.smooth(df, "savgol", ["ts", "event_id"], 5).drop("ts"), 5)
 
 
-HASH = "CAST('0x' || substr(md5('42|' || event_id), 1, 13) AS BIGINT)"
+HASH = "md5('42|' || event_id)"
 PARTS = f"""SELECT event_id, CASE WHEN row_number() OVER (ORDER BY {HASH}, event_id)
  <= CAST(ceil(count(*) OVER () * CAST(0.3 AS DECIMAL(4, 2))) AS BIGINT) THEN 'test' ELSE 'train' END AS part FROM events"""
 

@@ -15,7 +15,7 @@ from tabreg.operators.order import INDEX
 from tabreg.operators.quantiles import column_quantiles
 from tabreg.operators.split import shuffle
 from tabreg.operators.wrappers import permuted_position
-from tabreg.sources.storage import cut_lineage
+from tabreg.sources.storage import cut_lineage, discard
 
 
 def _ranked(df: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -63,6 +63,7 @@ def permutation_importance(model: Fitted, df: DataFrame, target: str, row_id: Se
             score_columns(F.col("__y"), F.col("__yhat"))["r2"].alias("r2")).collect()
         for s in scored:
             totals[s["__f"]] += base - s["r2"]
+    discard(rows)
     return _ranked(df, dict(zip(features, totals / n_repeats)))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabreg.functions.columns import clean_double_sql, q
-from tabreg.sources.storage import cut_lineage
+from tabreg.sources.storage import cut_lineage, discard
 
 MAX_PIVOTS = 1_024
 MAX_GROUPS = 20_000
@@ -224,8 +224,8 @@ def nearest(queries: DataFrame, donors: DataFrame, features: Sequence[str], k: i
         for r in edges:
             low[r["group"]], high[r["group"]] = r["low"], r["high"]
     boxes = Boxes(low, high, rows, metric)
-    ask = _vectors(queries, features, query_id)
-    ask = cut_lineage(ask)
+    discard(unique)
+    ask = cut_lineage(_vectors(queries, features, query_id))
     first = cut_lineage(_merge(_visit(_routes(ask, boxes, p, want, None), blocks, counts, p, k, metric, exclude_self), k))
     bound = first.groupBy("id").agg(F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("bound"))
     second = _visit(_routes(ask.join(bound, "id", "left"), boxes, p, want, "bound"), blocks, counts, p, k, metric, exclude_self)

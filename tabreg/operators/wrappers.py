@@ -13,7 +13,7 @@ from tabreg.operators.encode import label_encode, scale
 from tabreg.operators.order import INDEX
 from tabreg.operators.split import shuffle
 from tabreg.roles import Roles
-from tabreg.sources.storage import cut_lineage
+from tabreg.sources.storage import cut_lineage, discard
 
 LABEL = "__y"
 
@@ -37,6 +37,7 @@ def rfe(df: DataFrame, roles: Roles, n: int, num_trees: int = 100, max_depth: in
                                       seed=seed).fit(sliced)
         weights = model.featureImportances.toArray()
         left.pop(min(range(len(left)), key=lambda i: (weights[i], -left[i])))
+    discard(rows)
     chosen = [candidates[i] for i in left]
     kept = roles.with_features(chosen, [c for c in roles.categorical if c in chosen])
     wanted = dict.fromkeys((*roles.row_id, *roles.order_by, *chosen, roles.target))
@@ -89,6 +90,7 @@ def boruta(df: DataFrame, roles: Roles, max_iter: int = 100, alpha: float = 0.05
                 state[c] = "confirmed"
             elif lower * len(names) <= alpha:
                 state[c] = "rejected"
+    discard(rows)
     rows_out = [(c, hits[c], state[c]) for c in names]
     return df.sparkSession.createDataFrame(rows_out, "feature string, hits int, decision string")
 

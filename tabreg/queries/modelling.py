@@ -102,10 +102,34 @@ def pca_bands(spark, sf):
 
 # --- smoothing and wrappers -------------------------------------------------------------------------
 
-@register("lowess_hourly_means")
+def lowess_sql(k, digits=5):
+    """Four weighted local-line passes over the hourly series; each later pass reads the residuals of the one before."""
+    passes = []
+    for t in range(4):
+        weight = "n.w" if t == 0 else "n.w * b.bw"
+        source = "near n" if t == 0 else f"near n JOIN b{t} b ON b.i = n.j"
+        passes.append(f"""s{t} AS (SELECT n.i, sum({weight}) AS s0, sum({weight} * n.d) AS s1, sum({weight} * n.d * n.d) AS s2,
+  sum({weight} * n.y) AS t0, sum({weight} * n.d * n.y) AS t1 FROM {source} GROUP BY n.i),
+ f{t} AS MATERIALIZED (SELECT i, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) AS fit FROM s{t})""")
+        if t < 3:
+            passes.append(f"""e{t} AS (SELECT p.i, abs(p.y - f.fit) AS e FROM p JOIN f{t} f USING (i)),
+ u{t} AS (SELECT i, e / (6 * (SELECT median(e) FROM e{t})) AS u FROM e{t}),
+ b{t + 1} AS MATERIALIZED (SELECT i, CASE WHEN u > 0.999 THEN 0 WHEN u < 0.001 THEN 1 ELSE pow(1 - u * u, 2) END AS bw FROM u{t})""")
+    return f"""WITH a AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS y FROM events GROUP BY 1),
+ g AS (SELECT unnest(generate_series((SELECT min(ts) FROM a), (SELECT max(ts) FROM a), INTERVAL 1 HOUR)) AS ts),
+ p AS MATERIALIZED (SELECT ts, y, row_number() OVER (ORDER BY ts) - 1 AS i FROM a),
+ c AS (SELECT p.i, greatest(0, least(n - {k}, CAST(ceil(i - {k} / 2.0) AS BIGINT))) AS l FROM p, (SELECT count(*) AS n FROM p)),
+ h AS (SELECT i, l, greatest(i - l, l + {k} - 1 - i) AS h FROM c),
+ v AS (SELECT h.i, q.i AS j, q.y, (q.i - h.i) / CAST(h.h AS DOUBLE) AS d FROM h JOIN p q ON q.i BETWEEN h.l AND h.l + {k} - 1),
+ near AS MATERIALIZED (SELECT *, CASE WHEN abs(d) > 0.999 THEN 0 WHEN abs(d) < 0.001 THEN 1
+  ELSE pow(1 - pow(abs(d), 3), 3) END AS w FROM v), {', '.join(passes)}
+SELECT CAST(g.ts AS TIMESTAMP) AS ts, {r('f3.fit', digits)} AS value FROM g LEFT JOIN p USING (ts) LEFT JOIN f3 ON f3.i = p.i"""
+
+
+@register("lowess_hourly_means", lowess_sql(72))
 def lowess_hourly_means(spark, sf):
     series = timeops.resample(load(spark, sf, "events").select("ts", "value"), "ts", "H", "mean")
-    return lowess.lowess(series, 72, ["ts"])
+    return round_all(lowess.lowess(series, 72, ["ts"]), 5)
 
 
 PLANTED_ROLES = Roles(["p_size", "p_partkey", "noise_a", "noise_b"], "y", row_id=["p_partkey"])

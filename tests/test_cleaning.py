@@ -13,27 +13,33 @@ def mixed(make):
         "a": [1.0, -999.0, 3.0, np.nan, 5.0], "b": [1, -999, 3, 4, 5], "s": ["x", "-999", "y", None, "5"]}))
 
 
-def test_quantiles_match_numpy(make, monkeypatch):
-    monkeypatch.setattr(quantiles, "SMALL", 100)  # so that the sketch bracket is used
+@pytest.mark.parametrize("limit", [150, 1_000_000])
+def test_quantiles_match_numpy(make, monkeypatch, limit):
+    monkeypatch.setattr(quantiles, "LIMIT", limit)  # a low limit forces the narrowing scans
     rng = np.random.default_rng(0)
-    pdf = pd.DataFrame({"a": rng.normal(size=5000), "b": rng.integers(0, 3, 5000).astype(float), "c": [2.0] * 5000})
+    pdf = pd.DataFrame({"a": rng.normal(size=9000), "b": rng.integers(0, 3, 9000).astype(float), "c": [2.0] * 9000,
+                        "hot": np.where(rng.random(9000) < 0.34, 0.5, rng.random(9000))})
     pdf.loc[::7, "a"] = np.nan
-    got = quantiles.column_quantiles(make(pdf, 4), ["a", "b", "c"], [0.0, 0.05, 0.25, 0.5, 0.77, 1.0], accuracy=200)
+    wanted = [0.0, 0.05, 0.25, 0.5, 0.77, 1.0]
+    got = quantiles.column_quantiles(make(pdf, 4), list(pdf), wanted)
     for c in pdf:
-        np.testing.assert_allclose(got[c], pdf[c].quantile([0.0, 0.05, 0.25, 0.5, 0.77, 1.0]), atol=1e-12)
+        np.testing.assert_allclose(got[c], pdf[c].quantile(wanted), atol=1e-12)
 
 
 def test_quantiles_of_nothing(make):
     assert quantiles.column_quantiles(make(pd.DataFrame({"a": [np.nan, np.nan]})), ["a"], [0.5]) == {"a": [None]}
 
 
-def test_group_quantiles_match_pandas(make, monkeypatch):
-    monkeypatch.setattr(quantiles, "SMALL", 50)
+@pytest.mark.parametrize("limit", [150, 1_000_000])
+def test_group_quantiles_match_pandas(make, monkeypatch, limit):
+    monkeypatch.setattr(quantiles, "LIMIT", limit)
     rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"g": np.where(rng.random(4000) < 0.4, 1, rng.integers(2, 9, 4000)), "v": rng.normal(size=4000)})
-    got = quantiles.group_quantiles(make(pdf), ["g"], ["v"], 0.5, accuracy=100).toPandas().set_index("g")["v"]
-    want = pdf.groupby("g")["v"].median()
-    np.testing.assert_allclose(got.sort_index(), want, atol=1e-12)
+    pdf = pd.DataFrame({"g": np.where(rng.random(8000) < 0.4, 1, rng.integers(2, 9, 8000)), "v": rng.normal(size=8000),
+                        "w": rng.integers(0, 4, 8000).astype(float)})
+    pdf.loc[pdf["g"] == 3, "v"] = np.nan
+    got = quantiles.group_quantiles(make(pdf), ["g"], ["v", "w"], 0.5).toPandas().set_index("g").sort_index()
+    want = pdf.groupby("g")[["v", "w"]].median()
+    np.testing.assert_allclose(got[["v", "w"]].astype(float), want, atol=1e-12)
 
 
 def test_nan_is_null_on_load(spark, tmp_path):

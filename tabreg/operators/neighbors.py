@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabreg.functions.columns import clean_double_sql, q
-from tabreg.sources.storage import cut_lineage, discard
+from tabreg.sources.storage import cut_lineage, discard, spread
 
 MAX_PIVOTS = 1_024
 MAX_GROUPS = 20_000
@@ -256,8 +256,7 @@ def _against_all(ask: DataFrame, every: DataFrame, few, p: int, k: int, metric:
                                                  names=["id", "neighbor", "rank", "dist", "value"])
 
     # the comparisons, not the rows, are the work: use every core even if the scan is one split
-    spread = ask.repartition(ask.sparkSession.sparkContext.defaultParallelism, "id")
-    found = spread.mapInArrow(compare, f"id {id_type}, neighbor {did_type}, rank int, dist double, value double")
+    found = spread(ask).mapInArrow(compare, f"id {id_type}, neighbor {did_type}, rank int, dist double, value double")
     return found.select("id", "neighbor", "rank", "dist", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
 
 

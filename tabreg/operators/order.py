@@ -52,14 +52,12 @@ class Buckets:
         return Window.partitionBy(BUCKET).orderBy(*[q(k) for k in self.order_by])
 
     def offset(self) -> Column:
-        return pick(self.offsets, F.col(BUCKET), "long")
+        return pick(self.offsets, F.col(BUCKET))
 
 
-def pick(values: Sequence, index: Column, dtype: str) -> Column:
-    """``values[index]`` for a short driver-side list."""
-    if len(set(values)) == 1:
-        return F.lit(values[0]).cast(dtype)
-    return F.get(F.array(*[F.lit(v).cast(dtype) for v in values]), index)
+def pick(values: Sequence[int], index: Column) -> Column:
+    """``values[index]`` for a short driver-side list of whole numbers."""
+    return F.get(F.expr(f"array({', '.join(f'{v}L' for v in values)})"), index)
 
 
 def bucket_target(df: DataFrame, n: int, rows_per_bucket: int) -> int:
@@ -164,7 +162,7 @@ def with_halo(parts: Buckets, before: int, after: int) -> DataFrame:
     for p in pieces[1:]:
         out = out.unionByName(p)
     shifts = [off - (before if i else 0) for i, off in enumerate(parts.offsets)]
-    position = pick(shifts, F.col(BUCKET), "long") + F.row_number().over(parts.window()).cast("long") - 1
+    position = pick(shifts, F.col(BUCKET)) + F.row_number().over(parts.window()).cast("long") - 1
     return out.withColumn(INDEX, position)
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabreg.functions.columns import clean_double, numeric_columns, q
-from tabreg.operators.order import BUCKET, HALO, INDEX, Buckets, drop_halo, order_buckets, with_halo
+from tabreg.operators.order import BUCKET, HALO, INDEX, drop_halo, order_buckets, with_halo
 
+CHUNK_ROWS = 2_000_000
 METHODS = ("moving_average", "exponential", "savgol", "lowess")
 
 
@@ -122,10 +123,14 @@ def exponential(df: DataFrame, alpha: float, order_by: Sequence[str],
     keep = 1.0 - alpha
     names = _targets(df, order_by, cols)
     parts = order_buckets(df, order_by, **options)
-    placed = with_halo(parts, 0, 0).drop(HALO)
-    starts = {c: [(0.0, 0.0, np.nan)] * len(parts.counts) for c in names}
-    if len(parts.counts) > 1:
-        starts = _chain(_end_states(placed, names, keep), parts, names, keep)
+    placed, sizes = with_halo(parts, 0, 0).drop(HALO), list(parts.counts)
+    if max(sizes) > CHUNK_ROWS:
+        # a task holds one bucket as Arrow data: cut big buckets further, by position
+        placed = placed.withColumn(BUCKET, F.floor(F.col(INDEX) / CHUNK_ROWS).cast("int"))
+        sizes = [min(CHUNK_ROWS, parts.rows - at) for at in range(0, parts.rows, CHUNK_ROWS)]
+    starts = {c: [(0.0, 0.0, np.nan)] * len(sizes) for c in names}
+    if len(sizes) > 1:
+        starts = _chain(_end_states(placed, names, keep), sizes, names, keep)
     fields = [T.StructField(f.name, T.DoubleType()) if f.name in names else f for f in df.schema.fields]
 
     def finish(key, table):
@@ -159,12 +164,12 @@ def _end_states(placed: DataFrame, names: list[str], keep: float) -> DataFrame:
     return placed.select(BUCKET, INDEX, *[q(c) for c in names]).groupBy(BUCKET).applyInArrow(ends, schema)
 
 
-def _chain(states: DataFrame, parts: Buckets, names: list[str], keep: float) -> dict[str, list]:
+def _chain(states: DataFrame, sizes: list[int], names: list[str], keep: float) -> dict[str, list]:
     by_bucket = {r["bucket"]: r for r in states.collect()}  # one row per bucket
     out = {c: [] for c in names}
     for i, c in enumerate(names):
         num, den, mean = 0.0, 0.0, np.nan
-        for b, size in enumerate(parts.counts):
+        for b, size in enumerate(sizes):
             out[c].append((num, den, mean))
             fade, own = keep ** size, by_bucket[b]
             num, den = num * fade + own[f"num{i}"], den * fade + own[f"den{i}"]

@@ -53,6 +53,14 @@ def test_exponential_matches_pandas(make, alpha, parts):
     np.testing.assert_allclose(got["x"].astype(float), pdf["x"].ewm(alpha=alpha).mean(), rtol=1e-9)
 
 
+def test_exponential_cuts_big_buckets_by_position(make, monkeypatch):
+    monkeypatch.setattr(smooth, "CHUNK_ROWS", 7)
+    pdf = signal()
+    for alpha in (0.3, 1.0):
+        got = smooth.exponential(make(pdf), alpha, ["t", "k"], ["x"], **SMALL).toPandas().sort_values("k")
+        np.testing.assert_allclose(got["x"].astype(float), pdf["x"].ewm(alpha=alpha).mean(), rtol=1e-9)
+
+
 def test_exponential_refuses_zero(make):
     with pytest.raises(ValueError):
         smooth.exponential(make(signal()), 0.0, ["k"])

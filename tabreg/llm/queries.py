@@ -9,20 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabreg.llm.common import table
 from tabreg.llm.pieces import round_trip_digests
+from tabreg.llm.quality import score_quality
 from tabreg.llm.token_files import token_file_digests
+from tabreg.llm.toxicity import score_toxicity
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip_digests(table(spark, folder, "documents"), PIECE_MODEL)
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_file_digests(table(spark, folder, "documents"), BYTE_MODEL)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_piece_encoding, op9_token_files)}
+    f.__name__: f for f in (
+        op1_quality, op2_piece_encoding, op3_toxicity, op9_token_files)}
 ORACLES: dict[str, str] = {}

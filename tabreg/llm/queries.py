@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabreg.llm.common import table
+from tabreg.llm.pii import find_personal_data
 from tabreg.llm.pieces import round_trip_digests
 from tabreg.llm.quality import score_quality
 from tabreg.llm.token_files import token_file_digests
 from tabreg.llm.toxicity import score_toxicity
+from tabreg.llm.web_archive import archive_digests
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,11 +31,20 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(table(spark, folder, "documents"))
+
+
+def op7_web_archive(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_digests(table(spark, folder, "pages"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_file_digests(table(spark, folder, "documents"), BYTE_MODEL)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality, op2_piece_encoding, op3_toxicity, op9_token_files)}
+        op1_quality, op2_piece_encoding, op3_toxicity, op6_personal_data, op7_web_archive,
+        op9_token_files)}
 ORACLES: dict[str, str] = {}

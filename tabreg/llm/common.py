@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tabreg.sources.shipping import ship_package
 from tabreg.sources.storage import cut_lineage, discard, shared_path
 
-__all__ = ["crc_fold", "cut_lineage", "discard", "narrow", "pieces_of_batches", "salted_lookup", "shared_path",
-           "ship_package", "table", "train_rows"]
+__all__ = ["crc_fold", "cut_lineage", "discard", "few_ids", "narrow", "pieces_of_batches", "salted_lookup", "shared_path",
+           "ship_package", "table", "train_rows", "with_ids", "without_ids"]
 
 SALTS = 64
+FEW_IDS = 2_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,3 +76,20 @@ def salted_lookup(rows: DataFrame, key: str, facts: list[Column], spread_by: str
     whole = whole.select(F.col(key).alias("__k"), F.explode("__salts").alias("__s"), *names)
     return (rows.join(whole, (F.col(key) == F.col("__k")) & (F.col(salt) == F.col("__s")), "inner")
             .drop("__k", "__s", salt))
+
+
+def few_ids(ids: DataFrame) -> DataFrame:
+    """The ids with a broadcast hint if they are counted as few (16 MB of numbers); else as they are, for a shuffle join."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
+def with_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is in the one-column table ``ids``; wide rows move only where there are many ids."""
+    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    return df.join(few_ids(ids), F.col(f"`{column}`").cast("long") == F.col("__id"), "left_semi")
+
+
+def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is not in the one-column table ``ids``, rows with a NULL among them."""
+    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    return df.join(few_ids(ids), F.col(f"`{column}`").cast("long") == F.col("__id"), "left_anti")

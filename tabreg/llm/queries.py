@@ -14,6 +14,7 @@ from tabreg.llm.pieces import round_trip_digests
 from tabreg.llm.quality import score_quality
 from tabreg.llm.token_files import token_file_digests
 from tabreg.llm.toxicity import score_toxicity
+from tabreg.llm.vectors import near_duplicate_vectors
 from tabreg.llm.web_archive import archive_digests
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +33,10 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
 def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(table(spark, folder, "documents"))
 
@@ -50,7 +55,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality, op2_piece_encoding, op3_toxicity, op6_personal_data, op7_web_archive,
+        op1_quality, op2_piece_encoding, op3_toxicity, op5_near_vectors, op6_personal_data, op7_web_archive,
         op8_minhash, op9_token_files)}
 
 ORACLES: dict[str, str] = {

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabreg.llm.common import table
+from tabreg.llm.decontaminate import find_passages
 from tabreg.llm.minhash import near_duplicates
 from tabreg.llm.pii import find_personal_data
 from tabreg.llm.pieces import round_trip_digests
@@ -33,6 +34,10 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, folder, "embeddings"))
 
@@ -55,7 +60,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality, op2_piece_encoding, op3_toxicity, op5_near_vectors, op6_personal_data, op7_web_archive,
+        op1_quality, op2_piece_encoding, op3_toxicity, op4_benchmark_passages, op5_near_vectors, op6_personal_data, op7_web_archive,
         op8_minhash, op9_token_files)}
 
 ORACLES: dict[str, str] = {

@@ -15,11 +15,13 @@ order by text hash. Only id and text are read from the input table. An empty tab
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,61 +35,135 @@ LIMIT = 18            # longest code in bits; the reading table has 2**LIMIT ent
 BLOCK_TOKENS = 1 << 16
 STEP = 512
 BLOCKS_PER_FILE = 128
-KEPT_CHUNKS = 150_000
+KEPT_CHUNKS = 300_000
+AT_ONCE = 256         # chunks joined to one text for the library
 HEAD = struct.Struct("<4sIIQQIQ")
 MAGIC = b"TKB1"
-BETWEEN_SPACES = re.compile(r"\s \s")
+_BLANK = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+CHUNKS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+RARE_BLANK = re.compile("[" + _BLANK.replace("\t-\r ", "\t\x0b-\r") + "]")
+LETTERS_END = "\u0250"  # Latin letters end here; whether signs beyond count as letters is left to the library
+_SIGNS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}  # bytes that have no sign of their own
+FIRST = "\r"  # marks a text's first chunk among the even ones, which hold no such sign
 
 
 # ---- ids ---------------------------------------------------------------------------------------------------------------
 
 class ByteEncoder:
-    """Ids by the tokenizers library, which sees each different space-separated chunk once while it is kept.
+    """Ids by the tokenizers library, which sees each different chunk (white space and the word after it) once while it is kept.
 
-    The pre-tokenizer's pattern always starts a new token before a space that has no white space on both its sides, so the
-    chunks between such spaces are encoded alike alone and in the text. Other texts go to the library whole."""
+    No token of the pre-tokenizer's pattern goes from a word into white space, so chunks are encoded alike alone and in the text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        special = [t for t in self.model.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip)]
+        self.apart = special[0] if special else None
+        self.signs = {c: self.model.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.index: dict[str, int] = {}
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = self.model.encode_batch_fast(chunks, add_special_tokens=False)
-        lists = [e.ids for e in found]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.flat = np.r_[self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))]
-        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes)]
-        for c in chunks:
-            self.index[c] = len(self.index)
+        self.flat, self.ends, self.uses = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Any chunks, joined for the library, which never joins a special token with its neighbours."""
+        mark = self.apart[1].content if self.apart else None
+        if mark is None or mark in "".join(chunks):
+            return [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+        joined = [mark.join(chunks[k:k + AT_ONCE]) + mark for k in range(0, len(chunks), AT_ONCE)]
+        out: list[list[int]] = [[]]
+        for e in self.model.encode_batch_fast(joined, add_special_tokens=False):
+            for i in e.ids:
+                if i == self.apart[0]:
+                    out.append([])
+                else:
+                    out[-1].append(i)
+        return out[:-1]
+
+    def _learn(self, keys: list[str]) -> None:
+        """A word of letters, or one with a full stop or comma, goes straight to the library's merge model: the pre-tokenizer would
+        leave it whole, or cut off the sign. Everything else is encoded as a chunk."""
+        words: dict[str, list[int]] = {}
+        lists: list[list[int] | None] = []
+        rest = []
+        for k, c in enumerate(keys):
+            sign = self.signs.get(c[-1:])
+            word = c if sign is None else c[:-1]
+            if not (word.isalpha() and (word.isascii() or max(word) < LETTERS_END)):
+                lists.append(None)
+                rest.append(k)
+                continue
+            ids = words.get(word)
+            if ids is None:
+                at = self.index.get(word)
+                ids = words[word] = ([t.id for t in self.model.model.tokenize("Ġ" + _byte_signs(word))] if at is None
+                                     else self.flat[self.ends[at]:self.ends[at + 1]].tolist())
+            lists.append(ids if sign is None else ids + sign)
+        texts = [c if c[:1] == "\n" else c[1:] if c[:1] == FIRST else f" {c}" for c in map(keys.__getitem__, rest)]
+        for k, ids in zip(rest, self._encode_chunks(texts), strict=True):
+            lists[k] = ids
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))]
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(size)]
+        self.uses = np.r_[self.uses, np.zeros(len(keys), np.int64)]
+        at = len(self.index)
+        self.index.update(zip(keys, range(at, at + len(keys)), strict=True))
+
+    def _shrink(self) -> None:
+        """Forget the chunks that were met only once."""
+        keep = self.uses > 1
+        size = np.diff(self.ends)
+        self.flat = self.flat[np.repeat(keep, size)]
+        self.ends = np.r_[0, np.cumsum(size[keep])]
+        self.uses = self.uses[keep] // 2
+        self.index = dict(zip([c for c, k in zip(self.index, keep.tolist(), strict=True) if k], range(int(keep.sum())), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and the offsets of each text.
+
+        A key stands for the chunk of a space and the key, but for keys that begin with a line end (that chunk itself) or with
+        ``FIRST`` (the chunk after the sign). Only texts with other white space, or with two of it in a row, are cut by a pattern."""
         if len(self.index) > KEPT_CHUNKS:
-            self.index, self.flat, self.ends = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
-        chunks: list[str] = []
-        counts = []
+            self._shrink()
+        found = []
         for t in texts:
-            before = len(chunks)
-            if t:
-                if BETWEEN_SPACES.search(t):
-                    chunks.append(t)
+            if not t:
+                found.append([])
+            elif not even(t):
+                found.append([FIRST + c for c in CHUNKS.findall(t)])
+            else:
+                keys = t.replace("\n", " \n").split(" ")
+                if keys[0]:
+                    keys[0] = FIRST + keys[0]
                 else:
-                    first, *rest = t.split(" ")
-                    if first:
-                        chunks.append(first)
-                    chunks += [" " + c for c in rest]
-            counts.append(len(chunks) - before)
+                    del keys[0]  # the text begins with white space
+                found.append(keys)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        keys = list(chain.from_iterable(found))
         index = self.index
-        fresh = [c for c in dict.fromkeys(chunks) if c not in index]
+        fresh = list(set(keys).difference(index))
         if fresh:
             self._learn(fresh)
-        at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         size = self.ends[at + 1] - self.ends[at]
         total = np.r_[0, np.cumsum(size)]
         flat = self.flat[np.repeat(self.ends[at] - total[:-1], size) + np.arange(total[-1])]
-        return flat, total[np.r_[0, np.cumsum(np.array(counts, dtype=np.int64))].astype(np.int64)]
+        return flat, total[np.r_[0, np.cumsum(counts)]]
+
+
+def _byte_signs(word: str) -> str:
+    """The letters by which a byte-level model writes the bytes of a word."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
+
+
+def even(text: str) -> bool:
+    """Whether all white space of a text is single spaces and line ends inside it."""
+    if text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    if text.isascii():
+        return not ("\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text)
+    return not RARE_BLANK.search(text)
 
 
 def token_ids(rows: DataFrame, model_path: str, end_id: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabreg.llm.common import table
 from tabreg.llm.decontaminate import find_passages
+from tabreg.llm.html_wrappers import main_text
 from tabreg.llm.minhash import near_duplicates
 from tabreg.llm.pii import find_personal_data
 from tabreg.llm.pieces import round_trip_digests
@@ -58,10 +59,14 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_file_digests(table(spark, folder, "documents"), BYTE_MODEL)
 
 
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_piece_encoding, op3_toxicity, op4_benchmark_passages, op5_near_vectors, op6_personal_data, op7_web_archive,
-        op8_minhash, op9_token_files)}
+        op8_minhash, op9_token_files, op10_main_text)}
 
 ORACLES: dict[str, str] = {
     "op8_minhash": """

@@ -83,13 +83,19 @@ def few_ids(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
 
+def _by_id(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+    name = "__id"
+    while name in df.columns:
+        name += "_"
+    ids = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
+    return df.join(few_ids(ids), F.col(f"`{column}`").cast("long") == F.col(name), how)
+
+
 def with_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows whose ``column`` is in the one-column table ``ids``; wide rows move only where there are many ids."""
-    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
-    return df.join(few_ids(ids), F.col(f"`{column}`").cast("long") == F.col("__id"), "left_semi")
+    return _by_id(df, column, ids, "left_semi")
 
 
 def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows whose ``column`` is not in the one-column table ``ids``, rows with a NULL among them."""
-    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
-    return df.join(few_ids(ids), F.col(f"`{column}`").cast("long") == F.col("__id"), "left_anti")
+    return _by_id(df, column, ids, "left_anti")

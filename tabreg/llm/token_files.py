@@ -34,7 +34,7 @@ from tabreg.llm.common import cut_lineage, discard, narrow, pieces_of_batches, s
 LIMIT = 18            # longest code in bits; the reading table has 2**LIMIT entries
 BLOCK_TOKENS = 1 << 16
 STEP = 512
-BLOCKS_PER_FILE = 128
+BLOCKS_PER_FILE = 64
 KEPT_CHUNKS = 300_000
 AT_ONCE = 256         # chunks joined to one text for the library
 HEAD = struct.Struct("<4sIIQQIQ")

@@ -375,7 +375,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         joined = rows.join(F.broadcast(wrappers), F.col("host") == F.col("__host"))
     else:  # a host's pages in SALTS groups
         salted = rows.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-        copies = wrappers.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        copies = wrappers.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(copies, (F.col("host") == F.col("__host")) & (F.col("__salt") == F.col("__copy")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,8 +30,8 @@ def test_without_an_article():
 def page(rng, k):
     words = " ".join(f"w{rng.randint(0, 999)}" for _ in range(30))
     extra = "<p class=byl>by x</p>" if k % 2 else ""
-    return (f"<html><body><div class=top>Our Site</div><div class=box><div class=x1><a href=/>home</a> <a href=/b>more</a></div>"
-            f"<div class=x2><h1>Title {k}</h1>{extra}" + "".join(f"<p>{words} {j}</p>" for j in range(k % 4 + 1)) +
+    return (f"<html><body><div class=top>Our Site</div><div class=box><div class=xa><a href=/>home</a> <a href=/b>more</a></div>"
+            f"<div class=xb><h1>Title {k}</h1>{extra}" + "".join(f"<p>{words} {j}</p>" for j in range(k % 4 + 1)) +
             "</div></div><div class=end>All rights reserved</div></body></html>")
 
 

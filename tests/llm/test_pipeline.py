@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
         text, good = " ".join(rng.choice(words) for _ in range(rng.randint(20, 70))), k % 4 != 0
         rows.append((k, text if good else " ".join(f"{w.upper()}!!" for w in text.split(" "))))
         labels.append((k, int(good), 0))
-    rows += [(1000, rows[1][1]), (1001, f"{rows[2][1]} {item}"), (1002, f"{rows[3][1]} mail jo@example.org today"), (1003, None)]
+    rows += [(1000, rows[1][1]), (1001, f"{rows[2][1]} {item}"), (1002, " ".join(rng.choice(words) for _ in range(40)) + " mail jo@example.org today"), (1003, None)]
     full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(full, schema).write.parquet(f"{tmp_path}/documents.parquet")

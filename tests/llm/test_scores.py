@@ -71,7 +71,7 @@ def test_scores_on_held_out_rows(docs, labelled):
 def test_exceptions_are_learned(docs, labelled):
     rows, labels = corpus()
     model = learn_toxicity(docs(rows), labelled(labels))
-    assert any("blorgo" in p for p in model.exceptions)
+    assert any("biorgo" in p for p in model.exceptions)
     assert " zakkum " in model.terms and any(t.startswith(" schm") and not t.endswith(" ") for t in model.terms)
 
 

@@ -43,7 +43,6 @@ _BLANK = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3
 CHUNKS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 RARE_BLANK = re.compile("[" + _BLANK.replace("\t-\r ", "\t\x0b-\r") + "]")
 LETTERS_END = "\u0250"  # Latin letters end here; whether signs beyond count as letters is left to the library
-_SIGNS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}  # bytes that have no sign of their own
 FIRST = "\r"  # marks a text's first chunk among the even ones, which hold no such sign
 
 
@@ -61,54 +60,47 @@ class ByteEncoder:
         self.model = Tokenizer.from_file(path)
         special = [t for t in self.model.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip)]
         self.apart = special[0] if special else None
-        self.signs = {c: self.model.encode(c, add_special_tokens=False).ids for c in ".,"}
+        signs = {c: self.model.encode(c, add_special_tokens=False).ids for c in ".,"}
+        self.signs = {c: ids[0] for c, ids in signs.items() if len(ids) == 1}
         self.index: dict[str, int] = {}
         self.flat, self.ends, self.uses = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Any chunks, joined for the library, which never joins a special token with its neighbours."""
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of any chunks, joined for the library, which never joins a special token with its neighbours."""
         mark = self.apart[1].content if self.apart else None
         if mark is None or mark in "".join(chunks):
-            return [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+            lists = [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
         joined = [mark.join(chunks[k:k + AT_ONCE]) + mark for k in range(0, len(chunks), AT_ONCE)]
-        out: list[list[int]] = [[]]
-        for e in self.model.encode_batch_fast(joined, add_special_tokens=False):
-            for i in e.ids:
-                if i == self.apart[0]:
-                    out.append([])
-                else:
-                    out[-1].append(i)
-        return out[:-1]
-
-    def _learn(self, keys: list[str]) -> None:
-        """A word of letters, or one with a full stop or comma, goes straight to the library's merge model: the pre-tokenizer would
-        leave it whole, or cut off the sign. Everything else is encoded as a chunk."""
-        words: dict[str, list[int]] = {}
-        lists: list[list[int] | None] = []
-        rest = []
-        for k, c in enumerate(keys):
-            sign = self.signs.get(c[-1:])
-            word = c if sign is None else c[:-1]
-            if not (word.isalpha() and (word.isascii() or max(word) < LETTERS_END)):
-                lists.append(None)
-                rest.append(k)
-                continue
-            ids = words.get(word)
-            if ids is None:
-                at = self.index.get(word)
-                ids = words[word] = ([t.id for t in self.model.model.tokenize("Ġ" + _byte_signs(word))] if at is None
-                                     else self.flat[self.ends[at]:self.ends[at + 1]].tolist())
-            lists.append(ids if sign is None else ids + sign)
-        texts = [c if c[:1] == "\n" else c[1:] if c[:1] == FIRST else f" {c}" for c in map(keys.__getitem__, rest)]
-        for k, ids in zip(rest, self._encode_chunks(texts), strict=True):
-            lists[k] = ids
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.apart[0])
+        return ids[ids != self.apart[0]], np.diff(np.r_[-1, ends]) - 1
+
+    def _add(self, keys: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat = np.r_[self.flat, flat]
         self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(size)]
         self.uses = np.r_[self.uses, np.zeros(len(keys), np.int64)]
         at = len(self.index)
         self.index.update(zip(keys, range(at, at + len(keys)), strict=True))
 
+    def _learn(self, fresh: set[str]) -> None:
+        """A word of letters with a full stop or comma is the word and the sign: the pre-tokenizer always cuts between them."""
+        signed = [c for c in fresh if c[-1] in self.signs and (w := c[:-1]).isalpha() and (w.isascii() or max(w) < LETTERS_END)]
+        rest = list(fresh.difference(signed).union(c[:-1] for c in signed).difference(self.index))
+        if rest:
+            self._add(rest, *self._encode_chunks([c if c[0] == "\n" else c[1:] if c[0] == FIRST else f" {c}" for c in rest]))
+        if signed:
+            at = np.fromiter((self.index[c[:-1]] for c in signed), np.int64, len(signed))
+            size = self.ends[at + 1] - self.ends[at]
+            ends = np.cumsum(size + 1)
+            flat = np.empty(int(ends[-1]), np.uint32)
+            flat[ends - 1] = [self.signs[c[-1]] for c in signed]
+            inside = np.ones(len(flat), dtype=bool)
+            inside[ends - 1] = False
+            total = np.cumsum(size)
+            flat[inside] = self.flat[np.repeat(self.ends[at] - (total - size), size) + np.arange(int(total[-1]))]
+            self._add(signed, flat, size + 1)
+
     def _shrink(self) -> None:
         """Forget the chunks that were met only once."""
         keep = self.uses > 1
@@ -141,7 +133,7 @@ class ByteEncoder:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         keys = list(chain.from_iterable(found))
         index = self.index
-        fresh = list(set(keys).difference(index))
+        fresh = set(keys).difference(index)
         if fresh:
             self._learn(fresh)
         at = np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))
@@ -152,11 +144,6 @@ class ByteEncoder:
         return flat, total[np.r_[0, np.cumsum(counts)]]
 
 
-def _byte_signs(word: str) -> str:
-    """The letters by which a byte-level model writes the bytes of a word."""
-    return word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
-
-
 def even(text: str) -> bool:
     """Whether all white space of a text is single spaces and line ends inside it."""
     if text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
@@ -166,14 +153,20 @@ def even(text: str) -> bool:
     return not RARE_BLANK.search(text)
 
 
-def token_ids(rows: DataFrame, model_path: str, end_id: int) -> DataFrame:
-    """(doc_id, tie, ids) with ids as little-endian unsigned 32-bit integers, the end id last."""
+def id_type(model_path: str, end_id: int) -> str:
+    """Little-endian unsigned integers of 16 bits where all ids fit, else of 32."""
+    return "<u2" if max(end_id, ByteEncoder(model_path).model.get_vocab_size() - 1) < 1 << 16 else "<u4"
+
+
+def token_ids(rows: DataFrame, model_path: str, end_id: int, kind: str) -> DataFrame:
+    """(doc_id, tie, ids) with ids as integers of ``kind``, the end id last."""
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = ByteEncoder(model_path), np.uint32(end_id).tobytes()
+        encoder, last = ByteEncoder(model_path), np.array([end_id], kind).tobytes()
         for batch in pieces_of_batches(batches, "text", 4 << 20):
             flat, ends = encoder.encode([t or "" for t in batch.column(2).to_pylist()])
-            raw, at = flat.astype("<u4").tobytes(), (ends * 4).tolist()
+            raw, at = flat.astype(kind).tobytes(), (ends * width).tolist()
             ids = [raw[a:b] + last for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())],
                                              ["doc_id", "tie", "ids"])
@@ -181,13 +174,13 @@ def token_ids(rows: DataFrame, model_path: str, end_id: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, kind: str) -> DataFrame:
     """(id, n) over the whole table; every task sends one row per id it saw."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
             total = np.pad(total, (0, max(0, len(got) - len(total))))
             total[: len(got)] += got
         seen = np.flatnonzero(total)
@@ -283,10 +276,10 @@ def unpack_bits(raw: bytes, starts: np.ndarray, counts: np.ndarray, packed: byte
 
 # ---- files -------------------------------------------------------------------------------------------------------------
 
-def _block(part: int, first: int, docs: list[tuple[int | None, bytes]], lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    ids = np.frombuffer(b"".join(r for _, r in docs), "<u4")
+def _block(part: int, first: int, docs: list[tuple[int | None, bytes]], kind: str, lengths: np.ndarray, codes: np.ndarray) -> bytes:
+    ids = np.frombuffer(b"".join(r for _, r in docs), kind)
     bits, start = pack_bits(ids, codes, lengths)
-    table = b"".join((struct.pack("<qBQ", 0 if d is None else d, d is None, len(r) // 4) for d, r in docs))
+    table = b"".join((struct.pack("<qBQ", 0 if d is None else d, d is None, len(r) // ids.itemsize) for d, r in docs))
     marks = start[::STEP].astype("<u8").tobytes()
     return HEAD.pack(MAGIC, len(docs), len(marks) // 8, part, first, len(ids), len(bits)) + table + marks + bits
 
@@ -297,8 +290,12 @@ def write_token_files(df: DataFrame, path: str, model_path: str, end_id: int = 0
     spark = df.sparkSession
     rows = narrow(df, doc_id=f"{id_column}:long", text=f"{text_column}:string")
     rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    ids = cut_lineage(token_ids(rows, model_path, end_id))
-    counts = id_counts(ids).collect()  # one row per id of the vocabulary at most
+    kind = id_type(model_path, end_id)
+    width, staged = np.dtype(kind).itemsize, shared_path(spark, "ids")
+    token_ids(rows, model_path, end_id, kind).write.option("compression", "zstd").parquet(staged)
+    ids = spark.read.parquet(staged)
+    ids._cut_path = staged  # freed by discard
+    counts = id_counts(ids, kind).collect()  # one row per id of the vocabulary at most
     n = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         n[r["id"]] = r["n"]
@@ -312,12 +309,12 @@ def write_token_files(df: DataFrame, path: str, model_path: str, end_id: int = 0
         part, first, held, docs = TaskContext.get().partitionId(), 0, 0, []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([_block(part, first, docs, lengths, codes)], pa.binary())], ["value"])
+            return pa.RecordBatch.from_arrays([pa.array([_block(part, first, docs, kind, lengths, codes)], pa.binary())], ["value"])
 
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 docs.append((doc, raw))
-                held += len(raw) // 4
+                held += len(raw) // width
                 if held >= BLOCK_TOKENS:
                     yield out()
                     first, held, docs = first + held, 0, []

@@ -160,6 +160,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process; what it keeps serves later tasks too."""
+    return Encoder(vocabulary(path))
+
+
 class Encoder:
     """Encodes texts; ids of words seen before are kept, ``KEPT_WORDS`` words at most."""
 
@@ -219,7 +225,7 @@ def encode_pieces(df: DataFrame, model_path: str, id_column: str = "doc_id", tex
     """(doc_id, ids array<int>, n_tokens) of every row. NULL or empty text: an empty list."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(model_path))
+        encoder = encoder_of(model_path)
         for batch in pieces_of_batches(batches, "text"):
             flat, ends = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
@@ -248,8 +254,8 @@ def round_trip_digests(df: DataFrame, model_path: str, id_column: str = "doc_id"
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): ids of every whole text, and the text that decoding those ids gives."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_path)
-        encoder = Encoder(vocab)
+        encoder = encoder_of(model_path)
+        vocab = encoder.vocab
         decimal = [str(i) for i in range(len(vocab.text))]
         for batch in pieces_of_batches(batches, "text", 4 << 20):
             flat, ends = encoder.encode([t or "" for t in batch.column(1).to_pylist()])

@@ -153,9 +153,15 @@ def even(text: str) -> bool:
     return not RARE_BLANK.search(text)
 
 
+@lru_cache(maxsize=1)
+def byte_encoder(path: str) -> ByteEncoder:
+    """One encoder per worker process; what it keeps serves later tasks too."""
+    return ByteEncoder(path)
+
+
 def id_type(model_path: str, end_id: int) -> str:
     """Little-endian unsigned integers of 16 bits where all ids fit, else of 32."""
-    return "<u2" if max(end_id, ByteEncoder(model_path).model.get_vocab_size() - 1) < 1 << 16 else "<u4"
+    return "<u2" if max(end_id, byte_encoder(model_path).model.get_vocab_size() - 1) < 1 << 16 else "<u4"
 
 
 def token_ids(rows: DataFrame, model_path: str, end_id: int, kind: str) -> DataFrame:
@@ -163,7 +169,7 @@ def token_ids(rows: DataFrame, model_path: str, end_id: int, kind: str) -> DataF
     width = np.dtype(kind).itemsize
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = ByteEncoder(model_path), np.array([end_id], kind).tobytes()
+        encoder, last = byte_encoder(model_path), np.array([end_id], kind).tobytes()
         for batch in pieces_of_batches(batches, "text", 4 << 20):
             flat, ends = encoder.encode([t or "" for t in batch.column(2).to_pylist()])
             raw, at = flat.astype(kind).tobytes(), (ends * width).tolist()

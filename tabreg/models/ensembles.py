@@ -76,7 +76,7 @@ class DecisionTree(SparkRegressor):
 
 
 class RandomForest(SparkRegressor):
-    defaults = {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 1, "max_features": "all",
+    defaults = {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 1, "max_features": "all",
                 "bootstrap": True, "min_weight_fraction_leaf": 0.0, "min_impurity_decrease": 0.0, "max_samples": 1.0,
                 "random_state": 42, "max_bins": 32}
     ignored = TREE_IGNORED

@@ -117,7 +117,7 @@ class SGD(Regressor):
         o = self.params
         loss = "squared_error" if o["loss"] == "squared_loss" else o["loss"]
         coef, b = descend(df, features, target, loss=loss, penalty=o["penalty"], alpha=o["alpha"],
-                          l1_ratio=o["l1_ratio"], eps=o["epsilon"], rounds=min(int(o["max_iter"]), 100),
+                          l1_ratio=o["l1_ratio"], eps=o["epsilon"], rounds=int(o["max_iter"]),
                           tol=o["tol"], step=o["eta0"], power=o["power_t"], fit_intercept=o["fit_intercept"],
                           patience=int(o["n_iter_no_change"]))
         return FittedLinear(features, coef, b)
@@ -206,6 +206,9 @@ def _units(df: DataFrame, features) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s.shift[c] for c in features]), np.array([s.width[c] or 1.0 for c in features])
 
 
+UNLIMITED = 1_000  # rounds of a fit whose caller sets no limit; it stops by its tolerance
+
+
 class SupportVector(Regressor):
     """epsilon-insensitive regression.  kernel 'linear' solves the linear machine; 'rbf' uses random
     features and is an approximation of the kernel machine, declared as such."""
@@ -215,7 +218,7 @@ class SupportVector(Regressor):
 
     def fit(self, df, features, target):
         o = self.params
-        rounds = int(o["max_iter"]) if 0 < o["max_iter"] < 100 else 30
+        rounds = int(o["max_iter"]) if o["max_iter"] > 0 else UNLIMITED
         options = dict(eps=o["epsilon"], strength=1.0 / o["C"], rounds=rounds, tol=o["tol"])
         if o["kernel"] == "linear":
             return FittedLinear(features, *reweighted(df, features, target, **options))
@@ -261,8 +264,18 @@ class KernelRidge(Regressor):
         return FittedMapped(features, mapper, coef, g.intercept(coef, True))
 
 
+def unit_keys(keys: np.ndarray, trial: int) -> np.ndarray:
+    """The rows' keys as numbers from 0 to 1, mixed in the trial's own way."""
+    mixed = (keys ^ np.uint64((trial + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(11)) / 2.0 ** 53
+
+
 class Ransac(Regressor):
-    """Random sample consensus.  One job draws all trial samples, one scan counts every trial's inliers."""
+    """Random sample consensus.  One job draws all trial samples, one scan counts every trial's inliers.
+
+    Every trial draws its own rows by a hash of the row (equal rows are counted together first), so draws depend neither on other
+    trials nor on the file layout, and all ``max_trials`` trials run.  Samples too large to fetch differ only in that a row joins with chance m/n."""
 
     defaults = {"min_samples": None, "residual_threshold": None, "max_trials": 100, "loss": "absolute_error",
                 "random_state": 42}
@@ -270,20 +283,39 @@ class Ransac(Regressor):
 
     @staticmethod
     def _small_samples(keyed, p, m, trials, n):
-        """Disjoint random samples: the rows with the smallest keys, cut into trials."""
-        drawn = keyed.orderBy("k").limit(m * trials).drop("k").toPandas().to_numpy(float)
-        rules = []
-        for t in range(len(drawn) // m):
-            part = drawn[t * m:(t + 1) * m]
-            x = np.column_stack([part[:, :p], np.ones(m)])
-            rules.append(np.linalg.lstsq(x, part[:, p], rcond=None)[0])
-        return rules
+        """For every trial the m different rows with the smallest keys, mixed anew for each trial: independent draws, whatever the
+        layout.  A row that occurs c times gets the smallest of c keys."""
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = [(np.empty(0), np.empty((0, p + 1)))] * trials
+            for batch in batches:
+                z = np.column_stack([matrix(batch, p), batch.column(p).to_numpy(zero_copy_only=False).astype(float)])
+                k = batch.column(p + 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                copies = batch.column(p + 2).to_numpy(zero_copy_only=False).astype(float)
+                for t in range(trials):
+                    mixed = -np.expm1(np.log1p(-unit_keys(k, t)) / copies)
+                    first = np.argpartition(mixed, m - 1)[:m] if len(mixed) > m else np.arange(len(mixed))
+                    keys, rows = np.r_[kept[t][0], mixed[first]], np.r_[kept[t][1], z[first]]
+                    order = np.argsort(keys, kind="stable")[:m]
+                    kept[t] = keys[order], rows[order]
+            for t, (keys, rows) in enumerate(kept):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys),
+                                                  pa.array(list(rows), pa.list_(pa.float64()))], names=["t", "k", "row"])
+
+        def solve(group: pa.Table) -> pa.Table:
+            rows = np.array(group.column("row").to_pylist()).reshape(-1, p + 1)
+            part = rows[np.lexsort([*rows.T[::-1], group.column("k").to_numpy()])[:m]]
+            rule = np.linalg.lstsq(np.column_stack([part[:, :p], np.ones(len(part))]), part[:, p], rcond=None)[0]
+            return pa.table({"t": pa.array([group.column("t")[0].as_py()], pa.int32()), "rule": pa.array([rule.tolist()], pa.list_(pa.float64()))})
+
+        drawn = keyed.mapInArrow(draw, "t int, k double, row array<double>").groupBy("t").applyInArrow(solve, "t int, rule array<double>")
+        return [np.array(r["rule"]) for r in drawn.orderBy("t").collect()]
 
     @staticmethod
     def _large_samples(keyed, p, m, trials, n):
         """Samples too large to fetch: each row joins each trial with chance m/n, by a mixed key, and
         one scan sums the normal equations of every trial."""
-        share = np.uint64(min(m / n, 1.0) * (2 ** 64 - 1))
+        share = min(m / n, 1.0)
         d = (p + 2) * (p + 2)
 
         def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,11 +324,11 @@ class Ransac(Regressor):
                 z = np.column_stack([matrix(batch, p), np.ones(batch.num_rows),
                                      batch.column(p).to_numpy(zero_copy_only=False).astype(float)])
                 k = batch.column(p + 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                copies = batch.column(p + 2).to_numpy(zero_copy_only=False).astype(float)
                 for t in range(trials):
-                    mixed = (k ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)) * np.uint64(0xBF58476D1CE4E5B9)
-                    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                    part = z[mixed <= share]
-                    sums[t] += (part.T @ part).ravel()
+                    times = np.floor(copies * share + unit_keys(k, t))
+                    part = z[times > 0]
+                    sums[t] += ((part * times[times > 0, None]).T @ part).ravel()
             flat = sums.ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)],
                                              names=["k", "v"])
@@ -323,9 +355,9 @@ class Ransac(Regressor):
             off = df.select(F.abs(clean_double(target) - F.lit(mid)).alias("d"))
             limit = column_quantiles(off, ["d"], [0.5])["d"][0]
         view = numeric_view(df, features, target)
-        key = F.xxhash64(F.lit(int(o["random_state"])), *[F.col(c) for c in view.columns],
-                         F.monotonically_increasing_id())
-        keyed = view.withColumn("k", key)
+        key = F.xxhash64(F.lit(int(o["random_state"])), *[F.col(c) for c in view.columns])
+        names = view.columns
+        keyed = view.groupBy(*names).agg(F.count(F.lit(1)).alias("copies")).select(*names, key.alias("k"), "copies")
         rules = (self._small_samples if m * trials <= self.max_drawn else self._large_samples)(keyed, p, m, trials, n)
         if not rules:
             raise ValueError("not enough rows for one trial")
@@ -353,7 +385,7 @@ class Ransac(Regressor):
         error = F.abs(clean_double(target) - rule.column())
         inliers = df.where((error * error if squared else error) <= F.lit(float(limit)))
         done = LinearRegression().fit(inliers, features, target)
-        done.info = {"inliers": int(best["hits"]), "threshold": float(limit)}
+        done.info = {"inliers": int(best["hits"]), "threshold": float(limit), "trials": len(rules)}
         return done
 
 

@@ -1,17 +1,16 @@
-"""Robust local linear smoothing (Cleveland 1979) over row positions.
+"""Robust local linear smoothing (Cleveland 1979) over row positions, exact at any size.
 
-Local lines are fitted at anchor positions.  Tasks add up five weighted sums per anchor over their own
-rows, Spark sums them, and the lines of at most MAX_ANCHORS anchors are solved on the driver.  With
-no more rows than anchors every row is an anchor and the result is the exact LOWESS; beyond that,
-values between anchors are interpolated linearly (Cleveland's own speed-up).
+Rows are dealt by position into chunks of ``CHUNK`` rows.  Every chunk meets each output chunk that its rows can reach (as many as
+the window spans), and each such pair adds up five weighted sums per output position in one task; Spark sums the parts.  So a task
+holds one chunk, however wide the window or long the table, and every row takes part in its own k nearest rows' fits only.  Each
+robust round writes position, value and fit to the shared folder and frees the one before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +18,9 @@ from pyspark.sql import functions as F
 from tabreg.functions.columns import clean_double, numeric_columns, q
 from tabreg.operators.order import INDEX, with_row_index
 from tabreg.operators.quantiles import column_quantiles
-from tabreg.sources.storage import cut_lineage
+from tabreg.sources.storage import cut_lineage, discard
 
-MAX_ANCHORS = 4_000
+CHUNK = 20_000
 
 
 def tricube(u: np.ndarray) -> np.ndarray:
@@ -29,11 +28,6 @@ def tricube(u: np.ndarray) -> np.ndarray:
     return np.where(u > 0.999, 0.0, np.where(u < 0.001, 1.0, (1.0 - np.minimum(u, 1.0) ** 3) ** 3))
 
 
-def bisquare(u: np.ndarray) -> np.ndarray:
-    u = np.abs(u)
-    return np.where(u > 0.999, 0.0, np.where(u < 0.001, 1.0, (1.0 - np.minimum(u, 1.0) ** 2) ** 2))
-
-
 def neighbourhoods(at: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, last, radius) of the k nearest positions on an even grid."""
     left = np.clip(np.ceil(at - k / 2), 0, n - k).astype(np.int64)
@@ -41,93 +35,78 @@ def neighbourhoods(at: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarr
     return left, right, np.maximum(at - left, right - at).astype(float)
 
 
-def local_sums(pos: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray,
-               radius: np.ndarray) -> np.ndarray:
-    """Five sums per anchor over these rows, distances in units of the radius."""
+def local_sums(pos: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Five sums for each position ``at`` over the sorted rows ``pos``, distances in units of the radius."""
     out = np.zeros((5, len(at)))
-    near = np.flatnonzero((left <= pos.max()) & (right >= pos.min()))
-    for block in np.array_split(near, max(1, len(near) * len(pos) // 2_000_000 + 1)):
-        if not len(block):
+    left, right, radius = neighbourhoods(at, n, k)
+    width = max(16, min(k // 2, 2_000_000 // min(len(pos), 2 * k)))
+    for start in range(0, len(at), width):
+        block = slice(start, start + width)
+        lo, hi = np.searchsorted(pos, left[block][0]), np.searchsorted(pos, right[block][-1], side="right")
+        if lo == hi:
             continue
-        d = (pos[None] - at[block, None]) / np.maximum(radius[block, None], 1e-300)
-        weight = tricube(d) * w[None]
-        weight[(pos[None] < left[block, None]) | (pos[None] > right[block, None])] = 0.0
+        p, z = pos[lo:hi], y[lo:hi]
+        d = (p[None] - at[block, None]) / np.maximum(radius[block, None], 1e-300)
+        weight = tricube(d) * w[None, lo:hi]
+        weight[(p[None] < left[block, None]) | (p[None] > right[block, None])] = 0.0
         wd = weight * d
-        out[:, block] = [weight.sum(1), wd.sum(1), (wd * d).sum(1), weight @ y, wd @ y]
+        out[:, block] = [weight.sum(1), wd.sum(1), (wd * d).sum(1), weight @ z, wd @ z]
     return out
 
 
-def local_lines(s: np.ndarray) -> np.ndarray:
-    """Height of the weighted local line at its anchor."""
-    s0, s1, s2, t0, t1 = s
-    with np.errstate(divide="ignore", invalid="ignore"):
-        det = s0 * s2 - s1 * s1
-        line = (s2 * t0 - s1 * t1) / det
-        mean = t0 / s0
-        return np.where(det > 1e-12 * s0 * s0, line, np.where(s0 > 0, mean, np.nan))
-
-
 def lowess(df: DataFrame, k: int, order_by: Sequence[str], cols: Sequence[str] | None = None,
-           robust_rounds: int = 3, max_anchors: int = MAX_ANCHORS, **options) -> DataFrame:
+           robust_rounds: int = 3, chunk: int = CHUNK, **options) -> DataFrame:
     """Smooth with the k nearest rows.  A missing cell takes no part and stays missing; positions are
-    counted over the present rows."""
+    counted over the present rows.  Where every neighbour has lost its weight, the value itself stays."""
     names = list(cols) if cols is not None else [c for c in numeric_columns(df) if c not in order_by]
     out = cut_lineage(with_row_index(df, order_by, "__row", **options))
     for c in names:
         made = _smooth_one(out.select("__row", clean_double(c).alias("y")).where(F.col("y").isNotNull()),
-                           k, robust_rounds, max_anchors, options)
+                           k, robust_rounds, chunk, options)
         out = out.join(made, "__row", "left").withColumn(c, F.col("__fit")).drop("__fit")
     return out.select(*[q(c) for c in df.columns])
 
 
-def _smooth_one(rows: DataFrame, k: int, robust_rounds: int, max_anchors: int, options: dict) -> DataFrame:
-    rows = cut_lineage(with_row_index(rows, ["__row"], **options))
+def _smooth_one(rows: DataFrame, k: int, robust_rounds: int, chunk: int, options: dict) -> DataFrame:
+    rows = cut_lineage(with_row_index(rows, ["__row"], **options).withColumn("w", F.lit(1.0)))
     n = rows.count()
     if n < 3:
         return rows.select("__row", F.col("y").alias("__fit"))
     k = max(2, min(int(k), n))
-    at = np.unique(np.linspace(0, n - 1, min(n, max_anchors)).round().astype(np.int64)).astype(float)
-    left, right, radius = neighbourhoods(at, n, k)
-    fit: np.ndarray | None = None
-    cut = 0.0
+    last = (n - 1) // chunk
+
+    def add_up(key: tuple, group: pa.Table) -> pa.Table:
+        own, other = int(key[0].as_py()), int(key[1].as_py())
+        order = np.argsort(group.column(INDEX).to_numpy())
+        pos, y, w = (group.column(c).to_numpy()[order].astype(float) for c in (INDEX, "y", "w"))
+        low, high = max(own * chunk, int(pos[0]) - k), min((own + 1) * chunk, n, int(pos[-1]) + k + 1)
+        at = np.arange(low, max(low, high), dtype=float)
+        sums = local_sums(pos, y, w, at, n, k) if len(at) else np.zeros((5, 0))
+        hit = np.flatnonzero(sums[0]) if own != other else np.arange(len(at))
+        return pa.table({"at": pa.array(at[hit].astype(np.int64)),
+                         **{c: pa.array(s[hit]) for c, s in zip(("s0", "s1", "s2", "t0", "t1"), sums)}})
+
     for r in range(robust_rounds + 1):
-        previous, limit = fit, cut
-
-        def add_up(batches: Iterator[pa.RecordBatch], previous=previous, limit=limit) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((5, len(at)))
-            for batch in batches:
-                pos = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-                y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-                if not len(pos):
-                    continue
-                w = np.ones(len(y)) if previous is None else bisquare(
-                    (y - np.interp(pos, at, previous)) / max(limit, 1e-300))
-                sums += local_sums(pos, y, w, at, left, right, radius)
-            hit = np.flatnonzero(sums[0])
-            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), *[pa.array(s[hit]) for s in sums]],
-                                             names=["a", "s0", "s1", "s2", "t0", "t1"])
-
-        got = (rows.select(INDEX, "y").mapInArrow(add_up, "a int, s0 double, s1 double, s2 double, t0 double, t1 double")
-               .groupBy("a").agg(*[F.sum(c).alias(c) for c in ("s0", "s1", "s2", "t0", "t1")]).toPandas())
-        sums = np.zeros((5, len(at)))
-        sums[:, got["a"].to_numpy()] = got[["s0", "s1", "s2", "t0", "t1"]].to_numpy().T
-        line = local_lines(sums)
-        known = ~np.isnan(line)
-        if not known.any():
-            break
-        fit = np.interp(at, at[known], line[known])
+        other = F.floor(F.col(INDEX) / chunk).cast("long")
+        reach = F.explode(F.sequence(F.greatest(F.floor((F.col(INDEX) - k) / chunk), F.lit(0)).cast("long"),
+                                     F.least(F.floor((F.col(INDEX) + k) / chunk), F.lit(last)).cast("long")))
+        sums = (rows.select(INDEX, "y", "w", other.alias("other"), reach.alias("own")).groupBy("own", "other")
+                .applyInArrow(add_up, "at long, s0 double, s1 double, s2 double, t0 double, t1 double")
+                .groupBy("at").agg(*[F.sum(c).alias(c) for c in ("s0", "s1", "s2", "t0", "t1")]))
+        det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
+        line = (F.when(F.col("s0") <= 0, F.col("y"))
+                .when(det > 1e-12 * F.col("s0") * F.col("s0"), (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det)
+                .otherwise(F.col("t0") / F.col("s0")))
+        fitted = cut_lineage(rows.drop("w").join(sums, F.col(INDEX) == F.col("at"))
+                             .select("__row", INDEX, "y", line.alias("__fit")))
+        discard(rows)
+        rows = fitted
         if r == robust_rounds:
             break
-        spread = rows.select(F.abs(F.col("y") - _interpolated(at, fit)).alias("e"))
+        spread = rows.select(F.abs(F.col("y") - F.col("__fit")).alias("e"))
         cut = 6.0 * column_quantiles(spread, ["e"], [0.5])["e"][0]
         if cut == 0.0:
             break
-    return rows.select("__row", _interpolated(at, fit).alias("__fit"))
-
-
-def _interpolated(at: np.ndarray, fit: np.ndarray):
-    @F.pandas_udf("double")
-    def value(pos: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(pos.to_numpy(float), at, fit))
-
-    return value(F.col(INDEX))
+        u = F.abs(F.col("y") - F.col("__fit")) / cut
+        rows = rows.withColumn("w", F.when(u > 0.999, 0.0).when(u < 0.001, 1.0).otherwise(F.pow(1 - u * u, 2)))
+    return rows.select("__row", "__fit")

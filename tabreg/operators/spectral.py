@@ -39,9 +39,9 @@ def _few(df: DataFrame, pairs: list[tuple[str, str]], target: str) -> DataFrame:
         z = F.when(y.isNotNull(), index_value(a, b))
         seen = F.when(z.isNotNull(), y)
         aggs += [F.count(z).cast("double").alias(f"n{i}"), F.covar_pop(z, seen).alias(f"c{i}"),
-                 F.var_pop(z).alias(f"z{i}"), F.var_pop(seen).alias(f"y{i}")]
+                 F.var_pop(z).alias(f"z{i}"), F.var_pop(seen).alias(f"y{i}"), F.avg(seen).alias(f"m{i}")]
     cells = [F.struct(F.lit(a).alias("band1"), F.lit(b).alias("band2"), F.col(f"n{i}").alias("n"),
-                      F.col(f"c{i}").alias("szy"), F.col(f"z{i}").alias("szz"), F.col(f"y{i}").alias("syy"))
+                      F.col(f"c{i}").alias("szy"), F.col(f"z{i}").alias("szz"), F.col(f"y{i}").alias("syy"), (F.col(f"m{i}") * F.col(f"m{i}")).alias("yy"))
              for i, (a, b) in enumerate(pairs)]
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
@@ -90,7 +90,8 @@ def _many(df: DataFrame, bands: list[str], target: str) -> DataFrame:
         F.get(names, F.col("j")).alias("band2"), "n",
         ((F.col("vzy") + F.col("mzy") - F.col("sz") * F.col("sy") / n) / n).alias("szy"),
         ((F.col("vz") + F.col("mzz") - F.col("sz") * F.col("sz") / n) / n).alias("szz"),
-        ((F.col("vy") + F.col("myy") - F.col("sy") * F.col("sy") / n) / n).alias("syy"))
+        ((F.col("vy") + F.col("myy") - F.col("sy") * F.col("sy") / n) / n).alias("syy"),
+        (F.col("sy") * F.col("sy") / n / n).alias("yy"))
 
 
 def ndsi_correlations(df: DataFrame, roles: Roles) -> DataFrame:
@@ -100,7 +101,8 @@ def ndsi_correlations(df: DataFrame, roles: Roles) -> DataFrame:
     if not pairs:
         raise ValueError("at least two bands are needed")
     sums = _few(df, pairs, roles.target) if len(pairs) <= FEW_PAIRS else _many(df, bands, roles.target)
-    flat = (F.col("szz") <= 1e-24) | (F.col("syy") <= 1e-24)
+    # what is left of a constant by rounding, in its own units
+    flat = (F.col("szz") <= 1e-24) | (F.col("syy") <= F.lit(1e-24) * F.col("yy"))
     r = F.when(~flat, F.try_divide(F.col("szy"), F.sqrt("szz") * F.sqrt("syy")))
     r = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
     out = sums.withColumn("Pearson_Corr", F.when(~flat, r))

@@ -102,8 +102,14 @@ def pca_bands(spark, sf):
 
 # --- smoothing and wrappers -------------------------------------------------------------------------
 
-def lowess_sql(k, digits=5):
-    """Four weighted local-line passes over the hourly series; each later pass reads the residuals of the one before."""
+_HOURLY_MEANS = """WITH a AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS y FROM events GROUP BY 1),
+ g AS (SELECT unnest(generate_series((SELECT min(ts) FROM a), (SELECT max(ts) FROM a), INTERVAL 1 HOUR)) AS ts),
+ p AS MATERIALIZED (SELECT ts, y, row_number() OVER (ORDER BY ts) - 1 AS i FROM a),"""
+
+
+def lowess_sql(k, digits=5, by_event=False):
+    """Four weighted local-line passes over the hourly series, or over all events; each later pass reads the residuals of the
+    one before."""
     passes = []
     for t in range(4):
         weight = "n.w" if t == 0 else "n.w * b.bw"
@@ -115,15 +121,19 @@ def lowess_sql(k, digits=5):
             passes.append(f"""e{t} AS (SELECT p.i, abs(p.y - f.fit) AS e FROM p JOIN f{t} f USING (i)),
  u{t} AS (SELECT i, e / (6 * (SELECT median(e) FROM e{t})) AS u FROM e{t}),
  b{t + 1} AS MATERIALIZED (SELECT i, CASE WHEN u > 0.999 THEN 0 WHEN u < 0.001 THEN 1 ELSE pow(1 - u * u, 2) END AS bw FROM u{t})""")
-    return f"""WITH a AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS y FROM events GROUP BY 1),
- g AS (SELECT unnest(generate_series((SELECT min(ts) FROM a), (SELECT max(ts) FROM a), INTERVAL 1 HOUR)) AS ts),
- p AS MATERIALIZED (SELECT ts, y, row_number() OVER (ORDER BY ts) - 1 AS i FROM a),
+    if by_event:
+        first = """WITH p AS MATERIALIZED (SELECT event_id, value AS y, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events),"""
+        final = f"SELECT p.event_id, {r('f3.fit', digits)} AS value FROM p JOIN f3 USING (i)"
+    else:
+        first, final = _HOURLY_MEANS, f"""SELECT CAST(g.ts AS TIMESTAMP) AS ts, {r('f3.fit', digits)} AS value
+FROM g LEFT JOIN p USING (ts) LEFT JOIN f3 ON f3.i = p.i"""
+    return f"""{first}
  c AS (SELECT p.i, greatest(0, least(n - {k}, CAST(ceil(i - {k} / 2.0) AS BIGINT))) AS l FROM p, (SELECT count(*) AS n FROM p)),
  h AS (SELECT i, l, greatest(i - l, l + {k} - 1 - i) AS h FROM c),
  v AS (SELECT h.i, q.i AS j, q.y, (q.i - h.i) / CAST(h.h AS DOUBLE) AS d FROM h JOIN p q ON q.i BETWEEN h.l AND h.l + {k} - 1),
  near AS MATERIALIZED (SELECT *, CASE WHEN abs(d) > 0.999 THEN 0 WHEN abs(d) < 0.001 THEN 1
   ELSE pow(1 - pow(abs(d), 3), 3) END AS w FROM v), {', '.join(passes)}
-SELECT CAST(g.ts AS TIMESTAMP) AS ts, {r('f3.fit', digits)} AS value FROM g LEFT JOIN p USING (ts) LEFT JOIN f3 ON f3.i = p.i"""
+{final}"""
 
 
 @register("lowess_hourly_means", lowess_sql(72))
@@ -132,6 +142,12 @@ def lowess_hourly_means(spark, sf):
     return round_all(lowess.lowess(series, 72, ["ts"]), 5)
 
 
+@register("lowess_all_events", lowess_sql(72, by_event=True))
+def lowess_all_events(spark, sf):
+    df = load(spark, sf, "events").select("event_id", "ts", "value")
+    return round_all(lowess.lowess(df, 72, ["ts", "event_id"], ["value"]).drop("ts"), 5)
+
+
 PLANTED_ROLES = Roles(["p_size", "p_partkey", "noise_a", "noise_b"], "y", row_id=["p_partkey"])
 
 
@@ -337,6 +353,50 @@ for _name, _args in SMALL.items():
     register(f"fit_{_name}")(_score)
 
 
+# A yes/no feature: one tree, one boosting step and the log-link families must all give the mean of either side.
+BINARY = {"DecisionTreeRegressor": {}, "RandomForestRegressor": {"n_estimators": 1, "bootstrap": False},
+          "BaggingRegressor": {"n_estimators": 1, "bootstrap": False}, "GradientBoostingRegressor": {"n_estimators": 1, "learning_rate": 1.0},
+          "HistGradientBoostingRegressor": {"max_iter": 1, "learning_rate": 1.0}, "XGBRegressor": {"n_estimators": 1, "learning_rate": 1.0},
+          "LGBMRegressor": {"n_estimators": 1, "learning_rate": 1.0}, "AdaBoostRegressor": {"n_estimators": 1},
+          "PoissonRegressor": {"alpha": 0.0}, "GammaRegressor": {"alpha": 0.0}, "LinearRegression": {}}
+for _name, _args in BINARY.items():
+    def _binary(spark, sf, name=_name, args=_args):
+        df = load(spark, sf, "lineitem").select((F.col("l_quantity") > 25).cast("double").alias("flag"), F.col("l_extendedprice").alias("y"))
+        model = make(name, **args).fit(df, ["flag"], "y")
+        return round_all(model.predict(df).groupBy("flag").agg(F.max("prediction").alias("highest"), F.min("prediction").alias("lowest"),
+                                                               F.count(F.lit(1)).alias("row_count")), 2)
+
+    register(f"binary_feature_{_name}", f"""
+WITH s AS (SELECT CAST(l_quantity > 25 AS INTEGER)::DOUBLE AS flag, l_extendedprice AS y FROM lineitem)
+SELECT flag, {r('avg(y)', 2)} AS highest, {r('avg(y)', 2)} AS lowest, count(*) AS row_count FROM s GROUP BY flag""")(_binary)
+
+# A line that every row lies on, or all rows but each tenth order's, which are moved far away.
+PLANTED_LINE = {"LinearSVR": (False, {}), "QuantileRegressor": (True, {}), "RANSACRegressor": (True, {}), "BayesianRidge": (False, {}),
+                "RidgeCV": (False, {}), "HuberRegressor": (False, {})}
+for _name, (_moved, _args) in PLANTED_LINE.items():
+    def _line(spark, sf, name=_name, args=_args, moved=_moved):
+        far = F.when(F.lit(moved) & (F.col("l_orderkey") % 10 == 0), 5000.0 + 13 * F.col("l_quantity")).otherwise(0.0)
+        df = load(spark, sf, "lineitem").select("l_quantity", (3 * F.col("l_quantity") + 7 + far).alias("y"))
+        coefficients = _coefficients(spark, make(name, **args).fit(df, ["l_quantity"], "y"))
+        return coefficients.withColumn("coefficient", F.round("coefficient", 1) + F.lit(0.0))
+
+    register(f"planted_line_{_name}", f"""
+WITH s AS (SELECT l_quantity, 3 * l_quantity + 7 AS y FROM lineitem {"WHERE l_orderkey % 10 <> 0" if _moved else ""})
+SELECT 'l_quantity' AS term, {r('regr_slope(y, l_quantity)', 1)} AS coefficient FROM s
+UNION ALL SELECT '(intercept)', {r('regr_intercept(y, l_quantity)', 1)} FROM s""")(_line)
+
+
+@register("ransac_trials", f"""
+WITH s AS (SELECT l_quantity, 3 * l_quantity + 7 AS y FROM lineitem WHERE l_orderkey % 10 <> 0)
+SELECT CAST(100 AS BIGINT) AS trials, count(*) AS inliers FROM s""")
+def ransac_trials(spark, sf):
+    """All trials run whatever their size, and the best one counts every row of the line."""
+    far = F.when(F.col("l_orderkey") % 10 == 0, 5000.0 + 13 * F.col("l_quantity")).otherwise(0.0)
+    df = load(spark, sf, "lineitem").select("l_quantity", (3 * F.col("l_quantity") + 7 + far).alias("y"))
+    info = make("RANSACRegressor", min_samples=2, residual_threshold=1.0, max_trials=100).fit(df, ["l_quantity"], "y").info
+    return spark.createDataFrame([(info["trials"], info["inliers"])], "trials long, inliers long")
+
+
 @register("neighbor_regression", f"""
 WITH {SPLIT_SQL},
  d AS (SELECT a.p_partkey, b.p_retailprice AS y, row_number() OVER (PARTITION BY a.p_partkey ORDER BY

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from tabreg.operators import smooth, split, timeops
 from tabreg.queries.catalog import load, r, register, round_all
 
-GAPPY = "SELECT ts, value FROM events WHERE event_type = 'purchase' AND day(ts) % 2 = 1"
+EVENTS_SQL = "SELECT ts, value FROM events"
 
 
-def gappy(spark, sf):
-    """One event type on alternate days: a series with empty bins."""
-    return (load(spark, sf, "events").where((F.col("event_type") == "purchase") & (F.dayofmonth("ts") % 2 == 1))
-            .select("ts", "value"))
+def _events(spark, sf):
+    return load(spark, sf, "events").select("ts", "value")
 
 
 BIN = {"30T": "time_bucket(INTERVAL '30 minutes', ts)", "H": "date_trunc('hour', ts)", "D": "date_trunc('day', ts)",
@@ -58,10 +56,10 @@ FREQ_WORDS = {"30T": "half_hour", "H": "hour", "D": "day", "W": "week", "M": "mo
 
 for _f, _word in FREQ_WORDS.items():
     _short = _f in ("30T", "H", "D")
-    register(f"resample_{_word}_mean", resample_sql(GAPPY if _short else ORDERS_SQL, _f, "mean"))(
-        _resample_query(gappy if _short else _orders, _f, "mean"))
+    register(f"resample_{_word}_mean", resample_sql(EVENTS_SQL if _short else ORDERS_SQL, _f, "mean"))(
+        _resample_query(_events if _short else _orders, _f, "mean"))
 for _a in ("sum", "median", "min", "max", "std", "count"):
-    register(f"resample_day_{_a}", resample_sql(GAPPY, "D", _a))(_resample_query(gappy, "D", _a))
+    register(f"resample_day_{_a}", resample_sql(EVENTS_SQL, "D", _a))(_resample_query(_events, "D", _a))
 register("resample_month_median", resample_sql(ORDERS_SQL, "M", "median"))(_resample_query(_orders, "M", "median"))
 register("resample_week_count", resample_sql(ORDERS_SQL, "W", "count"))(_resample_query(_orders, "W", "count"))
 

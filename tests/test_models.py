@@ -179,6 +179,16 @@ def test_robust_fits_ignore_outliers(spark, df):
     assert abs(big.fit(df, NAMES, "y").coef[1] + 2) < 0.1
 
 
+@pytest.mark.parametrize("settings", [{}, {"min_samples": 0.2}, {"min_samples": 0.9}, {"min_samples": 7}])
+def test_ransac_runs_every_trial_and_ignores_the_layout(df, settings):
+    found = []
+    for parts in (1, 7, 37):
+        m = build("RANSACRegressor", max_trials=60, **settings).fit(df.repartition(parts), NAMES, "y")
+        assert m.info["trials"] == 60
+        found.append([*m.coef, m.intercept])
+    np.testing.assert_allclose(found[1:], [found[0]] * 2, atol=1e-6)
+
+
 def test_sgd_reaches_the_least_squares_line(df):
     m = build("SGDRegressor", max_iter=80, tol=1e-7).fit(df, NAMES, "y")
     assert abs(m.coef[0] - 3) < 0.3 and abs(m.coef[1] + 2) < 0.1

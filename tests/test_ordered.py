@@ -119,15 +119,32 @@ def test_lowess_is_exact_on_small_tables(make, k):
     np.testing.assert_allclose(got["x"], reference_lowess(pdf["x"].to_numpy(), k), atol=1e-6)
 
 
-def test_lowess_anchors_stay_close_and_keep_gaps(make):
+@pytest.mark.parametrize("k", [9, 80, 250, 400])
+def test_lowess_is_exact_across_chunks_and_keeps_gaps(make, k):
     pdf = signal(400, gaps=False)
-    exact = reference_lowess(pdf["x"].to_numpy(), 80)
-    got = lowess.lowess(make(pdf), 80, ["k"], ["x"], max_anchors=100, **SMALL).toPandas().sort_values("k")
-    assert np.abs(got["x"].to_numpy() - exact).max() < 0.15 * pdf["x"].std()
+    pdf.loc[[7, 150, 399], "x"] -= 40
+    got = lowess.lowess(make(pdf), k, ["k"], ["x"], chunk=60, **SMALL).toPandas().sort_values("k")
+    np.testing.assert_allclose(got["x"], reference_lowess(pdf["x"].to_numpy(), k), atol=1e-6)
     holes = lowess.lowess(make(signal(120)), 20, ["k"], ["x"], **SMALL).toPandas().sort_values("k")
     assert holes["x"].isna().tolist() == signal(120)["x"].isna().tolist()
 
 
+@pytest.mark.parametrize("n", [3_999, 4_001, 40_000])
+def test_lowess_does_not_change_with_size(spark, n):
+    from pyspark.sql import functions as F
+
+    table = spark.range(n).select(F.col("id").alias("k"), (F.sin(F.col("id") * 2 * np.pi / 40) + F.pmod("id", F.lit(7)) / 20).alias("x"))
+    got = lowess.lowess(table, 11, ["k"], ["x"], robust_rounds=0).toPandas().sort_values("k")["x"].to_numpy()
+    y = np.sin(np.arange(n) * 2 * np.pi / 40) + np.arange(n) % 7 / 20
+    for i in (0, 3, n // 2, n - 2):  # the definition at some rows
+        left = int(np.clip(np.ceil(i - 5.5), 0, n - 11))
+        j = np.arange(left, left + 11)
+        u = np.abs(j - i) / max(i - left, left + 10 - i)
+        w = np.where(u > .999, 0, np.where(u < .001, 1, (1 - u ** 3) ** 3))
+        line = np.polyfit(j - i, y[j], 1, w=np.sqrt(w))
+        assert abs(got[i] - line[1]) < 1e-9
+
+
 def test_no_single_partition_stage(make):
     df = make(signal())
     for out in (smooth.moving_average(df, 5, ["k"], ["x"], **SMALL), smooth.savitzky_golay(df, 5, ["k"], ["x"], **SMALL),

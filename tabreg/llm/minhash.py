@@ -6,9 +6,11 @@
 2. Documents with equal sets are one class, named by its smallest id.
 3. In every band bucket each class is paired with the bucket's smallest class only: as many pairs as members. Pairs that sizes
    or sketches rule out go; the others are confirmed on full sets.
-4. After joining confirmed pairs to components, buckets that still hold several components are compared between components, in
-   blocks of bounded size, first by sketches; what passes is confirmed too. So every pair of a bucket is either confirmed, ruled
-   out, or already connected, and nothing is capped.
+4. Confirmed pairs are joined to components. In a few more rounds every bucket that still holds several components takes another
+   member by hash, and each class outside that member's component meets it; groups of near copies fall together quickly.
+5. Buckets that still hold several components are compared between components, in blocks of bounded size, first by sketches;
+   what passes is confirmed too. So every pair of a bucket is either confirmed, ruled out, or already connected, and nothing is
+   capped.
 
 With 32 bands of 4 a pair of similarity 0.8 shares no band with a chance of 5e-8. The sketch bound lies five deviations below.
 
@@ -32,6 +34,7 @@ from tabreg.llm.components import components
 SAMPLES, BANDS, BITS = 128, 32, 512
 SEED = 77
 BLOCK = 256
+ROUNDS = 4             # of step 4
 MARGIN = 0.2           # below the threshold; the estimate's deviation at 0.8 is 0.04
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -160,7 +163,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -
     """The pairs (a, b) whose full sets are similar enough. Texts of the pairs' documents only take part."""
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     texts = with_ids(narrow(docs, doc_id="doc_id:long", text="text:string"), "doc_id", sides.select("id"))
-    met = sides.join(texts.groupBy("doc_id").agg(F.min("text").alias("text")), F.col("id") == F.col("doc_id"))
+    met = sides.join(texts, F.col("id") == F.col("doc_id"))  # a plain join: a class that is in many pairs may be split
     both = met.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("ta"),
                                      F.max(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("tb"))
     percent = round(100 * threshold)
@@ -212,6 +215,18 @@ def _between_components(buckets: DataFrame, threshold: float) -> DataFrame:
     return cells.select("members", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def _meet(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b) for one member of each bucket and the members of other components; one pair per class and component met."""
+    tagged = cut_lineage(rows.join(labels, F.col("rep") == F.col("node"), "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component")))
+    by = F.xxhash64(F.lit(turn), "key", "rep")
+    met = cut_lineage(tagged.groupBy("key").agg(F.min(F.struct(by.alias("h"), "rep", "component")).alias("m"), F.min("component").alias("lo"),
+                                                F.max("component").alias("hi")).filter("lo < hi")
+                      .select(F.col("key").alias("__key"), F.col("m.rep").alias("met"), F.col("m.component").alias("its")))
+    pairs = (tagged.join(met, F.col("key") == F.col("__key")).filter("component != its").groupBy("rep", "its").agg(F.min("met").alias("met")))
+    return pairs.select(F.least("rep", "met").alias("a"), F.greatest("rep", "met").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
@@ -221,27 +236,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
                           .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"),
                                F.collect_set("salt").alias("salts")))
     rows = classes.select("rep", F.explode("bands").alias("key"))
-    hubs = cut_lineage(rows.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last")
-                       .select(F.col("key").alias("__key"), "a"))
-    pairs = rows.join(hubs, F.col("key") == F.col("__key")).filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    hubs = cut_lineage(rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
+                       .select(F.col("key").alias("__key"), "hub"))
+    shared = cut_lineage(rows.join(hubs, F.col("key") == F.col("__key")).select("key", "rep", "hub"))
+    discard(hubs)
 
     def facts(s: str) -> DataFrame:
         return classes.select(F.col("rep").alias(f"r{s}"), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
 
-    pairs = (pairs.join(facts("b"), F.col("b") == F.col("rb")).join(facts("a"), F.col("a") == F.col("ra"))
-             .filter(_possible(threshold)).select("a", "b"))
-    pairs = cut_lineage(pairs)
-    links = cut_lineage(confirm(docs, pairs, shingle, threshold))
-    first = components(links)
-
-    many = rows.join(hubs.select("__key"), F.col("key") == F.col("__key"), "left_semi")
-    named = many.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    def judged(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """Pairs not tried before that sizes and sketches allow."""
+        if tried is not None:
+            old = tried.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+            pairs = pairs.join(old, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti")
+        return cut_lineage(pairs.join(facts("b"), F.col("b") == F.col("rb")).join(facts("a"), F.col("a") == F.col("ra"))
+                           .filter(_possible(threshold)).select("a", "b"))
+
+    tried = judged(shared.filter("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), None)
+    links = cut_lineage(confirm(docs, tried, shingle, threshold))
+    labels = components(links)
+    members = shared.select("key", "rep")
+    for turn in range(ROUNDS):
+        pairs = judged(_meet(members, labels, turn), tried)
+        if not pairs.limit(1).count():
+            break
+        tried = cut_lineage(tried.union(pairs))
+        found = cut_lineage(confirm(docs, pairs, shingle, threshold))
+        if found.limit(1).count():
+            links = cut_lineage(links.union(found))
+            labels = components(links)
+
+    named = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     named = named.join(classes.select(F.col("rep").alias("__rep"), "n_shingles", "sketch"), F.col("rep") == F.col("__rep"))
-    tried = pairs.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
     more = _between_components(cut_lineage(named.drop("__rep")), threshold)
-    more = cut_lineage(more.join(tried, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"))
+    old = tried.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+    more = cut_lineage(more.join(old, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"))
     late = cut_lineage(confirm(docs, more, shingle, threshold))
-    final = components(links.union(late)) if late.limit(1).count() else first
+    final = components(links.union(late)) if late.limit(1).count() else labels
 
     named_class = (classes.select("set_a", "set_b", "n_shingles", "rep", "salts")
                    .join(final, F.col("rep") == F.col("node"), "left")
@@ -252,7 +283,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
     found = linked.select("doc_id", "n_shingles", "set_a", "set_b", "salt").join(named_class, own).select(
         "doc_id", "n_shingles", "component_id")
     alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    for t in (hubs, pairs, more, late, links):
+    for t in (shared, tried, more, late, links):
         discard(t)
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

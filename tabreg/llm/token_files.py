@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,9 @@ MAGIC = b"TKB1"
 _BLANK = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 RARE_BLANK = re.compile("[" + _BLANK.replace("\t-\r ", "\t\x0b-\r") + "]")
-LETTERS_END = "\u0250"  # Latin letters end here; whether signs beyond count as letters is left to the library
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"  # whether signs beyond count as letters is left to the library
+# fixed values: bytes without a sign of their own are written as letters from 256 on; a line end stands between words here
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173]) if b != 10}
 FIRST = "\r"  # marks a text's first chunk among the even ones, which hold no such sign
 
 
@@ -61,7 +64,7 @@ class ByteEncoder:
         special = [t for t in self.model.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip)]
         self.apart = special[0] if special else None
         signs = {c: self.model.encode(c, add_special_tokens=False).ids for c in ".,"}
-        self.signs = {c: ids[0] for c, ids in signs.items() if len(ids) == 1}
+        self.signs = {c: ids[0] for c, ids in signs.items()}
         self.index: dict[str, int] = {}
         self.flat, self.ends, self.uses = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -76,6 +79,14 @@ class ByteEncoder:
         ends = np.flatnonzero(ids == self.apart[0])
         return ids[ids != self.apart[0]], np.diff(np.r_[-1, ends]) - 1
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of words of letters after a space, which the pre-tokenizer leaves whole: they go straight to the library's
+        merge model, their bytes written in the letters of byte-level models."""
+        written = "\n".join(words).encode().decode("latin-1").translate(BYTE_LETTERS).split("\n")
+        tokenize = self.model.model.tokenize
+        lists = [[t.id for t in tokenize("\u0120" + w)] for w in written]
+        return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+
     def _add(self, keys: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         self.flat = np.r_[self.flat, flat]
         self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(size)]
@@ -83,12 +94,18 @@ class ByteEncoder:
         at = len(self.index)
         self.index.update(zip(keys, range(at, at + len(keys)), strict=True))
 
-    def _learn(self, fresh: set[str]) -> None:
+    def _learn(self, fresh: list[str]) -> None:
         """A word of letters with a full stop or comma is the word and the sign: the pre-tokenizer always cuts between them."""
-        signed = [c for c in fresh if c[-1] in self.signs and (w := c[:-1]).isalpha() and (w.isascii() or max(w) < LETTERS_END)]
-        rest = list(fresh.difference(signed).union(c[:-1] for c in signed).difference(self.index))
+        given = pa.array(fresh, pa.string())
+        words = given.filter(pc.match_substring_regex(given, f"^{LETTERS}+$")).to_pylist()
+        signed = given.filter(pc.match_substring_regex(given, f"^{LETTERS}+[.,]$")).to_pylist()
+        known = set(words)
+        words += [c for c in {c[:-1] for c in signed} if c not in known and c not in self.index]
+        rest = list(set(fresh).difference(signed).difference(words))
+        if words:
+            self._add(words, *self._encode_words(words))
         if rest:
-            self._add(rest, *self._encode_chunks([c if c[0] == "\n" else c[1:] if c[0] == FIRST else f" {c}" for c in rest]))
+            self._add(rest, *self._encode_chunks([c if c[:1] == "\n" else c[1:] if c[:1] == FIRST else f" {c}" for c in rest]))
         if signed:
             at = np.fromiter((self.index[c[:-1]] for c in signed), np.int64, len(signed))
             size = self.ends[at + 1] - self.ends[at]
@@ -117,31 +134,38 @@ class ByteEncoder:
         ``FIRST`` (the chunk after the sign). Only texts with other white space, or with two of it in a row, are cut by a pattern."""
         if len(self.index) > KEPT_CHUNKS:
             self._shrink()
-        found = []
-        for t in texts:
-            if not t:
-                found.append([])
-            elif not even(t):
-                found.append([FIRST + c for c in CHUNKS.findall(t)])
-            else:
-                keys = t.replace("\n", " \n").split(" ")
-                if keys[0]:
-                    keys[0] = FIRST + keys[0]
-                else:
-                    del keys[0]  # the text begins with white space
-                found.append(keys)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        keys = list(chain.from_iterable(found))
-        index = self.index
-        fresh = set(keys).difference(index)
+        smooth = [not t or even(t) for t in texts]
+        whole = pa.array([t for t, e in zip(texts, smooth, strict=True) if e], pa.string())
+        first = pc.binary_join_element_wise(pa.scalar(FIRST), pc.replace_substring(whole, "\n", " \n"), pa.scalar(""))
+        parts = pc.split_pattern(first, " ")
+        flat, ends = self._ids(parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        if all(smooth):
+            return flat, ends
+        found = [[FIRST + c for c in CHUNKS.findall(t)] for t, e in zip(texts, smooth, strict=True) if not e]
+        flat2, ends2 = self._ids(pa.array(list(chain.from_iterable(found)), pa.string()), np.array([len(f) for f in found]))
+        size = np.zeros(len(texts), np.int64)
+        is_smooth = np.array(smooth)
+        size[is_smooth], size[~is_smooth] = np.diff(ends), np.diff(ends2)
+        out = np.empty(int(size.sum()), np.uint32)
+        mine = np.repeat(is_smooth, size)
+        out[mine], out[~mine] = flat, flat2
+        return out, np.r_[0, np.cumsum(size)]
+
+    def _ids(self, keys: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        coded = keys.dictionary_encode()
+        different, index = coded.dictionary.to_pylist(), self.index
+        fresh = [c for c in different if c not in index]
         if fresh:
             self._learn(fresh)
-        at = np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))
-        self.uses += np.bincount(at, minlength=len(self.uses))
+        known = np.fromiter(map(index.__getitem__, different), np.int64, len(different))
+        at = coded.indices.to_numpy()
+        if len(known):
+            self.uses[known] += np.bincount(at, minlength=len(known))
+        at = known[at]
         size = self.ends[at + 1] - self.ends[at]
         total = np.r_[0, np.cumsum(size)]
         flat = self.flat[np.repeat(self.ends[at] - total[:-1], size) + np.arange(total[-1])]
-        return flat, total[np.r_[0, np.cumsum(counts)]]
+        return flat, total[np.r_[0, np.cumsum(counts)].astype(np.int64)]
 
 
 def even(text: str) -> bool:

@@ -38,6 +38,7 @@ STEP = 512
 BLOCKS_PER_FILE = 64
 KEPT_CHUNKS = 300_000
 AT_ONCE = 256         # chunks joined to one text for the library
+WORDS_AT_ONCE = 64
 HEAD = struct.Struct("<4sIIQQIQ")
 MAGIC = b"TKB1"
 _BLANK = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -45,7 +46,8 @@ CHUNKS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 RARE_BLANK = re.compile("[" + _BLANK.replace("\t-\r ", "\t\x0b-\r") + "]")
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"  # whether signs beyond count as letters is left to the library
 # fixed values: bytes without a sign of their own are written as letters from 256 on; a line end stands between words here
-BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173]) if b != 10}
+BYTE_LETTERS = np.arange(256, dtype="<u4")
+BYTE_LETTERS[[*range(10), *range(11, 33), *range(127, 161), 173]] = [256 + k for k in range(68) if k != 10]
 FIRST = "\r"  # marks a text's first chunk among the even ones, which hold no such sign
 
 
@@ -59,8 +61,12 @@ class ByteEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.model = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.model.model)
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
+        self.sign = self.merges.encode("!", add_special_tokens=False).ids[0]
         special = [t for t in self.model.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip)]
         self.apart = special[0] if special else None
         signs = {c: self.model.encode(c, add_special_tokens=False).ids for c in ".,"}
@@ -80,12 +86,14 @@ class ByteEncoder:
         return ids[ids != self.apart[0]], np.diff(np.r_[-1, ends]) - 1
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and lengths of words of letters after a space, which the pre-tokenizer leaves whole: they go straight to the library's
-        merge model, their bytes written in the letters of byte-level models."""
-        written = "\n".join(words).encode().decode("latin-1").translate(BYTE_LETTERS).split("\n")
-        tokenize = self.model.model.tokenize
-        lists = [[t.id for t in tokenize("\u0120" + w)] for w in written]
-        return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+        """Ids and lengths of words of letters after a space, which the pre-tokenizer leaves whole: the library's merge model gets them
+        in the letters by which byte-level models write bytes, cut at spaces, a sign that no word holds between them."""
+        raw = np.frombuffer("\n".join(words).encode(), np.uint8)
+        written = BYTE_LETTERS[raw].tobytes().decode("utf-32-le").split("\n")
+        joined = ["\u0120" + " ! \u0120".join(written[k:k + WORDS_AT_ONCE]) + " !" for k in range(0, len(written), WORDS_AT_ONCE)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.merges.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.sign)
+        return ids[ids != self.sign], np.diff(np.r_[-1, ends]) - 1
 
     def _add(self, keys: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         self.flat = np.r_[self.flat, flat]
@@ -189,34 +197,42 @@ def id_type(model_path: str, end_id: int) -> str:
 
 
 def token_ids(rows: DataFrame, model_path: str, end_id: int, kind: str) -> DataFrame:
-    """(doc_id, tie, ids) with ids as integers of ``kind``, the end id last."""
+    """(doc_id, tie, ids, counts): ids as integers of ``kind``, the end id last; and one row of each task with how often it met
+    each id (``counts`` is true there, and ids are 64-bit numbers)."""
     width = np.dtype(kind).itemsize
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last = byte_encoder(model_path), np.array([end_id], kind).tobytes()
-        for batch in pieces_of_batches(batches, "text", 4 << 20):
+        total = np.zeros(max(end_id + 1, encoder.model.get_vocab_size()), np.int64)
+
+        def out(ids: pa.Array, ties: pa.Array, raw: list[bytes], is_count: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, ties, pa.array(raw, pa.binary()), pa.array([is_count] * len(raw))],
+                                              ["doc_id", "tie", "ids", "counts"])
+
+        for batch in pieces_of_batches(batches, "text", 8 << 20):
             flat, ends = encoder.encode([t or "" for t in batch.column(2).to_pylist()])
+            total += np.bincount(flat, minlength=len(total))
+            total[end_id] += batch.num_rows
             raw, at = flat.astype(kind).tobytes(), (ends * width).tolist()
-            ids = [raw[a:b] + last for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())],
-                                             ["doc_id", "tie", "ids"])
+            yield out(batch.column(0), batch.column(1), [raw[a:b] + last for a, b in zip(at[:-1], at[1:], strict=True)], False)
+        none = pa.array([None], pa.int64())
+        yield out(none, none, [total.tobytes()], True)
 
-    return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, tie long, ids binary, counts boolean")
 
 
-def id_counts(ids: DataFrame, kind: str) -> DataFrame:
-    """(id, n) over the whole table; every task sends one row per id it saw."""
+def id_counts(task_counts: DataFrame) -> DataFrame:
+    """(id, n) over the whole table from the tasks' rows of counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
-            total = np.pad(total, (0, max(0, len(got) - len(total))))
-            total[: len(got)] += got
+            for raw in batch.column(0).to_pylist():
+                total = total + np.frombuffer(raw, np.int64)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return task_counts.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # ---- codes -------------------------------------------------------------------------------------------------------------
@@ -323,9 +339,10 @@ def write_token_files(df: DataFrame, path: str, model_path: str, end_id: int = 0
     kind = id_type(model_path, end_id)
     width, staged = np.dtype(kind).itemsize, shared_path(spark, "ids")
     token_ids(rows, model_path, end_id, kind).write.option("compression", "zstd").parquet(staged)
-    ids = spark.read.parquet(staged)
-    ids._cut_path = staged  # freed by discard
-    counts = id_counts(ids, kind).collect()  # one row per id of the vocabulary at most
+    every = spark.read.schema("doc_id long, tie long, ids binary, counts boolean").parquet(staged)
+    ids = every.filter("not counts").drop("counts")
+    every._cut_path = staged  # freed by discard
+    counts = id_counts(every.filter("counts")).collect()  # one row per id of the vocabulary at most
     n = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         n[r["id"]] = r["n"]
@@ -354,7 +371,7 @@ def write_token_files(df: DataFrame, path: str, model_path: str, end_id: int = 0
     ordered = ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     (ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
      .write.option("maxRecordsPerFile", BLOCKS_PER_FILE).text(f"{path}/blocks"))
-    discard(ids)
+    discard(every)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -13,11 +13,20 @@ from tabreg.functions.columns import clean_double, is_numeric, q
 from tabreg.operators.quantiles import group_quantiles
 
 # Accepted date layouts, in the order in which they are tried.
-ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"
+ISO_SHAPE = r"^(\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)(?:Z|([+-])(\d{2}):?(\d{2}))?$"
+YEAR_FIRST = ("yyyy/M/d H:mm", "yyyy/M/d H:mm:ss", "yyyy/M/d", "yyyy.M.d H:mm", "yyyy.M.d H:mm:ss", "yyyy.M.d")
 MONTH_FIRST = ("M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy H:mm", "M-d-yyyy H:mm:ss",
-               "M.d.yyyy H:mm", "M.d.yyyy H:mm:ss", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy")
+               "M.d.yyyy H:mm", "M.d.yyyy H:mm:ss", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy",
+               "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a")
 DAY_FIRST = ("d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy H:mm:ss",
-             "d.M.yyyy H:mm", "d.M.yyyy H:mm:ss", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy")
+             "d.M.yyyy H:mm", "d.M.yyyy H:mm:ss", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy",
+             "d/M/yyyy h:mm a", "d/M/yyyy h:mm:ss a")
+NAMED_MONTH = ("d MMM yyyy", "d MMM yyyy H:mm", "d MMM yyyy H:mm:ss", "d-MMM-yyyy", "MMM d, yyyy", "MMM d, yyyy H:mm",
+               "MMM d, yyyy H:mm:ss", "MMM d, yyyy h:mm a", "MMM d yyyy")
+COMPACT = ("yyyyMMdd", "yyyyMMddHHmm", "yyyyMMddHHmmss")
+SHORT_YEAR = ("M/d/yy", "M/d/yy H:mm", "M-d-yy", "d/M/yy", "d/M/yy H:mm", "d-M-yy", "d.M.yy")
+LAYOUTS = (*YEAR_FIRST, *MONTH_FIRST, *DAY_FIRST, *NAMED_MONTH, *COMPACT, *SHORT_YEAR)
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 FREQUENCIES = ("30T", "H", "D", "W", "M", "Q", "Y")
 AGGREGATES = ("mean", "sum", "median", "min", "max", "std", "count")
@@ -27,46 +36,88 @@ _STEP = {"30T": "INTERVAL 30 MINUTES", "H": "INTERVAL 1 HOUR", "D": "INTERVAL 1
          "M": "INTERVAL 1 MONTH", "Q": "INTERVAL 3 MONTHS", "Y": "INTERVAL 1 YEAR"}
 
 
+_PARTS = {"yyyy": r"(\d{4})", "yy": r"(\d{2})", "MMM": "((?i)" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + ")", "MM": r"(\d{2})",
+          "M": r"(\d{1,2})", "dd": r"(\d{2})", "d": r"(\d{1,2})", "HH": r"(\d{2})", "H": r"(\d{1,2})", "h": r"(1[0-2]|0?[1-9])",
+          "mm": r"(\d{2})", "ss": r"(\d{2})", "a": "((?i)[ap]m)"}
+_TOKENS = re.compile("|".join([*sorted(_PARTS, key=len, reverse=True), "[^A-Za-z]"]))
+
+
 def layout_shape(layout: str) -> str:
-    """Text shape of a layout; only cells of that shape go to the parser, whose failures are slow."""
-    digits = {"yyyy": r"\d{4}", "mm": r"\d{2}", "ss": r"\d{2}"}
-    parts = re.findall(r"yyyy|mm|ss|[MdH]|[^A-Za-z]", layout)
-    return "^" + "".join(digits.get(t, r"\d{1,2}" if t.isalpha() else re.escape(t)) for t in parts) + "$"
+    """Text shape of a layout, one group per part."""
+    return "^" + "".join(_PARTS.get(t) or re.escape(t) for t in _TOKENS.findall(layout)) + "$"
+
+
+def _read_layout(text: Column, layout: str) -> Column:
+    """Clock time by the layout's own parts: no session time zone takes part, and what is no date is NULL."""
+    shape = layout_shape(layout)
+    found = {t: F.regexp_extract(text, shape, i) for i, t in enumerate((t for t in _TOKENS.findall(layout) if t in _PARTS), 1)}
+
+    def part(*names: str) -> Column:
+        return next((found[n] for n in names if n in found), F.lit("00"))
+
+    year = found.get("yyyy")
+    if year is None:  # 69 to 99 belong to the last century
+        year = F.concat(F.when(found["yy"] >= "69", "19").otherwise("20"), found["yy"])
+    month = part("MM", "M")
+    if "MMM" in found:
+        names = F.lit("".join(m[:3] for m in MONTHS))
+        month = ((F.position(F.lower(F.substring(found["MMM"], 1, 3)), names) + 2) / 3).cast("int").cast("string")
+    hour = part("HH", "H")
+    if "h" in found:
+        hour = (found["h"].try_cast("int") % 12 + F.when(F.lower(found["a"]) == "pm", 12).otherwise(0)).cast("string")
+    iso = F.concat(year, F.lit("-"), month, F.lit("-"), part("dd", "d"), F.lit(" "), hour, F.lit(":"), part("mm"), F.lit(":"), part("ss"))
+    return F.when(text.rlike(shape), iso).try_cast("timestamp_ntz")
+
+
+def _read_iso(text: Column) -> Column:
+    """ISO clock time; an offset is applied, so that the result is UTC."""
+    sign, hours, minutes = (F.regexp_extract(text, ISO_SHAPE, k) for k in (2, 3, 4))
+    away = (hours.try_cast("int") * 60 + minutes.try_cast("int")) * F.when(sign == "-", -1).otherwise(1)
+    clock = F.when(text.rlike(ISO_SHAPE), F.regexp_extract(text, ISO_SHAPE, 1)).try_cast("timestamp_ntz")
+    return F.when(sign == "", clock).otherwise(clock - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(away, F.lit(0))))
 
 
-def date_candidates(text: Column) -> list[tuple[str, Column]]:
+def date_candidates(text: Column, layouts: Sequence[str]) -> list[tuple[str, Column]]:
     """(layout name, parsed column) in trial order; an unreadable cell parses to NULL."""
     trimmed = F.trim(text)
-    out = [("ISO", F.when(trimmed.rlike(ISO_SHAPE), trimmed).try_cast("timestamp_ntz"))]
-    for layout in (*MONTH_FIRST, *DAY_FIRST):
-        shaped = F.when(trimmed.rlike(layout_shape(layout)), trimmed)
-        out.append((layout, F.try_to_timestamp(shaped, F.lit(layout)).cast("timestamp_ntz")))
-    return out
+    return [(name, _read_iso(trimmed) if name == "ISO" else _read_layout(trimmed, name)) for name in ("ISO", *LAYOUTS) if name in layouts]
 
 
-def detect_date_layout(df: DataFrame, col: str) -> str:
-    """First layout that reads the whole column, or 'mixed' when only a per-cell choice does."""
-    parsed = date_candidates(q(col))
+def _seen_layouts(df: DataFrame, col: str) -> list[str]:
+    """Layouts whose shape occurs in the column; only these are worth parsing."""
+    trimmed = F.trim(q(col))
+    shapes = {"ISO": ISO_SHAPE, **{name: layout_shape(name) for name in LAYOUTS}}
+    by_shape = {shape: f"s{i}" for i, shape in enumerate(dict.fromkeys(shapes.values()))}  # day first and month first look alike
+    found = df.agg(*[F.max(trimmed.rlike(shape)).alias(c) for shape, c in by_shape.items()]).first()
+    return [name for name, shape in shapes.items() if found[by_shape[shape]]]
+
+
+def _choose_layout(df: DataFrame, col: str) -> tuple[str, dict[str, Column]]:
+    parsed = date_candidates(q(col), _seen_layouts(df, col))
     present = q(col).isNotNull()
+    any_layout = F.coalesce(*[p for _, p in parsed], F.lit(None).cast("timestamp_ntz"))
     fails = [F.sum((present & p.isNull()).cast("long")).alias(f"f{i}") for i, (_, p) in enumerate(parsed)]
-    any_layout = F.coalesce(*[p for _, p in parsed])
     row = df.agg(*fails, F.sum((present & any_layout.isNull()).cast("long")).alias("mixed")).first()
     for i, (name, _) in enumerate(parsed):
         if not row[f"f{i}"]:
-            return name
+            return name, dict(parsed)
     if not row["mixed"]:
-        return "mixed"
+        return ("mixed" if parsed else "ISO"), dict(parsed) or dict(date_candidates(q(col), ["ISO"]))
     sample = [r[0] for r in df.where(present & any_layout.isNull()).select(q(col)).limit(10).collect()]
     raise ValueError(f"no date layout reads column {col!r}; unreadable values: {sample}")
 
 
+def detect_date_layout(df: DataFrame, col: str) -> str:
+    """First layout that reads the whole column, or 'mixed' when only a per-cell choice does."""
+    return _choose_layout(df, col)[0]
+
+
 def parse_datetime(df: DataFrame, col: str) -> DataFrame:
     """Replace a text column by timestamps, with one layout for the whole column."""
     kind = df.schema[col].dataType
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return df.withColumn(col, q(col).cast("timestamp_ntz"))
-    layout = detect_date_layout(df, col)
-    parsed = dict(date_candidates(q(col)))
+    layout, parsed = _choose_layout(df, col)
     value = F.coalesce(*parsed.values()) if layout == "mixed" else parsed[layout]
     return df.withColumn(col, value)
 

@@ -79,6 +79,28 @@ def parse_month_first_dates(spark, sf):
     return timeops.parse_datetime(text, "o_orderdate")
 
 
+def _dates_query(name, pattern, written, offset=""):
+    """Event times written in one layout and read again; ``pattern`` for Spark, ``written`` for the comparison."""
+    cut = "second" if "ss" in pattern else "minute" if "mm" in pattern else "day"
+
+    def run(spark, sf):
+        text = F.concat(F.date_format("ts", pattern), F.lit(offset))
+        return timeops.parse_datetime(load(spark, sf, "events").select("event_id", text.alias("ts")), "ts")
+
+    shift = f" - INTERVAL '{int(offset[1:3]) * 60 + int(offset[4:])} minutes'" if offset else ""
+    register(name, f"SELECT event_id, CAST(date_trunc('{cut}', strptime(strftime(ts, '{written}'), '{written}')) AS TIMESTAMP){shift} AS ts "
+                   "FROM events")(run)
+
+
+_dates_query("parse_year_first_dates", "yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M")
+_dates_query("parse_named_month_dates", "dd MMM yyyy", "%d %b %Y")
+_dates_query("parse_named_month_first_dates", "MMMM d, yyyy HH:mm:ss", "%B %-d, %Y %H:%M:%S")
+_dates_query("parse_compact_dates", "yyyyMMdd", "%Y%m%d")
+_dates_query("parse_twelve_hour_dates", "MM/dd/yyyy hh:mm a", "%m/%d/%Y %I:%M %p")
+_dates_query("parse_short_year_dates", "MM/dd/yy", "%m/%d/%y")
+_dates_query("parse_offset_dates", "yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", "+02:30")
+
+
 @register("moving_average_5", f"""
 SELECT event_id, CASE WHEN count(value) OVER w = 5 THEN {r('avg(value) OVER w')} END AS value FROM (
  SELECT event_id, ts, CASE WHEN value < 2 THEN NULL ELSE value END AS value FROM events)

@@ -54,3 +54,23 @@ def test_layout_detection(spark, cells, layout, first):
 def test_unreadable_dates_are_listed(spark):
     with pytest.raises(ValueError, match="soon"):
         timeops.parse_datetime(spark.createDataFrame([("2024-01-01",), ("soon",)], "d string"), "d")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_layouts_in_any_session_zone(spark, zone):
+    given = [("2024/01/31", "2024-01-31"), ("31 Jan 2024", "2024-01-31"), ("Jan 31, 2024", "2024-01-31"), ("20240131", "2024-01-31"),
+             ("01/31/24", "2024-01-31"), ("01/31/2024 02:30 PM", "2024-01-31 14:30"), ("2024-01-31T10:00+02:00", "2024-01-31 08:00"),
+             ("2024-03-10 02:30", "2024-03-10 02:30"), ("03/10/2024 02:30", "2024-03-10 02:30"), ("12/31/1999 12:05 am", "1999-12-31 00:05"),
+             ("1 september 1999", "1999-09-01"), ("01/31/70", "1970-01-31")]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for text, want in given:
+            df = timeops.parse_datetime(spark.createDataFrame([(text,), (None,)], "t string"), "t")
+            got = [r["t"] for r in df.selectExpr("cast(t as string) t").collect()]
+            assert sorted(got, key=str) == sorted([str(pd.Timestamp(want)), None], key=str), text
+        for text in ("32 Jan 2024", "2024/13/01", "13/13/2024", "31 Jax 2024", "20240132"):
+            with pytest.raises(ValueError):
+                timeops.parse_datetime(spark.createDataFrame([(text,)], "t string"), "t")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

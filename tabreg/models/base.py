@@ -69,7 +69,7 @@ class FittedSpark(Fitted):
             self.importances = dict(zip(self.features, [float(v) for v in importances]))
 
     def predict(self, df: DataFrame, name: str = PREDICTION) -> DataFrame:
-        made = self.model.setFeaturesCol("__x").setPredictionCol(name).transform(assemble(df, self.features, "__x"))
+        made = self.model.copy().setFeaturesCol("__x").setPredictionCol(name).transform(assemble(df, self.features, "__x"))
         return made.drop("__x")
 
 

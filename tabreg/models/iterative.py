@@ -238,6 +238,29 @@ class RadialSupportVector(SupportVector):
     defaults = {**SupportVector.defaults, "kernel": "rbf"}
 
 
+class NuSupportVector(SupportVector):
+    """Support vector regression whose tube leaves about the share ``nu`` of the rows outside: fits alternate with the quantile of
+    the absolute errors that the next tube takes, until its width settles."""
+
+    defaults = {**{k: v for k, v in SupportVector.defaults.items() if k != "epsilon"}, "kernel": "rbf", "nu": 0.5}
+    turns, settled = 6, 0.02
+
+    def fit(self, df, features, target):
+        share = 1.0 - min(max(float(self.params["nu"]), 1e-6), 1.0)
+        centre = column_quantiles(df, [target], [0.5])[target][0]
+        off = df.select(F.abs(clean_double(target) - F.lit(centre)).alias("e"))
+        width = column_quantiles(off, ["e"], [share])["e"][0]
+        inner = {k: v for k, v in self.params.items() if k != "nu"}
+        for _ in range(self.turns):
+            model = SupportVector(**inner, epsilon=float(width)).fit(df, features, target)
+            off = model.predict(df, "__fit").select(F.abs(clean_double(target) - F.col("__fit")).alias("e"))
+            before, width = width, column_quantiles(off, ["e"], [share])["e"][0]
+            if abs(width - before) <= self.settled * max(before, 1e-300):
+                break
+        model.info = {"epsilon": float(before)}
+        return model
+
+
 class KernelRidge(Regressor):
     """Ridge in kernel features: linear, degree-2 polynomial, or random Fourier features for 'rbf'."""
 

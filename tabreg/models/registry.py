@@ -18,7 +18,7 @@ REGRESSORS: dict[str, type[Regressor]] = {
     "TweedieRegressor": E.Tweedie, "GeneralizedLinearRegressor": E.Tweedie, "PoissonRegressor": E.Poisson,
     "GammaRegressor": E.Gamma, "HuberRegressor": E.Huber, "RANSACRegressor": I.Ransac, "SGDRegressor": I.SGD,
     "QuantileRegressor": I.Quantile, "LinearSVR": I.LinearSupportVector, "SVR": I.RadialSupportVector,
-    "NuSVR": I.RadialSupportVector, "KernelRidge": I.KernelRidge,
+    "NuSVR": I.NuSupportVector, "KernelRidge": I.KernelRidge,
     "TransformedTargetRegressor": I.TransformedTarget, "DummyRegressor": I.Dummy,
     "DecisionTreeRegressor": E.DecisionTree, "RandomForestRegressor": E.RandomForest, "BaggingRegressor": E.Bagging,
     "GradientBoostingRegressor": E.GradientBoosting, "HistGradientBoostingRegressor": E.HistGradientBoosting,
@@ -68,7 +68,7 @@ SPACES: dict[str, dict] = {
                      "n_iter_no_change": (5, 10, 15)},
     "LinearSVR": {"C": Uniform(0.1, 100), "tol": Uniform(1e-4, 1e-2)},
     "SVR": {"C": Uniform(0.1, 100), "kernel": ("linear", "rbf"), "gamma": ("scale", "auto"), "tol": Uniform(1e-4, 1e-2)},
-    "NuSVR": {"C": Uniform(0.1, 10), "kernel": ("linear", "rbf"), "gamma": ("scale", "auto"), "tol": Uniform(1e-4, 1e-2)},
+    "NuSVR": {"nu": Uniform(0.1, 0.9), "C": Uniform(0.1, 10), "kernel": ("linear", "rbf"), "gamma": ("scale", "auto"), "tol": Uniform(1e-4, 1e-2)},
     "KernelRidge": {"alpha": Uniform(1e-6, 1.0), "kernel": ("linear", "poly", "rbf"), "gamma": ("scale", "auto")},
     "TransformedTargetRegressor": {"regressor": (L.LinearRegression(), L.Ridge(), L.BayesianRidge()),
                                    "transformer": (None, "quantile", "yeo-johnson", "box-cox")},

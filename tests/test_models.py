@@ -179,6 +179,15 @@ def test_robust_fits_ignore_outliers(spark, df):
     assert abs(big.fit(df, NAMES, "y").coef[1] + 2) < 0.1
 
 
+def test_nu_is_the_share_of_rows_outside_the_tube(df):
+    from pyspark.sql import functions as F
+
+    for nu in (0.2, 0.6):
+        m = build("NuSVR", kernel="linear", nu=nu, C=100.0).fit(df, NAMES, "y")
+        outside = m.predict(df, "p").select(F.avg((F.abs(F.col("p") - F.col("y")) > m.info["epsilon"]).cast("int"))).first()[0]
+        assert abs(outside - nu) < 0.05
+
+
 @pytest.mark.parametrize("settings", [{}, {"min_samples": 0.2}, {"min_samples": 0.9}, {"min_samples": 7}])
 def test_ransac_runs_every_trial_and_ignores_the_layout(df, settings):
     found = []

@@ -34,7 +34,7 @@ SAMPLE = 30_000
 THRESHOLD = 0.5
 STEMS = (4, 5, 6)
 LEAST_SUPPORT = 4      # different left neighbours of a term in toxic texts, and
-SUPPORT_SHARE = 0.002  # at least this many per toxic text
+SUPPORT_SHARE = 0.006  # at least this many per toxic text
 RATIO = 10             # times more frequent in toxic than in clean texts
 ENDINGS = 4
 BUILT_IN = {"idiot": 3.0, "moron": 3.0, "scum": 3.0, "stupid": 2.0, "loser": 2.0, "worthless": 2.0, "pathetic": 2.0,

@@ -312,7 +312,7 @@ def _cov(a, b):
 Q, D, T_, P = LINE.features[0], LINE.features[1], LINE.features[2], LINE.target
 
 
-@register("coefficients_three_features", f"""
+THREE_FEATURES_SQL = f"""
 WITH m AS (SELECT {_cov(Q, Q)} AS a11, {_cov(Q, D)} AS a12, {_cov(Q, T_)} AS a13, {_cov(D, D)} AS a22, {_cov(D, T_)} AS a23,
  {_cov(T_, T_)} AS a33, {_cov(Q, P)} AS c1, {_cov(D, P)} AS c2, {_cov(T_, P)} AS c3,
  avg({Q}) AS m1, avg({D}) AS m2, avg({T_}) AS m3, avg({P}) AS my FROM lineitem),
@@ -323,12 +323,37 @@ WITH m AS (SELECT {_cov(Q, Q)} AS a11, {_cov(Q, D)} AS a12, {_cov(Q, T_)} AS a13
   (a11 * (a22 * c3 - c2 * a23) - a12 * (a12 * c3 - c2 * a13) + c1 * (a12 * a23 - a22 * a13)) / det AS b3 FROM d)
 SELECT '{Q}' AS term, {r('b1', 2)} AS coefficient FROM b UNION ALL SELECT '{D}', {r('b2', 2)} FROM b
 UNION ALL SELECT '{T_}', {r('b3', 2)} FROM b
-UNION ALL SELECT '(intercept)', {r('my - b1 * m1 - b2 * m2 - b3 * m3', 2)} FROM b""")
+UNION ALL SELECT '(intercept)', {r('my - b1 * m1 - b2 * m2 - b3 * m3', 2)} FROM b"""
+
+
+@register("coefficients_three_features", THREE_FEATURES_SQL)
 def coefficients_three_features(spark, sf):
     model = LinearRegression().fit(load(spark, sf, "lineitem"), LINE.features, LINE.target)
     return _coefficients(spark, model).withColumn("coefficient", F.round("coefficient", 2) + F.lit(0.0))
 
 
+@register("three_features_full_lars_path", THREE_FEATURES_SQL)
+def three_features_full_lars_path(spark, sf):
+    """The whole path ends at least squares."""
+    model = make("Lars").fit(load(spark, sf, "lineitem"), LINE.features, LINE.target)
+    return _coefficients(spark, model).withColumn("coefficient", F.round("coefficient", 2) + F.lit(0.0))
+
+
+@register("one_step_pursuit", f"""
+WITH m AS (SELECT abs({_cov(Q, P)}) AS r1, abs({_cov(D, P)}) AS r2, abs({_cov(T_, P)}) AS r3,
+ regr_slope({P}, {Q}) AS s1, regr_slope({P}, {D}) AS s2, regr_slope({P}, {T_}) AS s3, avg({P}) AS my,
+ avg({Q}) AS m1, avg({D}) AS m2, avg({T_}) AS m3 FROM lineitem),
+ b AS (SELECT my, m1, m2, m3, CASE WHEN r1 >= r2 AND r1 >= r3 THEN s1 ELSE 0 END AS b1,
+  CASE WHEN r2 > r1 AND r2 >= r3 THEN s2 ELSE 0 END AS b2, CASE WHEN r3 > r1 AND r3 > r2 THEN s3 ELSE 0 END AS b3 FROM m)
+SELECT '{Q}' AS term, {r('b1', 2)} AS coefficient FROM b UNION ALL SELECT '{D}', {r('b2', 2)} FROM b
+UNION ALL SELECT '{T_}', {r('b3', 2)} FROM b
+UNION ALL SELECT '(intercept)', {r('my - b1 * m1 - b2 * m2 - b3 * m3', 2)} FROM b""")
+def one_step_pursuit(spark, sf):
+    """One step of matching pursuit must take the feature with the largest covariance."""
+    model = make("OrthogonalMatchingPursuit", n_nonzero_coefs=1).fit(load(spark, sf, "lineitem"), LINE.features, LINE.target)
+    return _coefficients(spark, model).withColumn("coefficient", F.round("coefficient", 2) + F.lit(0.0))
+
+
 for _name in ("ElasticNet", "LassoCV", "ElasticNetCV", "Lars", "LarsCV", "LassoLars", "LassoLarsCV", "LassoLarsIC",
               "OrthogonalMatchingPursuit", "OrthogonalMatchingPursuitCV", "BayesianRidge", "RidgeCV", "HuberRegressor",
               "RANSACRegressor", "SGDRegressor", "LinearSVR", "QuantileRegressor", "TweedieRegressor"):

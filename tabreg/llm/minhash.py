@@ -8,8 +8,8 @@
    or sketches rule out go; the others are confirmed on full sets.
 4. Confirmed pairs are joined to components. In two more rounds every bucket that still holds several components takes another
    member by hash, and each class outside its component meets up to four such members; groups of near copies fall together.
-5. Buckets that still hold several components are compared between components, in blocks of bounded size, first by sketches;
-   what passes is confirmed too. So every pair of a bucket is either confirmed, ruled out, or already connected, and nothing is
+5. Buckets that still hold several components are compared between components, in cells of bounded size: first by sketches, then
+   what passes by full sets inside the cell's task, each pair in the first of its common buckets. So every pair of a bucket is either confirmed, ruled out, or already connected, and nothing is
    capped.
 
 With 32 bands of 4 a pair of similarity 0.8 shares no band with a chance of 5e-8. The sketch bound lies five deviations below.
@@ -186,33 +186,75 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def _between_components(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in one bucket that sizes and sketches allow. Members meet in blocks of about ``BLOCK``."""
+MEMBER = "rep long, component long, n_shingles long, sketch array<long>, bands array<long>, block int"
+
+
+def _kept_pairs(members: dict[str, np.ndarray], key: int, i: int, j: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of members of blocks i and j that lie in different components, that sizes and sketches allow, and of whose common
+    buckets this is the first."""
+    rep, comp, n, block = (members[k] for k in ("rep", "component", "n_shingles", "block"))
+    sketch, bands = members["sketch"].view(np.uint64), members["bands"]
+    most, percent = similar_bits(threshold), round(100 * threshold)
+    y = np.flatnonzero(block == j)
+    for k in np.flatnonzero(block == i):
+        near = y[(comp[y] != comp[k]) & ((rep[y] > rep[k]) | (i != j)) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
+        near = near[np.bitwise_count(sketch[near] ^ sketch[k]).sum(1) <= most]
+        if len(near):
+            common = np.where(bands[near] == bands[k], bands[k], np.iinfo(np.int64).max).min(1)
+            near = near[common == key]
+            if len(near):
+                yield int(k), near
+
+
+def _between_components(docs: DataFrame, buckets: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (a, b) between different components of one bucket. Members meet in cells of two blocks of about ``BLOCK``; a first pass
+    over sketches finds which members of a cell have anyone to meet, and a second, with their texts, confirms the pairs of a cell in
+    its task. No row is made for a pair that is no link."""
     size = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     size = cut_lineage(size.filter("lo < hi").select(F.col("key").alias("__key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     own = buckets.join(size, F.col("key") == F.col("__key")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = (own.withColumn("other", other)
+    names = [c.split(" ")[0] for c in MEMBER.split(", ")]
+    cells = (own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-             .agg(F.collect_list(F.struct("rep", "component", "n_shingles", "sketch", "block")).alias("members")))
-    most, percent = similar_bits(threshold), round(100 * threshold)
+             .agg(F.collect_list(F.struct(*names)).alias("members")).filter(F.size("members") > 1))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def arrays(rows: list[dict]) -> dict[str, np.ndarray]:
+        return {c: np.array([m[c] for m in rows], dtype=np.int64) for c in names}
+
+    def flag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.int32()]
         for batch in batches:
-            left, right = [], []
-            for members, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rep, comp, n, block = (np.array([m[k] for m in members]) for k in ("rep", "component", "n_shingles", "block"))
-                sketch = np.array([m["sketch"] for m in members], dtype=np.int64).view(np.uint64)
-                x, y = (np.flatnonzero(block == i), np.flatnonzero(block == j))
-                for k in x:  # one row against a block: bounded memory
-                    near = y[(comp[y] != comp[k]) & ((rep[y] > rep[k]) | (i != j))
-                             & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
-                    near = near[np.bitwise_count(sketch[near] ^ sketch[k]).sum(1) <= most]
-                    left += np.minimum(rep[near], rep[k]).tolist()
-                    right += np.maximum(rep[near], rep[k]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return cells.select("members", "i", "j").mapInArrow(run, "a long, b long").distinct()
+            out: list[tuple] = []
+            for key, i, j, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                met: set[int] = set()
+                for k, near in _kept_pairs(arrays(rows), key, i, j, threshold):
+                    met.update([k, *near.tolist()])
+                out += [(key, i, j, *(rows[k][c] for c in names)) for k in sorted(met)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.int32()) for k in (1, 2)),
+                 *(pa.array([r[3 + k] for r in out], kind) for k, kind in enumerate(kinds))], ["key", "i", "j", *names])
+
+    flagged = cut_lineage(cells.select("key", "i", "j", "members").mapInArrow(flag, f"key long, i int, j int, {MEMBER}"))
+    texts = with_ids(narrow(docs, doc_id="doc_id:long", text="text:string"), "doc_id", flagged.select("rep"))
+    percent = round(100 * threshold)
+
+    def confirm_cell(cell: tuple, group: pa.Table) -> pa.Table:
+        key, i, j = (v.as_py() for v in cell)
+        rows = group.to_pylist()
+        h, ends = shingle_sets([r["text"] or "" for r in rows], shingle)
+        sets = [h[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        members = arrays(rows)
+        left, right = [], []
+        for k, near in _kept_pairs(members, key, i, j, threshold):
+            for m in near.tolist():
+                same = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                if same and 100 * same >= percent * (len(sets[k]) + len(sets[m]) - same):
+                    left.append(min(rows[k]["rep"], rows[m]["rep"]))
+                    right.append(max(rows[k]["rep"], rows[m]["rep"]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return (flagged.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id").groupBy("key", "i", "j")
+            .applyInArrow(confirm_cell, "a long, b long").distinct())
 
 
 def _meet(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -270,11 +312,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
             labels = components(links)
 
     named = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    named = named.join(classes.select(F.col("rep").alias("__rep"), "n_shingles", "sketch"), F.col("rep") == F.col("__rep"))
-    more = _between_components(cut_lineage(named.drop("__rep")), threshold)
-    old = tried.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
-    more = cut_lineage(more.join(old, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"))
-    late = cut_lineage(confirm(docs, more, shingle, threshold))
+    named = named.join(classes.select(F.col("rep").alias("__rep"), "n_shingles", "sketch", "bands"), F.col("rep") == F.col("__rep"))
+    late = cut_lineage(_between_components(docs, cut_lineage(named.drop("__rep")), shingle, threshold))
     final = components(links.union(late)) if late.limit(1).count() else labels
 
     named_class = (classes.select("set_a", "set_b", "n_shingles", "rep", "salts")
@@ -286,7 +325,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
     found = linked.select("doc_id", "n_shingles", "set_a", "set_b", "salt").join(named_class, own).select(
         "doc_id", "n_shingles", "component_id")
     alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    for t in (shared, tried, more, late, links):
+    for t in (shared, tried, late, links):
         discard(t)
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

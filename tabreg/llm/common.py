@@ -44,7 +44,7 @@ def train_rows(labels: DataFrame, value: str) -> DataFrame:
             .groupBy("doc_id").agg(F.max("label").alias("label")))
 
 
-def pieces_of_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces_of_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` holds about ``limit`` bytes at most; a longer single value stays whole."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))

@@ -208,7 +208,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
 
     def search(pieces: Pieces):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces_of_batches(batches, "text", 2 << 20):
+            for batch in pieces_of_batches(batches, "text", 1 << 20):
                 ids = batch.column(0).to_pylist()
                 found = [(ids[t], *rest) for t, *rest in pieces.find([t or "" for t in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(6)],

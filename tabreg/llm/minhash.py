@@ -129,7 +129,7 @@ def document_signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands, sketch) of every whole text; the set's digest is set_a, set_b."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of_batches(batches, "text", 4 << 20):
+        for batch in pieces_of_batches(batches, "text", 1 << 20):
             h, ends = shingle_sets([t or "" for t in batch.column(1).to_pylist()], shingle)
             n = np.diff(ends)
             full = np.flatnonzero(n)
@@ -169,7 +169,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -
     percent = round(100 * threshold)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of_batches(pieces_of_batches(batches, "ta", 2 << 20), "tb", 2 << 20):
+        for batch in pieces_of_batches(pieces_of_batches(batches, "ta", 1 << 20), "tb", 1 << 20):
             a, b, left, right = (c.to_pylist() for c in batch.columns)
             texts = list(dict.fromkeys([*left, *right]))
             index = {t: k for k, t in enumerate(texts)}

@@ -30,7 +30,7 @@ WORDS = re.compile(r" *[^ \n]+|\n| +")
 NO_PAIR = np.int64(1 << 40)
 CHARACTERS = 0x110000
 LONG_WORD = 24
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 
 class Vocabulary:
@@ -226,7 +226,7 @@ def encode_pieces(df: DataFrame, model_path: str, id_column: str = "doc_id", tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model_path)
-        for batch in pieces_of_batches(batches, "text"):
+        for batch in pieces_of_batches(batches, "text", 1 << 20):
             flat, ends = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(np.diff(ends))], ["doc_id", "ids", "n_tokens"])
@@ -257,7 +257,7 @@ def round_trip_digests(df: DataFrame, model_path: str, id_column: str = "doc_id"
         encoder = encoder_of(model_path)
         vocab = encoder.vocab
         decimal = [str(i) for i in range(len(vocab.text))]
-        for batch in pieces_of_batches(batches, "text", 4 << 20):
+        for batch in pieces_of_batches(batches, "text", 1 << 20):
             flat, ends = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             ids, at = flat.tolist(), ends.tolist()
             written = [hashlib.sha256(",".join([decimal[i] for i in ids[a:b]]).encode()).hexdigest()

@@ -7,10 +7,11 @@ constants, texts that differ become slots. Two wrappers align like two pages, so
 and the partial wrappers are folded in two more steps, salted by task: no task ever holds a host's pages, only wrappers, whose
 size follows the variety of a site's markup.
 
-The wrapper names the part that holds the article: an article or main element, else the level below which most slot text stays
-together. From there blocks of text are taken in page order. Navigation, page headers and footers, asides, forms, scripts, styles and
-elements whose class, id or role says menu, advert, notice, comments and the like are left out; outside an article also constants
-of the host and lists of links.
+The article is every outermost article or main element of a page; on pages without one, the level of the wrapper below which most
+slot text stays together. From there blocks of text are taken in page order. Navigation, page headers and footers, asides, forms, scripts, styles and
+elements whose class, id or role is the name of a menu, advert, notice, comments and the like are left out, unless they hold the
+article; an element whose names only contain such a word goes if the host says so too: the same text on different pages, or half
+of it links. Outside an article also constants of the host and lists of links are left out.
 
 Rows: NULL html or a page without text gives the empty text. A NULL url belongs to the host "". Repeated rows give repeated results.
 Only page_id, url and html are read.
@@ -61,31 +62,72 @@ SAID_LEFT_OUT = frozenset(
 SAID_HEADER = frozenset(("header", "topbar", "sitehead"))
 SAID_CONTENT = frozenset("article articlebody content entry main post story text".split())
 ALWAYS_OUT = frozenset("comment comments disqus reply replies respond ad ads advert adverts advertisement".split())
+# a name like comments-area or post-comments says a part; no-sidebar, ad-free or cookie-recipe only holds such a word
+SAID_TRAILING = SAID_CONTENT | frozenset(
+    "area articles bar block body bottom box button buttons col column container form group head heading icon icons inner item items label "
+    "left link links list news outer panel posts right row section site slot small space stories title top unit wrap wrapper zone".split())
+SAID_STATE = frozenset("a after an and are as at before by for from has have hide how in is no not of off on or out show the to was "
+                       "what when why with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SLUGGED = HEADINGS | frozenset("p li dt dd td th tr blockquote pre figure figcaption span a b i em strong".split())  # ids are anchors
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
 
 
+def _said(tokens: list[str]) -> int:
+    """2: a class or id is the name of a part that is left out; 1: some word of one could be; 0: neither."""
+    names = [[w.lower() for w in WORD.findall(t)] for t in tokens]
+    words = {w for n in names for w in n}
+    content = bool(words & SAID_CONTENT)
+    if not words & (ALWAYS_OUT if content else SAID_LEFT_OUT):
+        return 0
+    if any(n and SAID_CONTENT.issuperset(n) for n in names):
+        return 1
+    for n in names:
+        if len(n) > 4 or SAID_STATE.intersection(n):
+            continue
+        while len(n) > 1 and n[-1] in SAID_TRAILING:
+            n = n[:-1]
+        if n and n[-1] in (ALWAYS_OUT if content else SAID_LEFT_OUT):
+            return 2
+    return 1
+
+
+# kinds of elements
+PLAIN, OUT, ARTICLE, HEADER, NAMED_OUT, DOUBTFUL, NAMED_ARTICLE = range(7)  # HEADER: left out unless in an article; NAMED_: see settle()
+
+
 @lru_cache(maxsize=50_000)
 def _kind(name: str, rest: str) -> tuple[str, int]:
-    """Signature of an element, and 0: ordinary, 1: left out, 2: article, 3: a header, left out unless in an article."""
+    """Signature of an element without its kind, and its kind."""
     found = {a.lower(): entities.unescape(b or c or d or "") for a, b, c, d in ATTRIBUTE.findall(rest)}
     words = {w.lower() for a in ("class", "id") for w in WORD.findall(found.get(a, ""))}
     role = found.get("role", "").lower()
     signature = name + "".join(f".{w}" for w in sorted(words | ({role} if role else set())))
     if name in ("html", "body"):
-        return name, 0
+        return name, PLAIN
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    if name in LEFT_OUT or hidden or role in ROLES_OUT or words & ALWAYS_OUT or (words & SAID_LEFT_OUT and not words & SAID_CONTENT):
-        return signature, 1
+    if name in LEFT_OUT or hidden or role in ROLES_OUT:
+        return signature, OUT
     if name in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
-        return signature, 2
-    return signature, 3 if name == "header" or (words & SAID_HEADER and not words & SAID_CONTENT) else 0
+        return signature, NAMED_ARTICLE if _said(found.get("class", "").split()) == 2 else ARTICLE
+    said = _said(found.get("class", "").split() + ([] if name in SLUGGED else found.get("id", "").split()))
+    if said == 2:
+        return signature, NAMED_OUT
+    if name == "header" or (words & SAID_HEADER and not words & SAID_CONTENT):
+        return signature, HEADER
+    return signature, DOUBTFUL if said and name not in HEADINGS else PLAIN
+
+
+def _kind_of(signature: str) -> int:
+    return int(signature[-1]) if signature[-2:-1] == "~" else PLAIN
 
 
 class Element:
     __slots__ = ("children", "kind", "name", "signature")
 
     def __init__(self, name: str, signature: str, kind: int):
-        self.name, self.signature, self.kind, self.children = name, signature, kind, []
+        self.name, self.kind, self.children = name, kind, []
+        self.signature = f"{signature}~{kind}" if kind else signature
 
 
 def parse(source: str) -> Element:
@@ -137,29 +179,88 @@ def parse(source: str) -> Element:
         if not m["rest"].endswith("/>") or name in BLOCK:
             stack.append(element)
     text(at, len(source))
+    settle(root)
     return root
 
 
+def settle(page: Element) -> None:
+    """Parts left out by their names, unless they hold the article: all text, or most of the text (of the page, or of its article elements
+    if there are any) with the first heading or the only article elements. Article elements stay, but for comments within an article."""
+    named: list[tuple] = []  # element, in an article element, text in those, text, whether it has a first heading, articles not of comments
+    free = {False: False, True: False}  # whether an article element is outside these parts; the same of one within another
+
+    def measure(e: Element, within: bool, post: bool, link: bool, out: bool) -> tuple[int, int, bool, bool]:
+        link, out = link or e.name == "a", out or e.kind == NAMED_OUT
+        if e.kind == NAMED_ARTICLE:
+            e.kind = NAMED_OUT if post else ARTICLE
+            e.signature = f"{e.signature[:-1]}{e.kind}"
+            if post:
+                return 0, 0, False, False
+        some = e.kind == ARTICLE
+        if some and not out:
+            free[within] = True
+        inside = chars = 0
+        first, article = e.name == "h1", within or some
+        for child in e.children:
+            if isinstance(child, str):
+                size = 0 if link else len(child.strip())
+                inside, chars = inside + size * article, chars + size
+            elif child.kind != OUT:
+                got = measure(child, article, post or e.name == "article", link, out)
+                inside, chars, first, some = inside + got[0], chars + got[1], first | got[2], some | got[3]
+        if e.kind in (NAMED_OUT, DOUBTFUL):
+            named.append((e, within, inside, chars, first, some and not post))
+        return inside, chars, first, some
+
+    all_inside, all_chars, heading, _ = measure(page, False, False, False, False)
+    for e, within, inside, chars, first, has in named:
+        part, total = (inside, all_inside) if within or free[False] else (chars, all_chars)
+        if part and (part == total or (2 * part > total and (first or (has and not free[within] and not heading)))):
+            e.kind, e.signature = PLAIN, e.signature[:-2]
+
+
 # ---- wrappers -------------------------------------------------------------------------------------------------------------
-# A node is [seen, chars, link chars, constant, children, groups]: occurrences, text below, text in links below, hash of its own text
-# if all occurrences agree (-1: a slot, 0: none), children by signature in order, and signatures that belong to a repeated group.
+# A node is [seen, chars, link chars, constant, children, groups, pages, whole]: occurrences, text below, text in links below, hash of
+# its own text if all occurrences agree (-1: a slot, 0: none), children by signature in order, signatures that belong to a repeated
+# group, hashes of up to ``DIFFERENT`` pages of different text that hold it, and the hash of all text below if all occurrences agree.
+DIFFERENT = 3
+
+
+def _hash(parts: list[str]) -> int:
+    return zlib.crc32(" ".join(parts).encode("utf-8", "replace")) | 1 << 32
+
 
 def wrapper_of(element: Element, in_link: bool = False) -> list:
+    node = _node(element, in_link)
+    _sign(node, [node[7]])
+    return node
+
+
+def _sign(node: list, page: list[int]) -> None:
+    node[6] = page
+    for child in node[4].values():
+        _sign(child, page)
+
+
+def _node(element: Element, in_link: bool) -> list:
     own, children, repeated, order, last = 0, {}, set(), [], None
     chars = links = 0
-    words = []
+    words, whole = [], []
     link = in_link or element.name == "a"
     for child in element.children:
         if isinstance(child, str):
             s = child.strip()
             if s:
                 words.append(s)
+                whole.append(s)
                 chars += len(s)
                 links += len(s) * link
             continue
-        got = wrapper_of(child, link)
+        got = _node(child, link)
         chars += got[1]
         links += got[2]
+        if got[7]:
+            whole.append(str(got[7]))
         have = children.get(child.signature)
         if have is None:
             children[child.signature] = got
@@ -170,13 +271,16 @@ def wrapper_of(element: Element, in_link: bool = False) -> list:
             repeated.add(child.signature)
         last = child.signature
     if words:
-        own = zlib.crc32(" ".join(words).encode("utf-8", "replace")) | 1 << 32
-    return [1, chars, links, own, children, sorted(repeated)]
+        own = _hash(words)
+    return [1, chars, links, own, children, sorted(repeated), [], _hash(whole) if whole else 0]
+
+
+def _agreed(a: int, b: int) -> int:
+    return a if a == b else b if not a else a if not b else -1
 
 
 def _fold(a: list, b: list) -> list:
     """Alignment of two wrappers of the same element."""
-    constant = a[3] if a[3] == b[3] else b[3] if not a[3] else a[3] if not b[3] else -1
     ka, kb = list(a[4]), list(b[4])
     repeated = {*a[5], *b[5]}
     if ka == kb:
@@ -199,7 +303,13 @@ def _fold(a: list, b: list) -> list:
     for s in order:
         x, y = a[4].get(s), b[4].get(s)
         children[s] = x if y is None else y if x is None else _fold(x, y)
-    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], constant, children, sorted(repeated)]
+    pages = a[6] if a[6] == b[6] else sorted({*a[6], *b[6]})[:DIFFERENT]
+    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], _agreed(a[3], b[3]), children, sorted(repeated), pages, _agreed(a[7], b[7])]
+
+
+def _constant(node: list) -> bool:
+    """Whether all text below is the same on different pages."""
+    return node[7] > 0 and len(node[6]) >= DIFFERENT
 
 
 def expression(node: list, signature: str = "#page", optional: bool = False) -> str:
@@ -217,47 +327,20 @@ def expression(node: list, signature: str = "#page", optional: bool = False) ->
 
 
 def article_paths(wrapper: list) -> list[tuple[str, ...]]:
-    """Where the article is: paths of signatures, outermost only."""
-    found: list[tuple[int, tuple[str, ...]]] = []
-
-    def search(node: list, path: tuple[str, ...]) -> None:
-        for s, child in node[4].items():
-            kind = _kind_of(s)
-            if kind == 2:
-                found.append((child[1] - child[2], (*path, s)))
-            elif kind == 0:
-                search(child, (*path, s))
-
-    search(wrapper, ())
-    if found:
-        most = max(c for c, _ in found)
-        return [p for c, p in found if c * 5 >= most]
+    """Where the text is on pages without article elements."""
     path: tuple[str, ...] = ()
     node = wrapper
     while True:  # down as long as one child holds most of the text
-        text = {s: c[1] - c[2] for s, c in node[4].items() if _kind_of(s) == 0}
+        text = {s: c[1] - c[2] for s, c in node[4].items() if _kind_of(s) in (PLAIN, ARTICLE, DOUBTFUL)}
         total = sum(text.values())
         best = max(text, key=text.get, default=None)
         own = node[3] != 0
-        if own or best is None or total == 0 or text[best] < 0.7 * total or best.split(".")[0] in (
+        if own or best is None or total == 0 or text[best] < 0.7 * total or best.split("~")[0].split(".")[0] in (
                 "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "blockquote", "pre", "span", "a", "b", "i", "em", "strong"):
             return [path]
         node, path = node[4][best], (*path, best)
 
 
-@lru_cache(maxsize=50_000)
-def _kind_of(signature: str) -> int:
-    name, *words = signature.split(".")
-    if name in ("html", "body"):
-        return 0
-    said = set(words)
-    if name in LEFT_OUT or said & ROLES_OUT or said & ALWAYS_OUT or (said & SAID_LEFT_OUT and not said & SAID_CONTENT):
-        return 1
-    if name in ("article", "main") or {"main", "article"} & said:
-        return 2
-    return 3 if name == "header" or (said & SAID_HEADER and not said & SAID_CONTENT) else 0
-
-
 def page_text(page: Element, wrapper: list, paths: list[tuple[str, ...]], pages: int) -> str:
     """Blocks of the article, one per line."""
     blocks: list[str] = []
@@ -270,6 +353,14 @@ def page_text(page: Element, wrapper: list, paths: list[tuple[str, ...]], pages:
         if line:
             blocks.append(line)
 
+    def dropped(child: Element, below: list | None, free: bool) -> bool:
+        if child.kind in (OUT, NAMED_OUT) or (child.kind == HEADER and free):
+            return True
+        if below and child.kind == DOUBTFUL and (_constant(below) or below[2] * 2 >= below[1] > 0):
+            return True
+        return bool(free and guarded and below and child.name in BLOCK and (
+            below[3] > 0 and not below[4] and below[0] >= 3 or below[2] * 5 >= below[1] * 4 > 0 and child.name in ("ul", "ol", "div")))
+
     def take(e: Element, node: list | None, free: bool) -> None:
         block = e.name in BLOCK
         if block:
@@ -278,46 +369,42 @@ def page_text(page: Element, wrapper: list, paths: list[tuple[str, ...]], pages:
             if isinstance(child, str):
                 held.append(child)
                 continue
-            if child.kind == 1 or (child.kind == 3 and free):
-                continue
             below = node[4].get(child.signature) if node else None
-            if free and guarded and below and child.name in BLOCK and (
-                    below[3] > 0 and not below[4] and below[0] >= 3 or below[2] * 5 >= below[1] * 4 > 0 and child.name in ("ul", "ol", "div")):
-                continue
-            take(child, below, free)
+            if not dropped(child, below, free):
+                take(child, below, free)
         if block:
             flush()
 
-    def descend(e: Element, node: list | None, path: tuple[str, ...], whole: tuple[str, ...]) -> bool:
+    def descend(e: Element, node: list | None, path: tuple[str, ...]) -> None:
         if not path:
-            take(e, node, _kind_of(whole[-1]) != 2 if whole else True)
+            take(e, node, True)
             flush()
-            return True
-        hit = False
+            return
         for child in e.children:
             if not isinstance(child, str) and child.signature == path[0]:
-                hit |= descend(child, node[4].get(path[0]) if node else None, path[1:], whole)
+                descend(child, node[4].get(path[0]) if node else None, path[1:])
+
+    def articles(e: Element, node: list | None) -> bool:
+        hit = False
+        for child in e.children:
+            if isinstance(child, str) or child.kind in (OUT, NAMED_OUT):
+                continue
+            below = node[4].get(child.signature) if node else None
+            if child.kind == ARTICLE:
+                take(child, below, False)
+                flush()
+                hit = True
+            else:
+                hit |= articles(child, below)
         return hit
 
-    order = [p for p in paths]
-    if len(order) > 1:  # in page order
-        places: list[tuple[str, ...]] = []
-
-        def walk(e: Element, path: tuple[str, ...]) -> None:
-            for child in e.children:
-                if not isinstance(child, str):
-                    here = (*path, child.signature)
-                    if here in order and here not in places:
-                        places.append(here)
-                    walk(child, here)
-
-        walk(page, ())
-        order = places
-    if not any([descend(page, wrapper, p, p) for p in order]) or not blocks:
-        own = wrapper_of(page)
-        blocks.clear()
-        for p in article_paths(own):
-            descend(page, own, p, p)
+    if not articles(page, wrapper):
+        for p in paths:
+            descend(page, wrapper, p)
+    if not blocks:  # no article, or an empty one: what the page alone says
+        guarded = False
+        take(page, wrapper_of(page), True)
+        flush()
     return "\n".join(blocks)
 
 

@@ -54,6 +54,36 @@ def test_wrapper_of_a_host():
     assert got.startswith("Title 2\nw") and "Our Site" not in got and "reserved" not in got and "home" not in got
 
 
+def test_a_word_of_a_name_drops_no_article():
+    text = "<h1>T</h1><p>flour and sugar, one cup of each</p>"
+    for whole in ('<article id="cookie-recipe">{}</article>', '<main class="no-sidebar">{}</main>', '<div id=wrap class="has-sidebar">{}</div>',
+                  '<div class="right-sidebar"><article>{}</article></div>', '<div class="right-sidebar"><div>{}</div></div>',
+                  '<main><div class="right-sidebar">{}</div></main>', '<article class="comment">{}</article>',
+                  '<div class="post ad-free">{}</div>', '<div class="entry has-comments">{}</div>', '<section id="law-of-copyright">{}</section>'):
+        assert one(f"<body><nav>m</nav>{whole.format(text)}<div class=ad>buy</div></body>") == "T\nflour and sugar, one cup of each", whole
+    assert one('<article><h2 id="copyright-law">A</h2><h2 id=copyright>B</h2><p>c</p><p id=search>d</p></article>') == "A\nB\nc\nd"
+    assert one("<article><p>a</p></article><div class=related-posts><article>other</article></div><div class=sidebarLeft>s</div>") == "a"
+    assert one("<article><p>a</p><section class='comments-area'><p>much longer than the article</p></section></article>") == "a"
+    assert one("<article><p>a</p><article class=comment>b</article></article><div id=comments><article>much longer</article></div>") == "a"
+    assert one("<div class=post><h1>T</h1>a</div><div id=comments><article class=comment>much longer</article></div>") == "T\na"
+    assert one("<article><h1>T</h1>a<div id=comments><article>much longer</article></div></article>") == "T\na"
+
+
+def host_texts(pages):
+    whole = None
+    for p in pages:
+        own = wrapper_of(parse(p))
+        whole = own if whole is None else _fold(whole, own)
+    return [page_text(parse(p), whole, article_paths(whole), len(pages)) for p in pages]
+
+
+def test_host_evidence_for_a_doubtful_name():
+    pages = [f"<article><h1>T {k}</h1><div class='cookie-recipe'>step {k}</div><div class='notice-of-use'><p>We use it.</p></div>"
+             f"<div class='search-by-word'>see <a href=/{k}>word number {k}</a></div></article>" for k in range(5)]
+    assert host_texts(pages) == [f"T {k}\nstep {k}" for k in range(5)]
+    assert host_texts(pages[:1] * 5) == ["T 0\nstep 0\nWe use it."] * 5
+
+
 @pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_table(spark, monkeypatch, limit):
     monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", limit)

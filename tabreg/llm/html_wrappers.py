@@ -7,11 +7,12 @@ constants, texts that differ become slots. Two wrappers align like two pages, so
 and the partial wrappers are folded in two more steps, salted by task: no task ever holds a host's pages, only wrappers, whose
 size follows the variety of a site's markup.
 
-The article is every outermost article or main element of a page; on pages without one, the level of the wrapper below which most
-slot text stays together. From there blocks of text are taken in page order. Navigation, page headers and footers, asides, forms, scripts, styles and
+The article is every outermost article or main element of a page; on pages without one, the lowest level of the wrapper that holds
+all slots. From there blocks of text are taken in page order. Navigation, page headers and footers, asides, forms, scripts, styles and
 elements whose class, id or role is the name of a menu, advert, notice, comments and the like are left out, unless they hold the
 article; an element whose names only contain such a word goes if the host says so too: the same text on different pages, or half
-of it links. Outside an article also constants of the host and lists of links are left out.
+of it links. Outside an article also constants of the host and lists of links are left out. A constant is the same on at least
+``DIFFERENT`` pages whose texts differ; copies of a page tell nothing.
 
 Rows: NULL html or a page without text gives the empty text. A NULL url belongs to the host "". Repeated rows give repeated results.
 Only page_id, url and html are read.
@@ -327,25 +328,22 @@ def expression(node: list, signature: str = "#page", optional: bool = False) ->
 
 
 def article_paths(wrapper: list) -> list[tuple[str, ...]]:
-    """Where the text is on pages without article elements."""
+    """Where the text is on pages without article elements: the lowest level that holds all text that is not constant."""
     path: tuple[str, ...] = ()
     node = wrapper
-    while True:  # down as long as one child holds most of the text
-        text = {s: c[1] - c[2] for s, c in node[4].items() if _kind_of(s) in (PLAIN, ARTICLE, DOUBTFUL)}
-        total = sum(text.values())
-        best = max(text, key=text.get, default=None)
-        own = node[3] != 0
-        if own or best is None or total == 0 or text[best] < 0.7 * total or best.split("~")[0].split(".")[0] in (
-                "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "blockquote", "pre", "span", "a", "b", "i", "em", "strong"):
-            return [path]
-        node, path = node[4][best], (*path, best)
+    while node[3] >= 0 and (not node[3] or len(node[6]) >= DIFFERENT):  # no text of its own, or a constant
+        varied = [s for s, c in node[4].items() if _kind_of(s) not in (OUT, HEADER, NAMED_OUT) and c[1] and not _constant(c)]
+        if len(varied) != 1 or varied[0].split("~")[0].split(".")[0] in SLUGGED | {"ul", "ol", "table", "tbody"}:
+            break
+        node, path = node[4][varied[0]], (*path, varied[0])
+    return [path]
 
 
 def page_text(page: Element, wrapper: list, paths: list[tuple[str, ...]], pages: int) -> str:
     """Blocks of the article, one per line."""
     blocks: list[str] = []
     held: list[str] = []
-    guarded = pages >= 3  # constants mean something
+    guarded = len(wrapper[6]) >= DIFFERENT  # host evidence means something
 
     def flush() -> None:
         line = BLANK.sub(" ", "".join(held)).strip()
@@ -359,7 +357,7 @@ def page_text(page: Element, wrapper: list, paths: list[tuple[str, ...]], pages:
         if below and child.kind == DOUBTFUL and (_constant(below) or below[2] * 2 >= below[1] > 0):
             return True
         return bool(free and guarded and below and child.name in BLOCK and (
-            below[3] > 0 and not below[4] and below[0] >= 3 or below[2] * 5 >= below[1] * 4 > 0 and child.name in ("ul", "ol", "div")))
+            _constant(below) or below[2] * 5 >= below[1] * 4 > 0 and child.name in ("ul", "ol", "div")))
 
     def take(e: Element, node: list | None, free: bool) -> None:
         block = e.name in BLOCK

@@ -84,6 +84,26 @@ def test_host_evidence_for_a_doubtful_name():
     assert host_texts(pages[:1] * 5) == ["T 0\nstep 0\nWe use it."] * 5
 
 
+def test_without_an_article_nothing_varied_goes():
+    pages = [f"<body><div class=top><b>Our</b> <i>Site</i></div><div class=box><h1>Title {k}</h1><p>lead {k}</p><div class=text>"
+             + f"<p>words {k} of the body, far longer than the rest</p>" * 5 + "</div></div><div class=end>All rights</div></body>" for k in range(6)]
+    body = "\n".join(["words {} of the body, far longer than the rest"] * 5)
+    assert host_texts(pages) == [f"Title {k}\nlead {k}\n" + body.format(*[k] * 5) for k in range(6)]
+
+
+def test_copies_of_a_page_make_no_constants():
+    same = "<body><div class=box><h1>Title</h1><p>only paragraph</p></div></body>"
+    assert host_texts([same] * 5) == ["Title\nonly paragraph"] * 5
+    mixed = [same, same, same, same.replace("only", "another")]
+    assert host_texts(mixed)[0] == "Title\nonly paragraph"
+
+
+def test_small_articles_beside_large_ones_stay():
+    pages = ["<body><article class=long>" + f"<p>words {k}</p>" * 50 + f"</article><article class=short><p>brief {k}</p></article></body>"
+             for k in range(4)]
+    assert all(t.endswith(f"words {k}\nbrief {k}") for k, t in enumerate(host_texts(pages)))
+
+
 @pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_table(spark, monkeypatch, limit):
     monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", limit)

@@ -3,8 +3,8 @@
 The index (list centres, code books) is fitted on at most about ``SAMPLE`` different vectors; every vector is then indexed. Equal
 vectors are one class. A class is assigned to its nearest centre; the residual's subspaces become one byte each, and the length of
 what the code loses is kept, so that the lookup distance gives a bound, not a guess: a member whose code lies farther than the
-search radius plus its own loss cannot be a neighbour. Lists are probed whose border with the query's own list is near: within
-``PROBE`` deviations of a neighbour's offset in one direction. What remains is decided by the cosine in double precision.
+search radius plus its own loss cannot be a neighbour. All lists are probed whose border with the query's own list is within the
+search radius, whatever direction a neighbour lies in, so no link is missed. What remains is decided by the cosine in double precision.
 
 Work is dealt in shelves of about ``SHELF`` members (several lists, or parts of a long one) against blocks of about ``QUERIES`` query
 classes; each pair of classes is looked at once. A task sends numbers of links per class and a forest of links, never all pairs.
@@ -31,7 +31,7 @@ SAMPLE = 20_000
 LIST_SIZE, MAX_LISTS = 256, 16_384
 CODES = 256
 SUBSPACE = 8
-PROBE = 3.0
+PROBE = float("inf")  # deviations of a neighbour's offset in one direction; finite values assume vectors spread over all directions
 SHELF, QUERIES = 4_096, 16_384
 ROUNDS = 8
 SEED = 5
@@ -83,7 +83,7 @@ class Index:
         """Which of ``lists`` each vector must visit."""
         reach = radius * min(1.0, PROBE / np.sqrt(x.shape[1]))
         here = ((x - self.centres[own]) ** 2).sum(1)[:, None]
-        border = _squares(x, self.centres[lists]) - here <= 2 * reach * self.gap[own][:, lists]
+        border = _squares(x, self.centres[lists]) - here <= 2 * reach * self.gap[own][:, lists] + 1e-9
         return border | (own[:, None] == lists[None, :])
 
     def lookup(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:

@@ -53,6 +53,19 @@ def test_recall_with_usual_probes(spark):
     assert np.mean([got[a] == got[b] for a, b in pairs]) > 0.98
 
 
+@pytest.mark.parametrize("rank,clusters", [(3, 0), (4, 25)])
+def test_exact_on_few_directions(spark, rank, clusters):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, rank))
+    if clusters:
+        x = rng.normal(size=(clusters, rank))[rng.integers(0, clusters, 1500)] + 0.3 * x
+    x = x @ rng.normal(size=(rank, 64)) + 0.02 * rng.normal(size=(1500, 64))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(table).collect()}
+    assert got == brute(rows)
+
+
 def test_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [1.0, nan]), (8, [float("inf"), 1.0]),

@@ -1,7 +1,8 @@
 """Benchmark passages in documents: q-gram lemma filter over diagonal bands, verified by banded alignment.
 
-Letters and digits are lower-cased, everything else becomes single spaces. An item is cut into pieces of ``PIECE`` characters, half
-a piece apart (a shorter item is one piece). A piece of m characters occurs in a document if a part of it lies within
+Letters and digits are lower-cased, everything else becomes single spaces. An item is cut into pieces of ``PART`` characters, ``STEP``
+apart, so that a verbatim excerpt of ``PART + STEP - 1`` characters (59, about ten words) holds a whole piece wherever it begins; an
+item of up to ``PIECE`` characters is a piece itself, too. A piece of m characters occurs in a document if a part of it lies within
 k = ``BUDGET`` * m edits. Then by the q-gram lemma at least (m - q + 1) - k*q of its q-grams occur there near one diagonal (document
 place minus piece place), within k of each other. Shared q-grams are counted in overlapping bands of diagonals, each twice as wide
 as k; bands that meet the bound are aligned with the piece, diagonals of the band and k more on either side, all candidates of a
@@ -10,7 +11,7 @@ batch at once.
 The benchmark is a stated query set: it is taken in blocks of about ``BLOCK_CHARS`` characters, each of which goes to every task and
 meets every whole text; texts themselves never move. Nothing is capped.
 
-Rows: NULL or empty texts hold nothing. Items with fewer than ``LEAST`` letters and digits are too short to tell and are not searched.
+Rows: NULL or empty texts hold nothing. Items with fewer than ``LEAST`` letters and digits are searched exactly, as whole words.
 Repeated documents give repeated rows; a NULL doc_id is kept as NULL. Only ids and texts are read.
 """
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from tabreg.llm.common import narrow, pieces_of_batches
 
 Q = 8
-PIECE = 96
+PIECE = 96  # longest piece
+PART, STEP = 48, 12
 BUDGET = 0.1
 LEAST = 24
 BLOCK_CHARS = 1 << 20
@@ -78,6 +80,15 @@ def grams(chars: np.ndarray) -> np.ndarray:
     return np.r_[h, np.zeros(len(chars) - len(h), np.uint64)]
 
 
+def _edits(piece: np.ndarray, text: np.ndarray) -> int:
+    """Least edits of a piece against any part of a text."""
+    cols, row = np.arange(len(text) + 1), np.zeros(len(text) + 1, np.int64)
+    for i, c in enumerate(piece.tolist(), 1):
+        row = np.r_[i, np.minimum(row[:-1] + (text != c), row[1:] + 1)]
+        row = np.minimum.accumulate(row - cols) + cols
+    return int(row.min())
+
+
 @dataclass
 class Pieces:
     item: np.ndarray      # of each piece
@@ -98,10 +109,13 @@ class Pieces:
             c = c[:-1] if len(c) and c[-1] == 32 else c
             if (c != 32).sum() < LEAST:
                 continue
-            starts = [0] if len(c) <= PIECE else [*range(0, len(c) - PIECE, PIECE // 2), len(c) - PIECE]
-            for s in starts:
+            if len(c) <= PIECE:
                 owner.append(i)
-                chars.append(c[s:s + PIECE])
+                chars.append(c)
+            if len(c) > PART:  # two halves of the last 96 characters among them
+                for s in sorted({*range(0, len(c) - PART, STEP), max(len(c) - 2 * PART, 0), len(c) - PART}):
+                    owner.append(i)
+                    chars.append(c[s:s + PART])
         if not chars:
             return None
         size = np.array([len(c) for c in chars])
@@ -180,25 +194,89 @@ class Pieces:
         good = edits <= self.budget[piece]
         out: dict[tuple[int, object], list] = {}
         for p, e, a, b in zip(piece[good].tolist(), edits[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True):
-            a, b = max(a, 0), min(b, len(chars) - 1)
-            t = int(np.searchsorted(ends, b, side="right"))
-            a = max(a, int(ends[t - 1]) if t else 0)
-            have = out.setdefault((t, self.item[p]), [1 << 60, 0, set(), 1 << 20])
-            have[0], have[1], have[3] = min(have[0], int(place[a])), max(have[1], int(place[b]) + 1), min(have[3], e)
-            have[2].add(p)
+            a, b, k = max(a, 0), min(b, len(chars) - 1), int(self.budget[p])
+            t, until = (int(np.searchsorted(ends, x, side="right")) for x in (a, b))
+            whole = t == until
+            for t in range(t, until + 1):
+                begin, end = int(ends[t - 1]) if t else 0, int(ends[t]) - 1
+                x, y = max(a, begin), min(b, end)
+                if not whole:  # the path crosses the end of a text
+                    e = _edits(self.chars[p], chars[max(a - k, begin):min(b + k + 1, end)])
+                    if e > k:
+                        continue
+                have = out.setdefault((t, self.item[p]), [1 << 60, 0, set(), 1 << 20])
+                have[0], have[1], have[3] = min(have[0], int(place[x])), max(have[1], int(place[y]) + 1), min(have[3], e)
+                have[2].add(p)
         return [(t, i, v[0], v[1], len(v[2]), v[3]) for (t, i), v in out.items()]
 
 
-def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Pieces]:
+@dataclass
+class Words:
+    """Short items, found exactly between word borders: hashes of windows that begin with a word, by length."""
+    size: dict[int, tuple[np.ndarray, list[list[tuple[object, np.ndarray]]]]]  # sorted hashes and the items of each
+
+    @staticmethod
+    def build(items: list[tuple[int, str]]) -> Words | None:
+        found: dict[int, dict[int, list]] = {}
+        for i, text in items:
+            c = normalise([text])[0][:-1]
+            c = c[:-1] if len(c) and c[-1] == 32 else c
+            if 0 < (c != 32).sum() < LEAST:
+                h = int((c.astype(np.uint64) * Words._powers(len(c), _BASE)).sum())
+                found.setdefault(len(c), {}).setdefault(h, []).append((i, c))
+        return Words({m: (np.array(sorted(t), np.uint64), [t[h] for h in sorted(t)]) for m, t in found.items()}) if found else None
+
+    @staticmethod
+    def _powers(n: int, base: np.uint64) -> np.ndarray:
+        return np.r_[np.uint64(1), np.cumprod(np.full(max(n - 1, 0), base, np.uint64))][:n]
+
+    def find(self, texts: list[str]) -> list[tuple[int, object, int, int, int, int]]:
+        """As Pieces.find; an item is one piece."""
+        chars, place, ends = normalise(texts)
+        blank = (chars == 0) | (chars == 32)
+        begins = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        total = np.r_[np.uint64(0), np.cumsum(chars.astype(np.uint64) * self._powers(len(chars), _BASE))]
+        back = self._powers(len(chars), np.uint64(pow(int(_BASE), -1, 1 << 64)))
+        out: dict[tuple[int, object], list] = {}
+        for m, (hashes, items) in self.size.items():
+            at = begins[begins + m < len(chars)]
+            at = at[blank[at + m]]
+            h = (total[at + m] - total[at]) * back[at]
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            same = hashes[k] == h
+            for a, j in zip(at[same].tolist(), k[same].tolist(), strict=True):
+                for item, c in items[j]:
+                    if (chars[a:a + m] == c).all():
+                        have = out.setdefault((int(np.searchsorted(ends, a, side="right")), item), [1 << 60, 0])
+                        have[:] = min(have[0], int(place[a])), max(have[1], int(place[a + m - 1]) + 1)
+        return [(t, i, v[0], v[1], 1, 0) for (t, i), v in out.items()]
+
+
+@dataclass
+class Block:
+    parts: list[Pieces | Words]
+
+    def find(self, texts: list[str]) -> list[tuple[int, object, int, int, int, int]]:
+        if len(self.parts) == 1:
+            return self.parts[0].find(texts)
+        out: dict[tuple[int, object], tuple] = {}
+        for t, i, a, b, n, e in (f for p in self.parts for f in p.find(texts)):
+            x = out.get((t, i), (a, b, 0, e))
+            out[t, i] = min(a, x[0]), max(b, x[1]), n + x[2], min(e, x[3])
+        return [(*k, *v) for k, v in out.items()]
+
+
+def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
     """The benchmark's pieces, block by block."""
     rows = narrow(benchmark, item_id="item_id:long", text="text:string").filter("item_id is not null and text is not null")
     total = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-total // block_chars))
     for b in range(blocks):
         own = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        pieces = Pieces.build([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()])
-        if pieces is not None:
-            yield pieces
+        items = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]
+        parts = [p for p in (Pieces.build(items), Words.build(items)) if p is not None]
+        if parts:
+            yield Block(parts)
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -206,7 +284,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
     schema = "doc_id long, item_id long, first_char long, end_char long, n_pieces long, edits long"
     rows = narrow(docs, doc_id="doc_id:long", text="text:string")
 
-    def search(pieces: Pieces):
+    def search(pieces: Block):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces_of_batches(batches, "text", 1 << 20):
                 ids = batch.column(0).to_pylist()
@@ -222,7 +300,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def holds_passage(pieces: Pieces, text: Column) -> Column:
+def holds_passage(pieces: Block, text: Column) -> Column:
     """Whether a text holds a passage; FALSE for NULL."""
 
     @F.pandas_udf("boolean")

@@ -74,3 +74,28 @@ def test_tables(spark, docs):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert find_passages(docs(rows), nothing).count() == 0 and without_passages(table, nothing).count() == len(rows)
     assert find_passages(docs([]), bench).count() == 0
+
+
+def test_excerpts_at_every_offset():
+    rng = random.Random(6)
+    item = plain(prose(rng, 260))
+    pieces = Pieces.build([(1, item)])
+    for size in (59, 70, 86, 110):
+        for at in range(len(item) - size + 1):
+            excerpt = item[at:at + size]
+            assert pieces.find([f"{plain(prose(rng, 60))} {excerpt} {plain(prose(rng, 60))}"]), (size, at)
+    for _ in range(60):  # one edit in twenty characters, anywhere
+        at = rng.randrange(len(item) - 80)
+        assert pieces.find([f"{prose(rng, 60)} {edited(rng, item[at:at + 80], 4)} {prose(rng, 60)}"])
+    assert not pieces.find([prose(rng, 5000)])
+
+
+def test_short_items_as_whole_words(spark, docs):
+    bench = spark.createDataFrame([(1, "What is 2 + 2?"), (2, "Cañón azul"), (3, "x"), (4, "?!"), (5, "blue whale " * 9), (5, "blue whale")],
+                                  "item_id long, text string")
+    rows = [(10, "so: what is 2+2"), (11, "what is 2 22"), (12, "el CAÑÓN  azul."), (13, "cañón azules"), (14, "a\nx"), (15, "xx ax xa"),
+            (16, "blue whale, " * 12), (17, "What is 2 + 2? what is 2 2"), (18, ""), (19, None), (20, "x")]
+    got = {(r.doc_id, r.item_id): r for r in find_passages(docs(rows), bench).collect()}
+    assert set(got) == {(10, 1), (12, 2), (14, 3), (16, 5), (17, 1), (20, 3)}
+    assert (got[17, 1].first_char, got[17, 1].end_char, got[10, 1].first_char, got[10, 1].edits) == (0, 26, 4, 0)
+    assert sorted(r.doc_id for r in without_passages(docs(rows), bench).collect()) == [11, 13, 15, 18, 19]

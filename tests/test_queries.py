@@ -48,3 +48,13 @@ def test_query_equals_sql(spark, duck, name):
     names = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(names)
     assert canonical(df.collect(), df.columns) == canonical(cur.fetchall(), names)
+
+
+def test_permutation_importance_uses_all_repeats(spark, monkeypatch):
+    from tabreg.operators import explain
+
+    seen = []
+    real = explain.permutation_importance
+    monkeypatch.setattr(explain, "permutation_importance", lambda m, df, y, ids, n=10, seed=42: seen.append(n) or real(m, df, y, ids, n, seed))
+    entry_points.queries()["permutation_importance"](spark, FOLDER)
+    assert seen == [10]

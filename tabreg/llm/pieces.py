@@ -130,7 +130,10 @@ class Vocabulary:
             place = np.cumsum(stay) - 1
             sym, word, ranks, new_id = sym[stay], word[stay], ranks[stay], new_id[stay]
             at = place[hit]
-            fresh = np.unique(np.r_[at, at[at > 0] - 1])
+            beside = np.zeros(len(sym), dtype=bool)
+            beside[at] = True
+            beside[at[at > 0] - 1] = True
+            fresh = np.flatnonzero(beside)
             ranks[fresh], new_id[fresh] = NO_PAIR, -1
             fresh = fresh[fresh + 1 < len(sym)]
             fresh = fresh[word[fresh] == word[fresh + 1]]

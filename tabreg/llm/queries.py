@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tabreg.llm.alignment import alignment_digests
 from tabreg.llm.common import table
 from tabreg.llm.decontaminate import find_passages
 from tabreg.llm.html_wrappers import main_text
@@ -63,10 +64,14 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(table(spark, folder, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment_digests(table(spark, folder, "documents"), BYTE_MODEL, PIECE_MODEL)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_piece_encoding, op3_toxicity, op4_benchmark_passages, op5_near_vectors, op6_personal_data, op7_web_archive,
-        op8_minhash, op9_token_files, op10_main_text)}
+        op8_minhash, op9_token_files, op10_main_text, op11_token_alignment)}
 
 ORACLES: dict[str, str] = {
     "op8_minhash": """

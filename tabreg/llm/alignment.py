@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabreg.llm.common import cut_lineage, discard, narrow, pieces_of_batches
+from tabreg.llm.common import cut_lineage, narrow, pieces_of_batches
 from tabreg.llm.pieces import Vocabulary, encoder_of
 from tabreg.llm.token_files import byte_encoder
 
@@ -383,8 +383,7 @@ def alignment_digests(df: DataFrame, byte_model: str, piece_model: str, id_colum
     """Per row: doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair of ids is the most frequent of its A id, ties included),
     count_sum (over links, how many documents hold the pair), groups_sha256, n_group_links (shared-group links)."""
     rows = narrow(df, doc_id=f"{id_column}:long", text=f"{text_column}:string")
-    staged_rows = _staged(rows, byte_model, piece_model)
-    staged = cut_lineage(staged_rows)
+    staged = cut_lineage(_staged(rows, byte_model, piece_model))
     blocks, chunks = staged.filter("chunk is null"), staged.filter("chunk is not null").drop("docs")
     known = _counts(blocks).withColumnRenamed("block", "__block")
 

@@ -12,6 +12,7 @@ from tabreg.llm.common import table
 from tabreg.llm.decontaminate import find_passages
 from tabreg.llm.html_wrappers import main_text
 from tabreg.llm.minhash import near_duplicates
+from tabreg.llm.mixing import mix_sources
 from tabreg.llm.pii import find_personal_data
 from tabreg.llm.pieces import round_trip_digests
 from tabreg.llm.quality import score_quality
@@ -19,6 +20,7 @@ from tabreg.llm.token_files import token_file_digests
 from tabreg.llm.toxicity import score_toxicity
 from tabreg.llm.vectors import near_duplicate_vectors
 from tabreg.llm.web_archive import archive_digests
+from tabreg.llm.whitening import whiten
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,10 +70,18 @@ def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment_digests(table(spark, folder, "documents"), BYTE_MODEL, PIECE_MODEL)
 
 
+def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_piece_encoding, op3_toxicity, op4_benchmark_passages, op5_near_vectors, op6_personal_data, op7_web_archive,
-        op8_minhash, op9_token_files, op10_main_text, op11_token_alignment)}
+        op8_minhash, op9_token_files, op10_main_text, op11_token_alignment, op12_source_mix, op13_whitening)}
 
 ORACLES: dict[str, str] = {
     "op8_minhash": """

@@ -137,37 +137,6 @@ class HistGradientBoosting(GradientBoosting):
         return GradientBoosting.estimator(self, p)
 
 
-class BoostedTreesDepthwise(GradientBoosting):
-    """Stand-in for a depth-wise boosting library, on Spark's own boosted trees."""
-
-    defaults = {**GradientBoosting.defaults, "learning_rate": 0.3, "max_depth": 6, "colsample_bytree": 1.0,
-                "min_child_weight": 1, "max_bins": 255}
-    ignored = (*GradientBoosting.ignored, "reg_alpha", "reg_lambda")
-
-    def estimator(self, p):
-        share = min(1.0, float(self.params["colsample_bytree"]))
-        return GradientBoosting.estimator(self.with_params(
-            max_features="all" if share == 1.0 else share, min_samples_leaf=self.params["min_child_weight"]), p)
-
-    def with_params(self, **params):
-        return type(self)(**{**self.params, **params})
-
-
-class BoostedTreesLeafwise(BoostedTreesDepthwise):
-    """Stand-in for a leaf-wise boosting library, on Spark's own boosted trees."""
-
-    defaults = {**BoostedTreesDepthwise.defaults, "learning_rate": 0.1, "max_depth": 5, "min_child_samples": 20}
-    ignored = (*BoostedTreesDepthwise.ignored, "num_leaves", "boosting_type", "subsample_for_bin", "min_split_gain",
-               "subsample_freq")
-
-    def estimator(self, p):
-        o = self.params
-        share = min(1.0, float(o["colsample_bytree"]))
-        return GradientBoosting.estimator(self.with_params(
-            max_features="all" if share == 1.0 else share, min_samples_leaf=o["min_child_samples"],
-            max_depth=None if int(o["max_depth"] or 0) <= 0 else o["max_depth"]), p)
-
-
 class Huber(SparkRegressor):
     defaults = {"epsilon": 1.35, "alpha": 1e-4, "max_iter": 100, "fit_intercept": True, "tol": 1e-5}
 

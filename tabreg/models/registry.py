@@ -5,6 +5,7 @@ from __future__ import annotations
 from tabreg.models import ensembles as E
 from tabreg.models import iterative as I
 from tabreg.models import linear as L
+from tabreg.models import trees as T
 from tabreg.models.base import Regressor
 from tabreg.models.knn import KNeighbors
 from tabreg.models.search import LogUniform, RandInt, Uniform
@@ -22,7 +23,8 @@ REGRESSORS: dict[str, type[Regressor]] = {
     "TransformedTargetRegressor": I.TransformedTarget, "DummyRegressor": I.Dummy,
     "DecisionTreeRegressor": E.DecisionTree, "RandomForestRegressor": E.RandomForest, "BaggingRegressor": E.Bagging,
     "GradientBoostingRegressor": E.GradientBoosting, "HistGradientBoostingRegressor": E.HistGradientBoosting,
-    "XGBRegressor": E.BoostedTreesDepthwise, "LGBMRegressor": E.BoostedTreesLeafwise, "AdaBoostRegressor": E.AdaBoost,
+    "XGBRegressor": T.BoostedTreesDepthwise, "LGBMRegressor": T.BoostedTreesLeafwise, "ExtraTreeRegressor": T.ExtraTree,
+    "ExtraTreesRegressor": T.ExtraTrees, "AdaBoostRegressor": E.AdaBoost,
     "KNeighborsRegressor": KNeighbors,
 }
 
@@ -93,10 +95,19 @@ SPACES: dict[str, dict] = {
         "max_bins": RandInt(32, 256), "tol": (1e-8, 1e-7, 1e-6, 1e-5)},
     "XGBRegressor": {"max_depth": (4, 5, 6, 7, 8), "learning_rate": (0.1, 0.01, 0.001),
                      "n_estimators": tuple(range(100, 1400, 150)), "subsample": tuple(i / 10 for i in range(1, 10)),
-                     "colsample_bytree": tuple(i / 10 for i in range(1, 10)), "min_child_weight": tuple(range(2, 8))},
-    "LGBMRegressor": {"max_depth": RandInt(-1, 20), "learning_rate": (0.01, 0.05, 0.1, 0.2, 0.3),
-                      "n_estimators": RandInt(100, 1000), "min_child_samples": RandInt(5, 100),
-                      "subsample": Uniform(0.5, 1), "colsample_bytree": Uniform(0.5, 1)},
+                     "colsample_bytree": tuple(i / 10 for i in range(1, 10)), "reg_alpha": tuple(i / 10 for i in range(1, 10)),
+                     "reg_lambda": tuple(i / 10 for i in range(1, 10)), "min_child_weight": tuple(range(2, 8))},
+    "LGBMRegressor": {"boosting_type": ("gbdt", "dart", "rf"), "num_leaves": RandInt(10, 200), "max_depth": RandInt(-1, 20),
+                      "learning_rate": (0.01, 0.05, 0.1, 0.2, 0.3), "n_estimators": RandInt(100, 1000), "min_split_gain": Uniform(0, 1),
+                      "min_child_weight": Uniform(1e-5, 1e-1), "min_child_samples": RandInt(5, 100), "subsample": Uniform(0.5, 1),
+                      "subsample_freq": RandInt(0, 10), "colsample_bytree": Uniform(0.5, 1), "reg_alpha": Uniform(0, 1),
+                      "reg_lambda": Uniform(0, 1)},
+    "ExtraTreeRegressor": {"n_estimators": RandInt(10, 101), "max_depth": (None, *range(1, 21)), "min_samples_split": RandInt(2, 11),
+                           "min_samples_leaf": RandInt(1, 11), "min_weight_fraction_leaf": Uniform(0, 0.5),
+                           "max_features": ("sqrt", "log2", None), "min_impurity_decrease": Uniform(0, 0.5), "bootstrap": YES_NO},
+    "ExtraTreesRegressor": {"n_estimators": tuple(range(100, 1001, 100)), "max_depth": (10, 20, 30, 40, 50), "min_samples_split": (2, 5, 10),
+                            "min_samples_leaf": (1, 2, 4), "min_weight_fraction_leaf": Uniform(0.0, 0.5),
+                            "max_features": ("auto", "sqrt", "log2"), "min_impurity_decrease": Uniform(0.0, 0.5), "bootstrap": YES_NO},
     "AdaBoostRegressor": {"n_estimators": (50, *range(100, 1001, 100)), "learning_rate": Uniform(0.1, 1.0),
                           "loss": ("linear", "square", "exponential")},
     "KNeighborsRegressor": {"n_neighbors": (3, 5, 7, 9, 11), "weights": ("uniform", "distance"), "p": (1, 2)},

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml import regression as M
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabreg.functions.columns import clean_double, clean_double_sql, q
-from tabreg.models.base import Fitted, FittedLinear
+from tabreg.models.base import Fitted, FittedLinear, FittedSpark
+from tabreg.models.trees import FittedTrees, attributions, trees_of_spark
 from tabreg.operators.evaluate import score_columns
 from tabreg.operators.order import INDEX
 from tabreg.operators.quantiles import column_quantiles
@@ -17,6 +19,8 @@ from tabreg.operators.split import shuffle
 from tabreg.operators.wrappers import permuted_position
 from tabreg.sources.storage import cut_lineage, discard
 
+SPARK_TREES = (M.DecisionTreeRegressionModel, M.RandomForestRegressionModel, M.GBTRegressionModel)
+
 
 def _ranked(df: DataFrame, values: dict[str, float]) -> DataFrame:
     order = sorted(values, key=lambda c: (-values[c], c))
@@ -95,8 +99,9 @@ def shap_values(model: Fitted, df: DataFrame, row_id: Sequence[str], n_permutati
     """Row id, one attribution column per feature, and ``base_value``; they add up to the prediction.
     A row-id column that is also a feature is returned as ``{name}_id``.
 
-    Linear models: coefficient times distance from the mean, exact.  Other models: sampled permutation
-    values (Strumbelj & Kononenko 2014).  Each sample walks from a random background row to the row,
+    Linear models: coefficient times distance from the mean, exact.  Trees, forests and boosted trees: exact Shapley
+    values of the trees, features outside a subset being averaged by the nodes' shares of the training rows (Lundberg
+    et al. 2020); of models with a log link, those of the logarithm.  Other models: sampled permutation values (Strumbelj & Kononenko 2014).  Each sample walks from a random background row to the row,
     one feature at a time; the steps live inside the row, and one aggregate per row adds them up.
     """
     features = list(model.features)
@@ -107,6 +112,9 @@ def shap_values(model: Fitted, df: DataFrame, row_id: Sequence[str], n_permutati
                  for i, (c, b) in enumerate(zip(features, model.coef))]
         base = model.intercept + sum(b * row[f"m{i}"] for i, b in enumerate(model.coef))
         return df.select(*ids, *parts, F.lit(float(base)).alias("base_value"))
+    if isinstance(model, FittedTrees) or isinstance(model, FittedSpark) and isinstance(model.model, SPARK_TREES):
+        trees = model if isinstance(model, FittedTrees) else trees_of_spark(model.model, df.sparkSession, features)
+        return attributions(trees, df, [q(c).alias(c if c not in features else f"{c}_id") for c in row_id])
     p = len(features)
     rows, n = _positioned(df, features, row_id, seed)
     donor = rows.select(F.col(INDEX).alias("__to"), F.array(*[q(c) for c in features]).alias("__z"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tabreg.sources.shipping import ship_package
 from tabreg.sources.storage import cut_lineage, discard, shared_path
 
-__all__ = ["crc_fold", "cut_lineage", "discard", "few_ids", "narrow", "pieces_of_batches", "salted_lookup", "shared_path",
+__all__ = ["crc_fold", "cut_lineage", "discard", "few_ids", "narrow", "pieces_of_batches", "release_memory", "salted_lookup", "shared_path",
            "ship_package", "table", "train_rows", "with_ids", "without_ids"]
 
 SALTS = 64
@@ -59,6 +61,15 @@ def pieces_of_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int
             start = stop
 
 
+def release_memory() -> None:
+    """Give memory that earlier tasks of this worker process left over back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
+    if trim:
+        trim(0)
+
+
 def salted_lookup(rows: DataFrame, key: str, facts: list[Column], spread_by: str, keep: Column | None = None) -> DataFrame:
     """Join each row with facts about its whole key group, however many rows one key has.
 

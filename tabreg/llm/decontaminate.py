@@ -22,12 +22,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabreg.llm.common import narrow, pieces_of_batches
+from tabreg.llm.common import narrow, pieces_of_batches, release_memory
 
 Q = 8
 PIECE = 96  # longest piece
@@ -35,6 +34,8 @@ PART, STEP = 48, 12
 BUDGET = 0.1
 LEAST = 24
 BLOCK_CHARS = 1 << 20
+PAIRS_AT_ONCE = 1 << 20
+STAGE_BYTES = 1 << 19   # text searched at a time as a stage of a pipeline, beside what other stages left in memory
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = 20  # bits of the table that most places of a text do not pass
 
@@ -143,13 +144,22 @@ class Pieces:
         last = np.maximum.accumulate(np.where(near, at + reach, -1)) if len(at) else at
         at, k = at[at <= last], k[at <= last]
         times = self.first[k + 1] - self.first[k]
-        pair = np.repeat(self.first[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        piece = self.piece[pair]
-        diagonal = np.repeat(at, times) - self.place[pair] + PIECE  # not negative
-        width = self.budget[piece] + 1
-        band = diagonal // width
-        key = np.concatenate([piece * (1 << 40) + band, piece * (1 << 40) + np.maximum(band - 1, 0)])
-        key, count = np.unique(key, return_counts=True)
+        ends = np.cumsum(times)
+        key, count, start = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        while start < len(at):  # so many (piece, place) pairs at a time, however often a q-gram repeats
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right")))
+            n, g = times[start:stop], k[start:stop]
+            pair = np.repeat(self.first[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            piece = self.piece[pair]
+            diagonal = np.repeat(at[start:stop], n) - self.place[pair] + PIECE  # not negative
+            band = diagonal // (self.budget[piece] + 1)
+            more = np.sort(np.concatenate([piece * (1 << 40) + band, piece * (1 << 40) + np.maximum(band - 1, 0)]))
+            new = np.flatnonzero(np.r_[True, more[1:] != more[:-1]])
+            key, count = np.r_[key, more[new]], np.r_[count, np.diff(np.r_[new, len(more)])]
+            if start:
+                key, at_key = np.unique(key, return_inverse=True)
+                count = np.bincount(at_key, weights=count).astype(np.int64)
+            start = stop
         piece = key >> 40
         good = count >= self.bound[piece]
         piece, band = piece[good], key[good] & ((1 << 40) - 1)
@@ -300,28 +310,21 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def holds_passage(pieces: Block, text: Column) -> Column:
-    """Whether a text holds a passage; FALSE for NULL."""
-
-    @F.pandas_udf("boolean")
-    def held(values: pd.Series) -> pd.Series:
-        out, texts = np.zeros(len(values), dtype=bool), [v if isinstance(v, str) else "" for v in values]
-        at = 0
-        while at < len(texts):  # about two million characters at a time
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 2 << 20):
-                size += len(texts[stop])
-                stop += 1
-            for t, *_ in pieces.find(texts[at:stop]):
-                out[at + t] = True
-            at = stop
-        return pd.Series(out)
-
-    return held(text)
+def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their own columns, that hold no passage of the benchmark. NULL and empty texts hold none."""
+    at = docs.columns.index("text")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
 
+    def clean(pieces: Block):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release_memory()
+            for batch in pieces_of_batches(batches, "text", STAGE_BYTES):
+                held = np.zeros(batch.num_rows, dtype=bool)
+                for t, *_ in pieces.find([t or "" for t in batch.column(at).to_pylist()]):
+                    held[t] = True
+                yield batch.filter(pa.array(~held)) if held.any() else batch
+        return run
 
-def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that hold no passage of the benchmark."""
     for pieces in benchmark_blocks(benchmark):
-        docs = docs.filter(~holds_passage(pieces, F.col("text").cast("string")))
+        docs = docs.mapInArrow(clean(pieces), docs.schema)
     return docs

@@ -99,3 +99,20 @@ def test_short_items_as_whole_words(spark, docs):
     assert set(got) == {(10, 1), (12, 2), (14, 3), (16, 5), (17, 1), (20, 3)}
     assert (got[17, 1].first_char, got[17, 1].end_char, got[10, 1].first_char, got[10, 1].edits) == (0, 26, 4, 0)
     assert sorted(r.doc_id for r in without_passages(docs(rows), bench).collect()) == [11, 13, 15, 18, 19]
+
+
+def test_long_repetitive_text_in_bounded_memory(spark, docs):
+    import tracemalloc
+
+    pieces = Pieces.build([(1, "ab" * 60), (2, "the quick brown fox jumps over the lazy dog near the river bank today")])
+    text = normalise(["ab" * 200_000])[0]
+    tracemalloc.start()
+    piece, _ = pieces.candidates(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(piece) and peak < 400e6
+    rows = [(1, "ab" * 40_000), (2, None), (3, ""), (4, "clean words only here")]
+    bench = spark.createDataFrame([(1, "ab" * 60)], "item_id long, text string")
+    assert {r.doc_id for r in find_passages(docs(rows), bench).collect()} == {1}
+    kept = without_passages(docs(rows), bench)
+    assert kept.columns == docs(rows).columns and {r.doc_id for r in kept.collect()} == {2, 3, 4}

@@ -162,10 +162,12 @@ class ByteEncoder:
     def _ids(self, keys: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         coded = keys.dictionary_encode()
         different, index = coded.dictionary.to_pylist(), self.index
-        fresh = [c for c in different if c not in index]
+        places = list(map(index.get, different))
+        fresh = [c for c, k in zip(different, places, strict=True) if k is None]
         if fresh:
             self._learn(fresh)
-        known = np.fromiter(map(index.__getitem__, different), np.int64, len(different))
+            places = [index[c] if k is None else k for c, k in zip(different, places, strict=True)]
+        known = np.fromiter(places, np.int64, len(different))
         at = coded.indices.to_numpy()
         if len(known):
             self.uses[known] += np.bincount(at, minlength=len(known))

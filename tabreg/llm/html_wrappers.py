@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -135,14 +136,19 @@ def parse(source: str) -> Element:
     """The tree of a page, however broken its markup; children are elements and plain strings (character references decoded)."""
     root = Element("#page", "#page", 0)
     stack, at = [root], 0
+    opened: dict[str, int] = {}  # names of the elements on the stack
 
     def text(a: int, b: int) -> None:
         if b > a:
             stack[-1].children.append(entities.unescape(source[a:b]))
 
     def close(names: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> None:
+        if not any(opened.get(n) for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
+                for e in stack[k:]:
+                    opened[e.name] -= 1
                 del stack[k:]
                 return
             if stack[k].name in within:
@@ -179,6 +185,7 @@ def parse(source: str) -> Element:
             continue
         if not m["rest"].endswith("/>") or name in BLOCK:
             stack.append(element)
+            opened[name] = opened.get(name, 0) + 1
     text(at, len(source))
     settle(root)
     return root
@@ -227,6 +234,32 @@ def settle(page: Element) -> None:
 DIFFERENT = 3
 
 
+def any_depth() -> None:
+    """Let functions call themselves as deep as a page nests. Calls from Python to Python take no room on the thread's stack, so only
+    memory bounds them; whatever runs in C by depth (JSON among it) is given flat lists."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 30))
+
+
+def packed(wrapper: list) -> str:
+    """A wrapper as JSON: its nodes in order, children as names with the place of each."""
+    nodes, stack = [], [(wrapper, -1, "")]
+    while stack:
+        node, parent, name = stack.pop()
+        at = len(nodes)
+        nodes.append([parent, name, *node[:4], *node[5:]])
+        stack += [(child, at, s) for s, child in reversed(node[4].items())]
+    return json.dumps(nodes)
+
+
+def unpacked(text: str) -> list:
+    nodes = []
+    for parent, name, *rest in json.loads(text):
+        nodes.append([*rest[:4], {}, *rest[4:]])
+        if parent >= 0:
+            nodes[parent][4][name] = nodes[-1]
+    return nodes[0]
+
+
 def _hash(parts: list[str]) -> int:
     return zlib.crc32(" ".join(parts).encode("utf-8", "replace")) | 1 << 32
 
@@ -418,12 +451,13 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper as JSON) of every host, from all its pages."""
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        any_depth()
         task = TaskContext.get().partitionId() % SALTS
         held: dict[str, list] = {}
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([task] * len(held), pa.int32()),
-                                               pa.array([json.dumps(w) for w in held.values()], pa.string())], ["host", "salt", "wrapper"])
+                                               pa.array([packed(w) for w in held.values()], pa.string())], ["host", "salt", "wrapper"])
 
         for batch in pieces_of_batches(batches, "html"):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -435,12 +469,13 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
         yield out()
 
     def merge(group: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        any_depth()
         whole, host = None, None
         for batch in group:
             for host, text in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):  # noqa: B020
-                part = json.loads(text)
+                part = unpacked(text)
                 whole = part if whole is None else _fold(whole, part)
-        yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(whole)])], ["host", "wrapper"])
+        yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([packed(whole)])], ["host", "wrapper"])
 
     parts = _with_host(pages).select("host", "html").mapInArrow(partial, "host string, salt int, wrapper string")
     salted = parts.groupBy("host", "salt").applyInArrow(lambda g: _table(merge, g), "host string, wrapper string")
@@ -464,6 +499,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         joined = salted.join(copies, (F.col("host") == F.col("__host")) & (F.col("__salt") == F.col("__copy")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        any_depth()
         known: dict[str, tuple] = {}
         for batch in pieces_of_batches(batches, "html"):
             texts = []
@@ -471,7 +507,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if host not in known:
                     if len(known) >= HELD_HOSTS:
                         known.clear()
-                    wrapper = json.loads(text)
+                    wrapper = unpacked(text)
                     known[host] = (wrapper, article_paths(wrapper), wrapper[0])
                 texts.append(page_text(parse(source or ""), *known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),

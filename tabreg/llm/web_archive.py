@@ -50,7 +50,11 @@ def sha1_base32(data: bytes) -> str:
 
 
 def _url(value: str | None) -> str:
-    return "-" if value is None else UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", value) or "%"
+    """A url without blanks; one that could be taken for a missing one or for an archive's own first record is escaped."""
+    if value is None:
+        return "-"
+    out = UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", value)
+    return f"%{ord(out[0]):02X}{out[1:]}" if out == "-" or out.startswith("filedesc:") else out or "%"
 
 
 def _plain_url(value: str) -> str | None:

@@ -118,3 +118,14 @@ def test_table(spark, monkeypatch, limit):
     assert text[100] == "a" and text[101] == "" and text[102] == "" and text[None] == "z" and text[103].count("\n") == 4999
     assert text[5].split("\n")[0] == "Title 5" and "reserved" not in text[5] and "home" not in text[5]
     assert main_text(table.limit(0)).count() == 0
+
+
+def test_any_depth_of_nesting(spark):
+    n = 100_000
+    deep = "<body>" + "<div>" * n + "<p>far down</p>" + "</div>" * n + "<p>after</p></body>"
+    unclosed = "<b>" * n + "words" + "</i>" * n
+    rows = [(1, "http://a.b/1", deep), (2, "http://a.b/2", unclosed), (3, "http://a.b/3", "<article><p>plain</p></article>"), (4, "http://c.d/", deep)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {r.page_id: r.text for r in main_text(pages).collect()}
+    assert got[3] == "plain" and got[4] == "far down\nafter"
+    assert "far down" in got[1] and got[2] == "words"

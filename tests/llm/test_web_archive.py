@@ -63,3 +63,12 @@ def test_payloads_and_urls_come_back(spark, tmp_path):
     payload = {(r.page_id, r.url): r.payload for r in got}
     assert bytes(payload[(3, "http://e.x/%20")]).decode() == "<p>é\r\n\r\n</p>" and payload[(1, "http://e.x/a b")] is None
     assert archive_digests(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_urls_that_look_like_other_fields(spark):
+    rows = [(1, "filedesc://x.arc", "<p>a</p>"), (2, "-", "<p>a</p>"), (3, "filedesc:", ""), (4, None, None), (5, "%", "b"), (6, "", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {r.page_id: r for r in archive_digests(pages).collect()}
+    assert {k: r.payload_bytes for k, r in got.items()} == {k: len((h or "").encode()) for k, _, h in rows}
+    assert got[1].record_type == "revisit" and got[1].refers_to == 2
+    assert {k: r.url for k, r in got.items() if "url" in r} in ({}, {k: u for k, u, _ in rows})

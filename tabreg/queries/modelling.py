@@ -367,6 +367,7 @@ SMALL = {"RandomForestRegressor": {"n_estimators": 20, "max_depth": 5}, "Bagging
          "XGBRegressor": {"n_estimators": 10, "max_depth": 4}, "LGBMRegressor": {"n_estimators": 10},
          "AdaBoostRegressor": {"n_estimators": 10}, "DecisionTreeRegressor": {"max_depth": 8},
          "SVR": {"components": 50, "max_iter": 12}, "NuSVR": {"components": 50, "max_iter": 12, "C": 10.0},
+         "ExtraTreeRegressor": {}, "ExtraTreesRegressor": {},
          "KernelRidge": {"kernel": "rbf"}, "TransformedTargetRegressor": {"transformer": "yeo-johnson"},
          "PoissonRegressor": {"alpha": 0.01}, "GammaRegressor": {"alpha": 0.01}}
 for _name, _args in SMALL.items():
@@ -381,7 +382,9 @@ for _name, _args in SMALL.items():
 # A yes/no feature: one tree, one boosting step and the log-link families must all give the mean of either side.
 BINARY = {"DecisionTreeRegressor": {}, "RandomForestRegressor": {"n_estimators": 1, "bootstrap": False},
           "BaggingRegressor": {"n_estimators": 1, "bootstrap": False}, "GradientBoostingRegressor": {"n_estimators": 1, "learning_rate": 1.0},
-          "HistGradientBoostingRegressor": {"max_iter": 1, "learning_rate": 1.0}, "XGBRegressor": {"n_estimators": 1, "learning_rate": 1.0},
+          "HistGradientBoostingRegressor": {"max_iter": 1, "learning_rate": 1.0},
+          "XGBRegressor": {"n_estimators": 1, "learning_rate": 1.0, "reg_lambda": 0.0},  # the mean itself: no penalty
+          "ExtraTreeRegressor": {}, "ExtraTreesRegressor": {"n_estimators": 3},
           "LGBMRegressor": {"n_estimators": 1, "learning_rate": 1.0}, "AdaBoostRegressor": {"n_estimators": 1},
           "PoissonRegressor": {"alpha": 0.0}, "GammaRegressor": {"alpha": 0.0}, "LinearRegression": {}}
 for _name, _args in BINARY.items():
@@ -395,6 +398,85 @@ for _name, _args in BINARY.items():
 WITH s AS (SELECT CAST(l_quantity > 25 AS INTEGER)::DOUBLE AS flag, l_extendedprice AS y FROM lineitem)
 SELECT flag, {r('avg(y)', 2)} AS highest, {r('avg(y)', 2)} AS lowest, count(*) AS row_count FROM s GROUP BY flag""")(_binary)
 
+# Two yes/no features with effects of their own, and the rows of each of their four cells.
+TWO_FLAGS = ("big", "dear")
+TWO_FLAGS_SQL = """s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity > 25 AS INTEGER)::DOUBLE AS big, CAST(l_discount > 0.05 AS INTEGER)::DOUBLE AS dear,
+  l_extendedprice + CASE WHEN l_quantity > 25 THEN 30000 ELSE 0 END + CASE WHEN l_discount > 0.05 THEN 9000 ELSE 0 END + CASE WHEN l_quantity > 25 AND l_discount > 0.05 THEN 4000 ELSE 0 END AS y
+ FROM lineitem)"""
+
+
+def two_flags(spark, sf):
+    big, dear = F.col("l_quantity") > 25, F.col("l_discount") > 0.05
+    y = F.col("l_extendedprice") + F.when(big, 30000.0).otherwise(0.0) + F.when(dear, 9000.0).otherwise(0.0) + F.when(big & dear, 4000.0).otherwise(0.0)
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", big.cast("double").alias("big"), dear.cast("double").alias("dear"), y.alias("y"))
+
+
+def _by_cell(df, model, *flags):
+    return round_all(model.predict(df).groupBy(*flags).agg(F.max("prediction").alias("highest"), F.min("prediction").alias("lowest"),
+                                                           F.count(F.lit(1)).alias("row_count")), 2)
+
+
+@register("boosted_two_rounds", f"""
+WITH {TWO_FLAGS_SQL}, m AS (SELECT avg(y) AS b FROM s), g AS (SELECT big, count(*) AS n, sum(y) AS t FROM s GROUP BY big),
+ one AS (SELECT *, -sign(n * b - t) * greatest(abs(n * b - t) - 5000000, 0) / (n + 800) AS v FROM g, m),
+ two AS (SELECT *, n * (b + 0.5 * v) - t AS g2 FROM one),
+ done AS (SELECT *, b + 0.5 * v + 0.5 * -sign(g2) * greatest(abs(g2) - 5000000, 0) / (n + 800) AS p FROM two)
+SELECT big, {r('p', 2)} AS highest, {r('p', 2)} AS lowest, n AS row_count FROM done""")
+def boosted_two_rounds(spark, sf):
+    """Two boosting rounds with penalties on one yes/no feature."""
+    df = two_flags(spark, sf)
+    model = make("XGBRegressor", n_estimators=2, learning_rate=0.5, max_depth=1, reg_lambda=800.0, reg_alpha=5e6).fit(df, ["big"], "y")
+    return _by_cell(df, model, "big")
+
+
+@register("boosted_four_leaves", f"""
+WITH {TWO_FLAGS_SQL}, m AS (SELECT avg(y) AS b FROM s), g AS (SELECT big, dear, count(*) AS n, sum(y) AS t FROM s GROUP BY big, dear)
+SELECT big, dear, {r('b - (n * b - t) / (n + 25)', 2)} AS highest, {r('b - (n * b - t) / (n + 25)', 2)} AS lowest, n AS row_count FROM g, m""")
+def boosted_four_leaves(spark, sf):
+    """One tree of depth 2 with penalised leaves, best leaf first."""
+    df = two_flags(spark, sf)
+    model = make("LGBMRegressor", n_estimators=1, learning_rate=1.0, num_leaves=4, reg_lambda=25.0).fit(df, list(TWO_FLAGS), "y")
+    return _by_cell(df, model, *TWO_FLAGS)
+
+
+@register("boosted_three_leaves", f"""
+WITH {TWO_FLAGS_SQL}, c AS (SELECT big, dear, count(*) AS n, sum(y - (SELECT avg(y) FROM s)) AS t FROM s GROUP BY big, dear),
+ side AS (SELECT big, sum(n) AS n, sum(t) AS t, sum(t * t / n) - sum(t) * sum(t) / sum(n) AS gain FROM c GROUP BY big),
+ best AS (SELECT arg_max(big, gain) AS split FROM side)
+SELECT c.big, c.dear, {r('(SELECT avg(y) FROM s) + CASE WHEN c.big = split THEN c.t / c.n ELSE side.t / side.n END', 2)} AS highest,
+ {r('(SELECT avg(y) FROM s) + CASE WHEN c.big = split THEN c.t / c.n ELSE side.t / side.n END', 2)} AS lowest, c.n AS row_count
+FROM c JOIN side ON side.big = c.big, best""")
+def boosted_three_leaves(spark, sf):
+    """Best leaf first: of the two leaves after the first split, the one with the larger gain is split, the other stays."""
+    df = two_flags(spark, sf)
+    model = make("LGBMRegressor", n_estimators=1, learning_rate=1.0, num_leaves=3).fit(df, list(TWO_FLAGS), "y")
+    return _by_cell(df, model, *TWO_FLAGS)
+
+
+@register("shap_values_tree", f"""
+WITH {TWO_FLAGS_SQL}, cell AS (SELECT big, dear, avg(y) AS e FROM s GROUP BY big, dear), one AS (SELECT big, avg(y) AS e, count(*) AS n FROM s GROUP BY big),
+ other AS (SELECT dear, sum(e * n) / sum(n) AS e FROM (SELECT cell.dear, cell.e, one.n FROM cell JOIN one USING (big)) GROUP BY dear), m AS (SELECT avg(y) AS e FROM s)
+SELECT l_orderkey, l_linenumber, {r('((one.e - m.e) + (cell.e - other.e)) / 2', 2)} AS big, {r('((other.e - m.e) + (cell.e - one.e)) / 2', 2)} AS dear,
+ {r('m.e', 2)} AS base_value
+FROM s JOIN cell ON cell.big = s.big AND cell.dear = s.dear JOIN one ON one.big = s.big JOIN other ON other.dear = s.dear, m""")
+def shap_values_tree(spark, sf):
+    """Exact attributions of a tree of depth 2: the mean over both orders in which its features can become known."""
+    df = two_flags(spark, sf)
+    model = make("DecisionTreeRegressor", max_depth=2).fit(df, list(TWO_FLAGS), "y")
+    return round_all(explain.shap_values(model, df, ["l_orderkey", "l_linenumber"]), 2)
+
+
+@register("shap_values_boosted", f"""
+WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity > 25 AS INTEGER) AS big, l_extendedprice AS y FROM lineitem),
+ m AS (SELECT avg(y) AS b FROM s), g AS (SELECT big, avg(y) AS e FROM s GROUP BY big)
+SELECT l_orderkey, l_linenumber, {r('0.75 * (e - b)', 2)} AS big, {r('b', 2)} AS base_value FROM s JOIN g USING (big), m""")
+def shap_values_boosted(spark, sf):
+    """Two rounds at half the learning rate leave a quarter of each side's distance from the mean."""
+    df = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).cast("double").alias("big"), F.col("l_extendedprice").alias("y"))
+    model = make("XGBRegressor", n_estimators=2, learning_rate=0.5, max_depth=1, reg_lambda=0.0).fit(df, ["big"], "y")
+    return round_all(explain.shap_values(model, df, ["l_orderkey", "l_linenumber"]), 2)
+
+
 # A line that every row lies on, or all rows but each tenth order's, which are moved far away.
 PLANTED_LINE = {"LinearSVR": (False, {}), "QuantileRegressor": (True, {}), "RANSACRegressor": (True, {}), "BayesianRidge": (False, {}),
                 "RidgeCV": (False, {}), "HuberRegressor": (False, {})}

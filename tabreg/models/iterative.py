@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -178,27 +179,23 @@ class Quantile(Regressor):
                                                   fit_intercept=o["fit_intercept"]))
 
 
-def scaled_fourier(mean: np.ndarray, wide: np.ndarray, gamma: float, count: int, seed: int) -> Callable:
+@dataclass
+class FourierMap:
     """Random Fourier features of a Gaussian kernel (Rahimi & Recht 2007) in standard units."""
-    rng = np.random.default_rng(seed)
-    directions = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(mean), count))
-    phases = rng.uniform(0.0, 2 * np.pi, count)
-
-    def mapper(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(2.0 / count) * np.cos(((x - mean) / wide) @ directions + phases)
-
-    return mapper
 
+    mean: np.ndarray
+    wide: np.ndarray
+    directions: np.ndarray
+    phases: np.ndarray
 
-def scaled_square(mean: np.ndarray, wide: np.ndarray) -> Callable:
-    """Degree-2 polynomial features in standard units."""
-    left, right = np.triu_indices(len(mean))
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2.0 / len(self.phases)) * np.cos(((x - self.mean) / self.wide) @ self.directions + self.phases)
 
-    def mapper(x: np.ndarray) -> np.ndarray:
-        z = (x - mean) / wide
-        return np.hstack([z, z[:, left] * z[:, right]])
 
-    return mapper
+def scaled_fourier(mean: np.ndarray, wide: np.ndarray, gamma: float, count: int, seed: int) -> FourierMap:
+    rng = np.random.default_rng(seed)
+    directions = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(mean), count))
+    return FourierMap(mean, wide, directions, rng.uniform(0.0, 2 * np.pi, count))
 
 
 def _units(df: DataFrame, features) -> tuple[np.ndarray, np.ndarray]:
@@ -261,32 +258,6 @@ class NuSupportVector(SupportVector):
         return model
 
 
-class KernelRidge(Regressor):
-    """Ridge in kernel features: linear, degree-2 polynomial, or random Fourier features for 'rbf'."""
-
-    defaults = {"alpha": 1.0, "kernel": "linear", "gamma": "scale", "components": 100, "random_state": 42}
-    ignored = ("degree", "coef0")
-
-    def fit(self, df, features, target):
-        o = self.params
-        if o["kernel"] == "linear":  # the kernel machine has no intercept
-            g = total(grams(df, features, target))
-            c, v, _ = g.moments(False)
-            return FittedLinear(features, np.linalg.solve(c + np.eye(len(v)) * o["alpha"] / g.n, v), 0.0)
-        mean, wide = _units(df, features)
-        if o["kernel"] == "rbf":
-            gamma = o["gamma"] if isinstance(o["gamma"], float) else 1.0 / len(features)
-            mapper = scaled_fourier(mean, wide, gamma, o["components"], o["random_state"])
-        elif o["kernel"] == "poly":
-            mapper = scaled_square(mean, wide)
-        else:
-            raise ValueError("kernel must be linear, poly or rbf")
-        g = total(grams(df, features, target, mapper=mapper))
-        c, v, _ = g.moments(True)
-        coef = np.linalg.solve(c + np.eye(len(v)) * o["alpha"] / g.n, v)
-        return FittedMapped(features, mapper, coef, g.intercept(coef, True))
-
-
 def unit_keys(keys: np.ndarray, trial: int) -> np.ndarray:
     """The rows' keys as numbers from 0 to 1, mixed in the trial's own way."""
     mixed = (keys ^ np.uint64((trial + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -492,8 +463,31 @@ def power_lambda(df: DataFrame, target: str, kind: str) -> float:
     return float(grid[best])
 
 
+@dataclass
+class Back:
+    """From the transformed target to the target."""
+
+    kind: str
+    power: float = 0.0
+    values: Sequence[float] = ()
+    places: Sequence[float] = ()
+
+    def __call__(self, z: Column) -> Column:
+        if self.kind == "log":
+            return F.exp(z)
+        if self.kind == "quantile":
+            places, values = np.array(self.places), np.array(self.values)
+
+            @F.pandas_udf("double")
+            def value(s: pd.Series) -> pd.Series:
+                return pd.Series(np.interp(s.to_numpy(float), places, values))
+
+            return value(z)
+        return yeo_johnson_back(z, self.power) if self.kind == "yeo-johnson" else box_cox_back(z, self.power)
+
+
 class FittedBack(Fitted):
-    def __init__(self, inner: Fitted, back: Callable[[Column], Column]):
+    def __init__(self, inner: Fitted, back: Back):
         self.inner, self.features, self.back = inner, inner.features, back
 
     def predict(self, df, name="prediction"):
@@ -514,11 +508,11 @@ class TransformedTarget(Regressor):
         if kind in ("box-cox", "log") and df.where(y <= 0).limit(1).count():
             raise ValueError(f"{kind} needs a positive target")
         if kind == "log":
-            made, back = F.log(y), F.exp
+            made, back = F.log(y), Back(kind)
         elif kind in ("yeo-johnson", "box-cox"):
             lam = power_lambda(df, target, kind)
             made = F.expr((yeo_johnson if kind == "yeo-johnson" else box_cox)(f"({clean_double_sql(target)})", lam))
-            back = (lambda z: yeo_johnson_back(z, lam)) if kind == "yeo-johnson" else (lambda z: box_cox_back(z, lam))
+            back = Back(kind, lam)
         elif kind == "quantile":
             marks = np.linspace(0.0, 1.0, int(self.params["n_quantiles"]))
             found = df.agg(F.percentile_approx(y, F.array(*[F.lit(float(m)) for m in marks]), 100_000)).first()[0]
@@ -529,11 +523,7 @@ class TransformedTarget(Regressor):
             def rank(s: pd.Series) -> pd.Series:
                 return pd.Series(np.interp(s.to_numpy(float), values, places))
 
-            @F.pandas_udf("double")
-            def value(s: pd.Series) -> pd.Series:
-                return pd.Series(np.interp(s.to_numpy(float), places, values))
-
-            made, back = rank(y), value
+            made, back = rank(y), Back(kind, values=values.tolist(), places=places.tolist())
         else:
             raise ValueError(f"unknown transformer {kind!r}")
         view = df.select(*[F.expr(f"{clean_double_sql(c)} AS `{c}`") for c in features], made.alias("__t"))

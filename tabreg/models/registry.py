@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tabreg.models import ensembles as E
 from tabreg.models import iterative as I
+from tabreg.models import kernels as K
 from tabreg.models import linear as L
 from tabreg.models import trees as T
 from tabreg.models.base import Regressor
@@ -19,7 +20,7 @@ REGRESSORS: dict[str, type[Regressor]] = {
     "TweedieRegressor": E.Tweedie, "GeneralizedLinearRegressor": E.Tweedie, "PoissonRegressor": E.Poisson,
     "GammaRegressor": E.Gamma, "HuberRegressor": E.Huber, "RANSACRegressor": I.Ransac, "SGDRegressor": I.SGD,
     "QuantileRegressor": I.Quantile, "LinearSVR": I.LinearSupportVector, "SVR": I.RadialSupportVector,
-    "NuSVR": I.NuSupportVector, "KernelRidge": I.KernelRidge,
+    "NuSVR": I.NuSupportVector, "KernelRidge": K.KernelRidge, "GaussianProcessRegressor": K.GaussianProcess,
     "TransformedTargetRegressor": I.TransformedTarget, "DummyRegressor": I.Dummy,
     "DecisionTreeRegressor": E.DecisionTree, "RandomForestRegressor": E.RandomForest, "BaggingRegressor": E.Bagging,
     "GradientBoostingRegressor": E.GradientBoosting, "HistGradientBoostingRegressor": E.HistGradientBoosting,
@@ -71,7 +72,9 @@ SPACES: dict[str, dict] = {
     "LinearSVR": {"C": Uniform(0.1, 100), "tol": Uniform(1e-4, 1e-2)},
     "SVR": {"C": Uniform(0.1, 100), "kernel": ("linear", "rbf"), "gamma": ("scale", "auto"), "tol": Uniform(1e-4, 1e-2)},
     "NuSVR": {"nu": Uniform(0.1, 0.9), "C": Uniform(0.1, 10), "kernel": ("linear", "rbf"), "gamma": ("scale", "auto"), "tol": Uniform(1e-4, 1e-2)},
-    "KernelRidge": {"alpha": Uniform(1e-6, 1.0), "kernel": ("linear", "poly", "rbf"), "gamma": ("scale", "auto")},
+    "KernelRidge": {"alpha": Uniform(1e-6, 1.0), "kernel": ("linear", "poly", "rbf", "sigmoid"), "degree": RandInt(1, 10),
+                    "gamma": ("scale", "auto"), "coef0": Uniform(-1, 1)},
+    "GaussianProcessRegressor": {"alpha": Uniform(1e-10, 1.0), "normalize_y": (False,)},
     "TransformedTargetRegressor": {"regressor": (L.LinearRegression(), L.Ridge(), L.BayesianRidge()),
                                    "transformer": (None, "quantile", "yeo-johnson", "box-cox")},
     "DummyRegressor": {"strategy": ("mean", "median", "quantile", "constant"), "constant": (0.0, 1.0, -1.0),

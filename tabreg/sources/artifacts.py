@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import SparkSession
 
-from tabreg.models.base import Fitted, FittedLinear, FittedSpark
+from tabreg.models.base import Fitted, FittedLinear, FittedMapped, FittedSpark
 from tabreg.models.ensembles import FittedLog, FittedMedianTrees
+from tabreg.models.iterative import Back, FittedBack, FourierMap
+from tabreg.models.kernels import FittedProcess, Kernel, LandmarkMap
 from tabreg.models.knn import FittedNeighbors
+from tabreg.models.trees import FittedTrees, Tree
+
+MAPS = {"fourier": FourierMap, "landmarks": LandmarkMap}
+
+
+def _plain(value):
+    """Arrays and dataclasses as what JSON holds."""
+    return value.tolist() if isinstance(value, np.ndarray) else {k: _plain(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def _map_of(note: dict):
+    parts = {k: np.array(v) if isinstance(v, list) else Kernel(**v) if isinstance(v, dict) else v for k, v in note["parts"].items()}
+    return MAPS[note["map"]](**parts)
 
 
 def save_model(spark: SparkSession, model: Fitted, folder: str, name: str) -> str:
@@ -31,8 +49,21 @@ def save_model(spark: SparkSession, model: Fitted, folder: str, name: str) -> st
     elif isinstance(model, FittedNeighbors):
         note |= {"kind": "neighbors", "options": model.options}
         model.train.write.mode("overwrite").parquet(f"{path}/rows")
+    elif isinstance(model, FittedTrees):
+        note |= {"kind": "trees", "weights": model.weights, "base": model.base, "link": model.link, "importances": model.importances}
+        nodes = pd.concat([pd.DataFrame({**asdict(t), "tree": i, "node": np.arange(len(t.feature))}) for i, t in enumerate(model.trees)])
+        spark.createDataFrame(nodes).write.mode("overwrite").parquet(f"{path}/nodes")
+    elif isinstance(model, FittedMapped):
+        name_of = next(k for k, kind in MAPS.items() if isinstance(model.mapper, kind))
+        note |= {"kind": "mapped", "map": name_of, "parts": _plain(asdict(model.mapper)), "coef": _plain(np.asarray(model.coef)),
+                 "intercept": model.intercept}
+        if isinstance(model, FittedProcess):
+            note |= {"kind": "process", "spread": _plain(model.spread), "scale": model.scale}
+    elif isinstance(model, FittedBack):
+        note |= {"kind": "back", "back": asdict(model.back)}
+        save_model(spark, model.inner, path, "inner")
     else:
-        raise NotImplementedError(f"{type(model).__name__} cannot be saved; fit it again instead")
+        raise TypeError(f"{type(model).__name__} is not a model of this library")
     spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/note")
     return path
 
@@ -46,6 +77,17 @@ def load_model(spark: SparkSession, folder: str, name: str) -> Fitted:
         return rule if kind == "linear" else FittedLog(rule)
     if kind == "neighbors":
         return FittedNeighbors(spark.read.parquet(f"{path}/rows"), features, note["options"])
+    if kind == "trees":
+        nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])  # the model itself
+        columns = ["feature", "threshold", "left", "right", "value", "missing_left", "cover"]
+        trees = [Tree(*[g[c].to_numpy() for c in columns]) for _, g in nodes.groupby("tree")]
+        shares = note["importances"]
+        return FittedTrees(features, trees, note["weights"], note["base"], note["link"], None if shares is None else [shares[c] for c in features])
+    if kind in ("mapped", "process"):
+        parts = features, _map_of(note), np.array(note["coef"]), note["intercept"]
+        return FittedMapped(*parts) if kind == "mapped" else FittedProcess(*parts, np.array(note["spread"]), note["scale"])
+    if kind == "back":
+        return FittedBack(load_model(spark, path, "inner"), Back(**note["back"]))
     stages = PipelineModel.load(f"{path}/stages").stages
     if kind == "median_trees":
         return FittedMedianTrees(features, stages, note["weights"])

@@ -477,6 +477,40 @@ def shap_values_boosted(spark, sf):
     return round_all(explain.shap_values(model, df, ["l_orderkey", "l_linenumber"]), 2)
 
 
+TWO_VALUES_SQL = """s AS (SELECT CAST(l_quantity > 25 AS INTEGER)::DOUBLE AS big, l_extendedprice / 1000 AS y FROM lineitem),
+ k AS (SELECT exp(-0.5 / var_pop(big)) AS k FROM s),
+ g AS (SELECT sum(1 - big) AS n0, sum(big) AS n1, sum(y * (1 - big)) AS t0, sum(y * big) AS t1 FROM s)"""
+
+
+def two_values(spark, sf):
+    return load(spark, sf, "lineitem").select((F.col("l_quantity") > 25).cast("double").alias("big"), (F.col("l_extendedprice") / 1000).alias("y"))
+
+
+@register("kernel_ridge_two_values", f"""
+WITH {TWO_VALUES_SQL}, b AS (SELECT k, ((n1 + 20000) * t0 - n0 * k * t1) / d AS b0, ((n0 + 20000) * t1 - n1 * k * t0) / d AS b1
+ FROM (SELECT *, (n0 + 20000) * (n1 + 20000) - n0 * n1 * k * k AS d FROM g, k))
+SELECT 0.0::DOUBLE AS big, {r('b0 + k * b1', 3)} AS prediction FROM b UNION ALL SELECT 1.0, {r('k * b0 + b1', 3)} FROM b""")
+def kernel_ridge_two_values(spark, sf):
+    """The exact machine where all rows have one of two values: a system of two equations."""
+    df = two_values(spark, sf)
+    model = make("KernelRidge", kernel="rbf", gamma=0.5, alpha=20000.0).fit(df, ["big"], "y")
+    return round_all(model.predict(df).groupBy("big").agg(F.max("prediction").alias("prediction")), 3)
+
+
+@register("gaussian_process_two_values", f"""
+WITH {TWO_VALUES_SQL}, a AS (SELECT k, 1 + 9000 / n0 AS a0, 1 + 9000 / n1 AS a1, t0 / n0 AS m0, t1 / n1 AS m1 FROM g, k),
+ i AS (SELECT *, a0 * a1 - k * k AS d FROM a)
+SELECT 0.0::DOUBLE AS big, {r('(a1 * m0 - k * m1 + k * (a0 * m1 - k * m0)) / d', 3)} AS prediction,
+ {r('sqrt(1 - (a1 - 2 * k * k + k * k * a0) / d)', 3)} AS deviation FROM i
+UNION ALL SELECT 1.0, {r('(k * (a1 * m0 - k * m1) + a0 * m1 - k * m0) / d', 3)}, {r('sqrt(1 - (k * k * a1 - 2 * k * k + a0) / d)', 3)} FROM i""")
+def gaussian_process_two_values(spark, sf):
+    """Mean and deviation of a process observed at two places, many times each."""
+    df = two_values(spark, sf)
+    model = make("GaussianProcessRegressor", alpha=9000.0, length_scale=1.0).fit(df, ["big"], "y")
+    found = model.predict_spread(model.predict(df))
+    return round_all(found.groupBy("big").agg(F.max("prediction").alias("prediction"), F.max("deviation").alias("deviation")), 3)
+
+
 # A line that every row lies on, or all rows but each tenth order's, which are moved far away.
 PLANTED_LINE = {"LinearSVR": (False, {}), "QuantileRegressor": (True, {}), "RANSACRegressor": (True, {}), "BayesianRidge": (False, {}),
                 "RidgeCV": (False, {}), "HuberRegressor": (False, {})}

@@ -14,9 +14,9 @@ from tabreg.models.base import Fitted, FittedLinear, FittedSpark
 from tabreg.models.trees import FittedTrees, attributions, trees_of_spark
 from tabreg.operators.evaluate import score_columns
 from tabreg.operators.order import INDEX
+from tabreg.operators.permute import from_blocks, permuted_position, random_blocks, shuffler
 from tabreg.operators.quantiles import column_quantiles
 from tabreg.operators.split import shuffle
-from tabreg.operators.wrappers import permuted_position
 from tabreg.sources.storage import cut_lineage, discard
 
 SPARK_TREES = (M.DecisionTreeRegressionModel, M.RandomForestRegressionModel, M.GBTRegressionModel)
@@ -50,24 +50,28 @@ def permutation_importance(model: Fitted, df: DataFrame, target: str, row_id: Se
                            seed: int = 42) -> DataFrame:
     """Mean drop of R2 when one feature is shuffled.
 
-    One join per repeat pairs rows with permuted rows; the copies with one replaced feature each are
-    made inside the row, so all features of a repeat are scored by one aggregate.
+    Rows are written once in random blocks; inside a block every feature of every repeat is shuffled in its own way, without a join.
+    All features of a repeat are scored by one aggregate.
     """
     features = list(model.features)
-    rows, n = _positioned(df, features, row_id, seed, [clean_double(target).alias("__y")])
+    rows, _ = _positioned(df, features, row_id, seed, [clean_double(target).alias("__y")])
     base = model.predict(rows, "__yhat").agg(score_columns(F.col("__y"), F.col("__yhat"))["r2"]).first()[0]
+    blocks = random_blocks(rows, [*features, "__y"])
+    discard(rows)
     totals = np.zeros(len(features))
+    schema = ", ".join(["__f int", "__y double", *(f"`{c}` double" for c in features)])
     for r in range(n_repeats):
-        donor = rows.select(F.col(INDEX).alias("__to"), F.array(*[q(c) for c in features]).alias("__d"))
-        paired = rows.withColumn("__to", permuted_position(F.col(INDEX), n, seed + r)).join(donor, "__to")
-        copies = paired.withColumn("__f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
-        swapped = copies.select("__f", "__y", *[
-            F.when(F.col("__f") == i, F.col("__d")[i]).otherwise(q(c)).alias(c) for i, c in enumerate(features)])
-        scored = model.predict(swapped, "__yhat").groupBy("__f").agg(
+        def make(block: int, held: list[np.ndarray], r=r):
+            n = len(held[-1])
+            for k in range(len(features)):
+                moved = [h[shuffler(seed, r, block, k).permutation(n)] if i == k else h for i, h in enumerate(held[:-1])]
+                yield [np.full(n, k, np.int32), held[-1], *moved]
+
+        scored = model.predict(from_blocks(blocks, [*features, "__y"], schema, make), "__yhat").groupBy("__f").agg(
             score_columns(F.col("__y"), F.col("__yhat"))["r2"].alias("r2")).collect()
         for s in scored:
             totals[s["__f"]] += base - s["r2"]
-    discard(rows)
+    discard(blocks)
     return _ranked(df, dict(zip(features, totals / n_repeats)))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from tabreg.functions.columns import clean_double, clean_double_sql, q
 from tabreg.functions.distributions import binomial_tails
 from tabreg.operators.encode import label_encode, scale
 from tabreg.operators.order import INDEX
+from tabreg.operators.permute import from_blocks, random_blocks, shuffler
 from tabreg.operators.split import shuffle
 from tabreg.roles import Roles
 from tabreg.sources.storage import cut_lineage, discard
@@ -44,27 +46,31 @@ def rfe(df: DataFrame, roles: Roles, n: int, num_trees: int = 100, max_depth: in
     return df.select(*[q(c) for c in wanted]), kept
 
 
-def permuted_position(index, n: int, seed: int):
-    """Partner position of a row: a seeded rotation.  Positions are random already, so the partner is a
-    random other row; the map is one-to-one and keeps the join keys unique."""
-    offset = 1 + (seed * 2_654_435_761 + 40_503) % max(n - 1, 1)
-    return F.pmod(index + F.lit(offset), F.lit(n))
+def with_shadows(blocks: DataFrame, columns: list[str], live: list[int], shadow_of: list[int], seed: int) -> DataFrame:
+    """Rows of the live features and target, and s0, s1, ...: copies of the given features, each shuffled by itself."""
+    def make(block: int, held: list[np.ndarray]):
+        copies = [held[i][shuffler(seed, block, k).permutation(len(held[i]))] for k, i in enumerate(shadow_of)]
+        yield [*(held[i] for i in live), held[-1], *copies]
+
+    schema = ", ".join(f"{c} double" for c in (*(f"f{i}" for i in live), LABEL, *(f"s{k}" for k in range(len(shadow_of)))))
+    return from_blocks(blocks, columns, schema, make)
 
 
 def boruta(df: DataFrame, roles: Roles, max_iter: int = 100, alpha: float = 0.05, num_trees: int = 100,
            seed: int = 42) -> DataFrame:
     """(feature, hits, decision): features that beat the best shuffled copy more often than chance.
 
-    Kursa & Rudnicki 2010.  Rows get a random position once; each round pairs a row with the row at a
-    permuted position through one join on unique keys, which shuffles all copies together.
+    Kursa & Rudnicki 2010.  Rows get a random position once and are written in random blocks; in each round every copy is
+    shuffled in its own way inside the blocks, without a join.  Fewer than five features are copied until there are five copies.
     """
     if not roles.row_id:
         raise ValueError("row_id columns are required")
     names = list(roles.numeric)
     base = shuffle(df.select(*[q(c) for c in dict.fromkeys((*roles.row_id, *names, roles.target))]), roles.row_id, seed)
-    rows = cut_lineage(base.select(INDEX, *[F.expr(f"{clean_double_sql(c)} AS f{i}") for i, c in enumerate(names)],
-                                   clean_double(roles.target).alias(LABEL)))
-    n = rows.count()
+    rows = base.select(INDEX, *[F.expr(f"{clean_double_sql(c)} AS f{i}") for i, c in enumerate(names)],
+                       clean_double(roles.target).alias(LABEL))
+    columns = [*(f"f{i}" for i in range(len(names))), LABEL]
+    blocks = random_blocks(rows, columns)
     hits = {c: 0 for c in names}
     state = {c: "tentative" for c in names}
     for r in range(1, max_iter + 1):
@@ -72,8 +78,7 @@ def boruta(df: DataFrame, roles: Roles, max_iter: int = 100, alpha: float = 0.05
         if not live or all(v != "tentative" for v in state.values()):
             break
         shadow_of = live if len(live) >= 5 else (live * 5)[:5]
-        donor = rows.select(F.col(INDEX).alias("__to"), *[F.col(f"f{i}").alias(f"s{k}") for k, i in enumerate(shadow_of)])
-        paired = rows.withColumn("__to", permuted_position(F.col(INDEX), n, seed + r)).join(donor, "__to")
+        paired = with_shadows(blocks, columns, live, shadow_of, seed + r)
         inputs = [f"f{i}" for i in live] + [f"s{k}" for k in range(len(shadow_of))]
         made = VectorAssembler(inputCols=inputs, outputCol="__x", handleInvalid="error").transform(paired)
         model = RandomForestRegressor(featuresCol="__x", labelCol=LABEL, numTrees=num_trees, maxDepth=5,
@@ -90,7 +95,7 @@ def boruta(df: DataFrame, roles: Roles, max_iter: int = 100, alpha: float = 0.05
                 state[c] = "confirmed"
             elif lower * len(names) <= alpha:
                 state[c] = "rejected"
-    discard(rows)
+    discard(blocks)
     rows_out = [(c, hits[c], state[c]) for c in names]
     return df.sparkSession.createDataFrame(rows_out, "feature string, hits int, decision string")
 

@@ -44,22 +44,45 @@ def _cost(loss: str, e: np.ndarray, eps: float) -> np.ndarray:
     return np.maximum(a - eps, 0.0) ** 2
 
 
-def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "l2", alpha: float = 1e-4,
+WALK_ROWS = 4_096
+
+
+def walks(df: DataFrame, features: Sequence[str], target: str, seed: int) -> tuple[DataFrame, float]:
+    """Different rows with their counts, dealt by a keyed hash to walks of about ``WALK_ROWS`` rows (one row per walk, arrays in the order
+    of the hashes), written once; and the number of rows. Neither depends on the layout of the table."""
+    view = numeric_view(df, features, target)
+    columns = view.columns
+    rows = view.groupBy(*[q(c) for c in columns]).agg(F.count(F.lit(1)).cast("double").alias("__n")).withColumn(
+        "__k", F.xxhash64(F.lit(seed), *[q(c) for c in columns]))
+    rows = cut_lineage(rows)
+    size = rows.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    walk = F.pmod(F.xxhash64("__k"), F.lit(max(1, -(-size[0] // WALK_ROWS)))).alias("walk")
+    row = F.struct("__k", *[q(c).alias(f"c{i}") for i, c in enumerate(columns)], "__n")
+    held = rows.groupBy(walk).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    out = cut_lineage(held.select(*[F.col("rows").getField(c).alias(c) for c in (*(f"c{i}" for i in range(len(columns))), "__n")]))
+    discard(rows)
+    return out, float(size[1] or 0)
+
+
+def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str | None = "l2", alpha: float = 1e-4,
             l1_ratio: float = 0.15, eps: float = 0.1, rounds: int = 40, tol: float = 1e-4,
             patience: int = 5, step: float = 1.0, power: float = 0.5, batch_rows: int = 32,
-            fit_intercept: bool = True):
+            fit_intercept: bool = True, passive: float | None = None, seed: int = 42):
     """Mini-batch descent with parameter averaging (Zinkevich et al. 2010): (coefficients, intercept).
 
-    In each round every task walks through its own rows from the shared start and reports one vector;
-    the row-weighted mean starts the next round.  Features enter in standard units, and so does the
-    target, so step sizes need no tuning.
+    Rows are dealt to walks by hash. In each round every walk goes through its own rows from the shared start and reports one vector;
+    the row-weighted mean starts the next round, so the result depends on the rows and the seed only.  Features enter in standard
+    units, and so does the target, so step sizes need no tuning.  With ``passive`` (C) a batch takes the mean of its rows' closed-form
+    passive-aggressive steps (Crammer et al. 2006) instead of a gradient step; later rounds average, with weight 1 / round.
     """
     p = len(features)
     scaler = fit_scaler(df, [*features, target], "standard")
     mean = np.array([scaler.shift[c] for c in features])
     wide = np.array([scaler.width[c] or 1.0 for c in features])
     ymean, ywide = scaler.shift[target], scaler.width[target] or 1.0
-    view = cut_lineage(spread(numeric_view(df, features, target)))
+    view, n = walks(df, features, target, seed)
+    if not n:
+        raise ValueError("no rows to fit")
     d = p
     w = np.zeros(d + 1)
     l1 = alpha * {"l2": 0.0, "l1": 1.0, "elasticnet": l1_ratio}[penalty] if penalty else 0.0
@@ -69,32 +92,32 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "
         rate, start = step / (1.0 + r) ** power, w.copy()
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, seen, cost = start.copy(), 0, 0.0
             for batch in batches:
-                x, y = matrix(batch, p), batch.column(p).to_numpy(zero_copy_only=False).astype(float)
-                x = (x - mean) / wide
-                y = (y - ymean) / ywide
-                cost += _cost(loss, x @ start[:d] + start[d] - y, eps).sum()
-                seen += len(y)
-                for at in range(0, len(y), batch_rows):
-                    xb, yb = x[at:at + batch_rows], y[at:at + batch_rows]
-                    slope = _slope(loss, xb @ own[:d] + own[d] - yb, eps)
-                    grad = xb.T @ slope / len(yb) + l2 * own[:d]
-                    move = rate / max(1.0, (xb * xb).sum(1).mean())
-                    own[:d] -= move * grad
-                    if l1:
-                        own[:d] = np.sign(own[:d]) * np.maximum(np.abs(own[:d]) - move * l1, 0.0)
-                    if fit_intercept:
-                        own[d] -= move * slope.mean()
-            if seen:
-                row = np.concatenate([own * seen, [seen, cost]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)], names=["k", "v"])
+                for k in range(batch.num_rows):
+                    held = [batch.column(i)[k].values.to_numpy(zero_copy_only=False).astype(float) for i in range(p + 2)]
+                    x, y, times = (np.column_stack(held[:p]) - mean) / wide, (held[p] - ymean) / ywide, held[p + 1]
+                    cost, own = (times * _cost(loss, x @ start[:d] + start[d] - y, eps)).sum(), start.copy()
+                    for at in range(0, len(y), batch_rows):
+                        xb, yb, tb = x[at:at + batch_rows], y[at:at + batch_rows], times[at:at + batch_rows]
+                        share, error = tb / tb.sum(), xb @ own[:d] + own[d] - yb
+                        if passive is not None:
+                            norm, left = (xb * xb).sum(1) + fit_intercept, np.maximum(np.abs(error) - eps, 0.0)
+                            tau = np.minimum(passive, left / np.maximum(norm, 1e-12)) if loss == "epsilon_insensitive" else left / (norm + 0.5 / passive)
+                            slope, move = np.sign(error) * tau * share, 1.0
+                        else:
+                            slope, move = _slope(loss, error, eps) * share, rate / max(1.0, share @ (xb * xb).sum(1))
+                        own[:d] -= move * (xb.T @ slope + (l2 * own[:d] if passive is None else 0.0))
+                        if l1 and passive is None:
+                            own[:d] = np.sign(own[:d]) * np.maximum(np.abs(own[:d]) - move * l1, 0.0)
+                        if fit_intercept:
+                            own[d] -= move * slope.sum()
+                    row = np.concatenate([own * times.sum(), [times.sum(), cost]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)], names=["k", "v"])
 
         got = view.mapInArrow(walk, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
         v = np.zeros(d + 3)
         v[got["k"].to_numpy()] = got["v"].to_numpy()
-        cost = v[d + 2] / v[d + 1] + 0.5 * l2 * start[:d] @ start[:d] + l1 * np.abs(start[:d]).sum()
+        cost = v[d + 2] / v[d + 1] + (0.5 * l2 * start[:d] @ start[:d] + l1 * np.abs(start[:d]).sum() if passive is None else 0.0)
         if cost < best_cost - tol * max(abs(best_cost), 1e-12) if np.isfinite(best_cost) else True:
             best, best_cost, stale = start, cost, 0
         else:
@@ -104,15 +127,33 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str = "
         if stale >= patience:
             break
         w = v[:d + 1] / v[d + 1]
+        if passive is not None and r:
+            w = start + (w - start) / (r + 1)
     discard(view)
     coef = best[:d] / wide * ywide
     return coef, best[d] * ywide + ymean - coef @ mean
 
 
+class PassiveAggressive(Regressor):
+    """Averaged passive-aggressive regression, in standard units; ``C`` bounds a step."""
+
+    defaults = {"C": 1.0, "epsilon": 0.1, "loss": "epsilon_insensitive", "fit_intercept": True, "max_iter": 40, "tol": 1e-3,
+                "n_iter_no_change": 5, "random_state": 42}
+
+    def fit(self, df, features, target):
+        o = self.params
+        if o["loss"] not in ("epsilon_insensitive", "squared_epsilon_insensitive"):
+            raise ValueError("loss must be epsilon_insensitive or squared_epsilon_insensitive")
+        coef, b = descend(df, features, target, loss=o["loss"], penalty=None, eps=float(o["epsilon"]), rounds=int(o["max_iter"]), tol=float(o["tol"]),
+                          patience=int(o["n_iter_no_change"]), fit_intercept=bool(o["fit_intercept"]), passive=float(o["C"]),
+                          seed=int(o["random_state"] or 42))
+        return FittedLinear(features, coef, b)
+
+
 class SGD(Regressor):
     defaults = {"loss": "squared_error", "penalty": "l2", "alpha": 1e-4, "l1_ratio": 0.15, "epsilon": 0.1,
                 "max_iter": 40, "tol": 1e-4, "eta0": 1.0, "power_t": 0.5, "fit_intercept": True,
-                "n_iter_no_change": 5}
+                "n_iter_no_change": 5, "random_state": 42}
 
     def fit(self, df, features, target):
         o = self.params
@@ -120,7 +161,7 @@ class SGD(Regressor):
         coef, b = descend(df, features, target, loss=loss, penalty=o["penalty"], alpha=o["alpha"],
                           l1_ratio=o["l1_ratio"], eps=o["epsilon"], rounds=int(o["max_iter"]),
                           tol=o["tol"], step=o["eta0"], power=o["power_t"], fit_intercept=o["fit_intercept"],
-                          patience=int(o["n_iter_no_change"]))
+                          patience=int(o["n_iter_no_change"]), seed=int(o["random_state"] or 42))
         return FittedLinear(features, coef, b)
 
 

@@ -18,7 +18,7 @@ REGRESSORS: dict[str, type[Regressor]] = {
     "OrthogonalMatchingPursuit": L.OrthogonalMatchingPursuit,
     "OrthogonalMatchingPursuitCV": L.OrthogonalMatchingPursuitCV, "BayesianRidge": L.BayesianRidge,
     "TweedieRegressor": E.Tweedie, "GeneralizedLinearRegressor": E.Tweedie, "PoissonRegressor": E.Poisson,
-    "GammaRegressor": E.Gamma, "HuberRegressor": E.Huber, "RANSACRegressor": I.Ransac, "SGDRegressor": I.SGD,
+    "GammaRegressor": E.Gamma, "HuberRegressor": E.Huber, "RANSACRegressor": I.Ransac, "SGDRegressor": I.SGD, "PassiveAggressiveRegressor": I.PassiveAggressive,
     "QuantileRegressor": I.Quantile, "LinearSVR": I.LinearSupportVector, "SVR": I.RadialSupportVector,
     "NuSVR": I.NuSupportVector, "KernelRidge": K.KernelRidge, "GaussianProcessRegressor": K.GaussianProcess,
     "TransformedTargetRegressor": I.TransformedTarget, "DummyRegressor": I.Dummy,
@@ -69,6 +69,8 @@ SPACES: dict[str, dict] = {
                      "l1_ratio": Uniform(0.01, 0.99), "fit_intercept": YES_NO, "epsilon": Uniform(0.1, 1.0),
                      "eta0": Uniform(0.01, 1.0), "power_t": Uniform(0.1, 1.0), "tol": Uniform(1e-5, 1e-2),
                      "n_iter_no_change": (5, 10, 15)},
+    "PassiveAggressiveRegressor": {"C": Uniform(0.1, 10.0), "fit_intercept": YES_NO, "tol": Uniform(1e-5, 1e-2), "n_iter_no_change": (5, 10, 15),
+                                   "loss": ("epsilon_insensitive", "squared_epsilon_insensitive"), "epsilon": Uniform(0.01, 0.2)},
     "LinearSVR": {"C": Uniform(0.1, 100), "tol": Uniform(1e-4, 1e-2)},
     "SVR": {"C": Uniform(0.1, 100), "kernel": ("linear", "rbf"), "gamma": ("scale", "auto"), "tol": Uniform(1e-4, 1e-2)},
     "NuSVR": {"nu": Uniform(0.1, 0.9), "C": Uniform(0.1, 10), "kernel": ("linear", "rbf"), "gamma": ("scale", "auto"), "tol": Uniform(1e-4, 1e-2)},

@@ -73,7 +73,7 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str | N
     Rows are dealt to walks by hash. In each round every walk goes through its own rows from the shared start and reports one vector;
     the row-weighted mean starts the next round, so the result depends on the rows and the seed only.  Features enter in standard
     units, and so does the target, so step sizes need no tuning.  With ``passive`` (C) a batch takes the mean of its rows' closed-form
-    passive-aggressive steps (Crammer et al. 2006) instead of a gradient step; later rounds average, with weight 1 / round.
+    passive-aggressive steps (Crammer et al. 2006) instead of a gradient step; later rounds average, with weight 1 / sqrt(round).
     """
     p = len(features)
     scaler = fit_scaler(df, [*features, target], "standard")
@@ -128,7 +128,7 @@ def descend(df: DataFrame, features, target: str, *, loss: str, penalty: str | N
             break
         w = v[:d + 1] / v[d + 1]
         if passive is not None and r:
-            w = start + (w - start) / (r + 1)
+            w = start + (w - start) / np.sqrt(r + 1)
     discard(view)
     coef = best[:d] / wide * ywide
     return coef, best[d] * ywide + ymean - coef @ mean

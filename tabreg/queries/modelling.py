@@ -356,7 +356,7 @@ def one_step_pursuit(spark, sf):
 
 for _name in ("ElasticNet", "LassoCV", "ElasticNetCV", "Lars", "LarsCV", "LassoLars", "LassoLarsCV", "LassoLarsIC",
               "OrthogonalMatchingPursuit", "OrthogonalMatchingPursuitCV", "BayesianRidge", "RidgeCV", "HuberRegressor",
-              "RANSACRegressor", "SGDRegressor", "LinearSVR", "QuantileRegressor", "TweedieRegressor"):
+              "RANSACRegressor", "SGDRegressor", "PassiveAggressiveRegressor", "LinearSVR", "QuantileRegressor", "TweedieRegressor"):
     def _fit(spark, sf, name=_name):
         return _coefficients(spark, make(name).fit(load(spark, sf, "lineitem"), LINE.features, LINE.target))
 
@@ -367,8 +367,8 @@ SMALL = {"RandomForestRegressor": {"n_estimators": 20, "max_depth": 5}, "Bagging
          "XGBRegressor": {"n_estimators": 10, "max_depth": 4}, "LGBMRegressor": {"n_estimators": 10},
          "AdaBoostRegressor": {"n_estimators": 10}, "DecisionTreeRegressor": {"max_depth": 8},
          "SVR": {"components": 50, "max_iter": 12}, "NuSVR": {"components": 50, "max_iter": 12, "C": 10.0},
-         "ExtraTreeRegressor": {}, "ExtraTreesRegressor": {},
-         "KernelRidge": {"kernel": "rbf"}, "TransformedTargetRegressor": {"transformer": "yeo-johnson"},
+         "ExtraTreeRegressor": {}, "ExtraTreesRegressor": {"n_estimators": 20, "max_depth": 6},
+         "KernelRidge": {"kernel": "rbf"}, "GaussianProcessRegressor": {"alpha": 0.1}, "TransformedTargetRegressor": {"transformer": "yeo-johnson"},
          "PoissonRegressor": {"alpha": 0.01}, "GammaRegressor": {"alpha": 0.01}}
 for _name, _args in SMALL.items():
     def _score(spark, sf, name=_name, args=_args):
@@ -486,6 +486,16 @@ def two_values(spark, sf):
     return load(spark, sf, "lineitem").select((F.col("l_quantity") > 25).cast("double").alias("big"), (F.col("l_extendedprice") / 1000).alias("y"))
 
 
+@register("descent_r2", f"""
+SELECT {r('regr_r2(l_extendedprice, l_quantity)', 3)} AS r2, CAST(count(*) AS BIGINT) AS row_count FROM lineitem""")
+def descent_r2(spark, sf):
+    """Stochastic descent explains what least squares explains."""
+    df = load(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    model = make("SGDRegressor", alpha=0.0).fit(df, ["l_quantity"], "l_extendedprice")
+    scored = regression_metrics(model.predict(df, "yhat"), "l_extendedprice", "yhat").select("r2")
+    return round_all(scored.withColumn("row_count", F.lit(df.count())), 3)
+
+
 @register("kernel_ridge_two_values", f"""
 WITH {TWO_VALUES_SQL}, b AS (SELECT k, ((n1 + 20000) * t0 - n0 * k * t1) / d AS b0, ((n0 + 20000) * t1 - n1 * k * t0) / d AS b1
  FROM (SELECT *, (n0 + 20000) * (n1 + 20000) - n0 * n1 * k * k AS d FROM g, k))
@@ -513,7 +523,8 @@ def gaussian_process_two_values(spark, sf):
 
 # A line that every row lies on, or all rows but each tenth order's, which are moved far away.
 PLANTED_LINE = {"LinearSVR": (False, {}), "QuantileRegressor": (True, {}), "RANSACRegressor": (True, {}), "BayesianRidge": (False, {}),
-                "RidgeCV": (False, {}), "HuberRegressor": (False, {})}
+                "RidgeCV": (False, {}), "HuberRegressor": (False, {}), "SGDRegressor": (False, {"alpha": 0.0, "max_iter": 60, "tol": 1e-9}),
+                "PassiveAggressiveRegressor": (False, {"epsilon": 0.0, "tol": 1e-9, "max_iter": 80})}
 for _name, (_moved, _args) in PLANTED_LINE.items():
     def _line(spark, sf, name=_name, args=_args, moved=_moved):
         far = F.when(F.lit(moved) & (F.col("l_orderkey") % 10 == 0), 5000.0 + 13 * F.col("l_quantity")).otherwise(0.0)

@@ -63,6 +63,8 @@ def column_modes(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str,
             groups.setdefault("long", []).append(f.name)
         elif isinstance(f.dataType, T.StringType):
             groups.setdefault("string", []).append(f.name)
+        elif isinstance(f.dataType, (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            groups.setdefault(f.dataType.simpleString(), []).append(f.name)
     out: dict[str, object] = {}
     for kind, names in groups.items():
         cells = [F.struct(F.lit(i).alias("i"),

@@ -157,3 +157,16 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = clean.remove_by_threshold(read_table(spark, path, normalise_nan=False), "x", "greater than", 5.0).select("x")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(x,5.0)" in plan and "unused" not in plan
+
+
+def test_modes_of_every_type(spark):
+    from datetime import date, datetime
+    rows = [(True, date(2020, 1, 1), datetime(2020, 1, 1, 5), 1), (True, date(2020, 1, 2), datetime(2020, 1, 1, 5), 2),
+            (False, date(2020, 1, 2), datetime(2021, 1, 1), 3), (None, None, None, 4)]
+    df = spark.createDataFrame(rows, "b boolean, d date, t timestamp, n int").repartition(3)
+    df = df.withColumn("u", df["t"].cast("timestamp_ntz"))
+    got = impute.column_modes(df, ["b", "d", "t", "u"])
+    assert got == {"b": True, "d": date(2020, 1, 2), "t": datetime(2020, 1, 1, 5), "u": datetime(2020, 1, 1, 5)}
+    filled = impute.impute(df, "mode").filter("n = 4").first()
+    assert (filled.b, filled.d, filled.t, filled.u) == (True, date(2020, 1, 2), datetime(2020, 1, 1, 5), datetime(2020, 1, 1, 5))
+    assert impute.impute(df, "mode").dtypes == df.dtypes

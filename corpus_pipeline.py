@@ -1,7 +1,11 @@
 """Training-data pipeline over ``documents``: quality, near-duplicates, benchmark passages, personal data, piece encoding.
 
 Each stage takes the rows its predecessor kept, with the columns of ``documents``; the last returns ids. A stage's result is written as
-Parquet in the shared folder and read again as the next one's input."""
+Parquet in the shared folder and read again as the next one's input.
+
+Rows: NULL and empty texts are no near-duplicates, hold no passage and no personal data, and encode to no ids; the classifier judges them
+like any text. Rows with a NULL id stay. Rows that share an id are judged by the id: they go or stay together. Without labels nothing is
+rejected. Columns beside ``text`` and ``n_chars`` pass unread. Empty tables give no rows."""
 
 from __future__ import annotations
 

@@ -80,7 +80,7 @@ def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(word), np.uint64)
     for k in range(size):  # position in the shingle matters
         moved = np.zeros(len(word), np.uint64)
-        moved[: len(word) - k] = word[k:]
+        moved[: max(len(word) - k, 0)] = word[k:]
         h = h * _Q + moved
     place = np.arange(len(word)) - first[text]
     whole = (place <= words[text] - size)

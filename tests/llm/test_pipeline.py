@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_registered():
     found = entry_points.queries()
     assert set(QUERIES) <= set(found) and "pipeline" in found and set(ORACLES) <= set(QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "encoding"]
 
 
@@ -59,3 +59,18 @@ def test_stages(spark, tmp_path):
     assert "[EMAIL]" in masked and "jo@" not in masked
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.select("doc_id").collect()} == kept[4]
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    def write(folder, rows, labels, items):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        return str(folder)
+
+    assert corpus_pipeline.run(spark, write(tmp_path / "none", [], [], [])).count() == 0
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "some words here", "en", "s", 15), (3, "some words here", "en", "s", 15),
+            (None, "other words there", None, "s", 17), (None, None, None, None, None)]
+    got = corpus_pipeline.run(spark, write(tmp_path / "odd", rows, [], [(1, None), (None, "x"), (2, "")])).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "3", "3", "None", "None"]  # rows of one id go or stay together

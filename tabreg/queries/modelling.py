@@ -8,7 +8,7 @@ from tabreg.models.ensembles import RandomForest
 from tabreg.models.leaderboard import leaderboard
 from tabreg.models.linear import LinearRegression, Ridge
 from tabreg.models.registry import make, tune
-from tabreg.operators import explain, impute, lowess, neighbors, reduce, timeops, wrappers
+from tabreg.operators import explain, impute, layout, lowess, neighbors, reduce, timeops, wrappers
 from tabreg.operators.evaluate import regression_metrics
 from tabreg.operators.split import train_test_split
 from tabreg.plans.pipeline import PipelineSpec
@@ -72,6 +72,16 @@ def spectral_embedding(spark, sf):
     return reduce.spectral_embedding(fuzzy_graph(spark, sf), 2, rounds=12)
 
 
+@register("umap_layout")
+def umap_layout(spark, sf):
+    return layout.umap(bands(spark, sf), BAND_ROLES, 2)[0]
+
+
+@register("tsne_layout")
+def tsne_layout(spark, sf):
+    return layout.tsne(bands(spark, sf), BAND_ROLES, 2, iterations=40, early=20)[0]
+
+
 # --- principal components ---------------------------------------------------------------------------
 
 TWO = Roles(["l_quantity", "l_extendedprice"], "l_tax")

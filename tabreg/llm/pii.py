@@ -5,7 +5,8 @@ same kinds, national numbers, identity and account numbers, credentials) are jud
 shape (regex), validity (checksums and ranges), gazetteer words before the span, neighbouring numbers, alphabet, boundaries.
 Counts of vote patterns over the whole corpus, a table whose size does not depend on the corpus, go to expectation-maximisation,
 which estimates each labeler's reliability and each pattern's probability; these probabilities train a logistic span classifier
-over votes, kind and length. Candidates with a probability of at least 0.5 that overlap no base span are added.
+over votes, kind and length. Candidates overlap no base span. Those with a probability of at least 0.5 are added; where some of these
+overlap one another, the one with the most code points times probability stays. Tokens have no greatest length.
 
 NULL text counts as empty: no spans. Offsets are code points, end exclusive. Only id and text are read; repeated rows give repeated
 results; an empty table gives none.
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -42,15 +44,15 @@ DIGITS = re.compile(r"[0-9]+")
 # (kind, a sign that every match holds, pattern); the sign keeps most texts from the slower search
 LOOSE = (
     (0, re.compile(r"[\[({]"), re.compile(
-        r"(?<![\w.@])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}"
-        r"(?: ?(?:\.|[\[({] ?(?:dot|DOT) ?[\])}]) ?[A-Za-z0-9-]{2,63}){1,4}")),
+        r"(?<![\w.@%+-])[A-Za-z0-9._%+-]++ ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]++"
+        r"(?:(?:\.| ?[\[({] ?(?:dot|DOT) ?[\])}] ?)[A-Za-z0-9-]{2,}+)+")),
     (3, DIGITS, re.compile(r"(?<![\w.+-])(?:\([0-9]{2,4}\) ?|00[0-9]{1,3}[ .-]|0[0-9]{1,4}[ ./-]|[0-9]{3}[ .-])[0-9]{3,4}[ .-]"
                            r"[0-9]{3,4}(?![\w-])")),
     (4, DIGITS, re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     (5, DIGITS, re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    (6, DIGITS, re.compile(r"(?<!\w)[A-Z](?=[A-Z]*[0-9])[A-Z0-9]{15,39}(?!\w)")),
-    (6, re.compile("="), re.compile(r"(?<==)[\"']?[A-Za-z0-9_/+-]{12,128}|(?<== )[\"']?[A-Za-z0-9_/+-]{12,128}")),
-    (6, re.compile(": "), re.compile(r"(?<=: )[A-Za-z0-9_/+-]{20,128}")),
+    (6, DIGITS, re.compile(r"(?<!\w)[A-Z](?=[A-Z]*+[0-9])[A-Z0-9]{15,}+(?!\w)")),
+    (6, re.compile("="), re.compile(r"(?<==)[\"']?[A-Za-z0-9_/+-]{12,}+|(?<== )[\"']?[A-Za-z0-9_/+-]{12,}+")),
+    (6, re.compile(": "), re.compile(r"(?<=: )[A-Za-z0-9_/+-]{20,}+")),
 )
 # fixed values: words that announce a kind
 GAZETTEER = (
@@ -134,17 +136,15 @@ def _votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[in
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[Span, int, tuple[int, ...]]]:
-    """(span, width class, votes): base spans, then looser ones that overlap neither a base span nor an earlier one."""
+    """(span, width class, votes): base spans, then looser ones that overlap no base span; these may overlap one another."""
     found = [(s, True) for s in base]
-    taken = sorted((s[0], s[2]) for s in base)
+    starts, reach = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
     for kind, sign, pattern in LOOSE:
         for m in pattern.finditer(text) if sign.search(text) else ():
             start = m.start() + (m[0][:1] in "\"'")
-            k = bisect_left(taken, (start, start))
-            if (k and taken[k - 1][1] > start) or (k < len(taken) and taken[k][0] < m.end()):
-                continue
-            taken.insert(k, (start, m.end()))
-            found.append(((start, kind, m.end()), False))
+            k = bisect_left(starts, m.end())
+            if not k or reach[k - 1] <= start:
+                found.append(((start, kind, m.end()), False))
     return [((a, k, b), bisect_left(WIDTHS, b - a), _votes(text, k, a, b, strict)) for (a, k, b), strict in found]
 
 
@@ -218,10 +218,18 @@ def learn_spans(scanned: DataFrame) -> SpanModel:
 
 
 def _kept(model: SpanModel, found: list[dict]) -> list[Span]:
+    """Base spans and the likely looser ones; of looser ones that overlap, the one with the most code points times probability stays."""
     loose = [c for c in found if not c["base"]]
     p = (model.probability(*(np.array([c[k] for c in loose]) for k in ("kind", "width", "votes"))) if loose else ())
-    return sorted([(c["start"], c["kind"], c["stop"]) for c in found if c["base"]]
-                  + [(c["start"], c["kind"], c["stop"]) for c, q in zip(loose, p, strict=True) if q >= 0.5])
+    ranked = sorted((q * (c["start"] - c["stop"]), c["start"], c["kind"], c["stop"]) for c, q in zip(loose, p, strict=True) if q >= 0.5)
+    starts, taken = [], []
+    for _, start, kind, stop in ranked:
+        k = bisect_left(starts, start)
+        if (k and taken[k - 1][2] > start) or (k < len(taken) and starts[k] < stop):
+            continue
+        starts.insert(k, start)
+        taken.insert(k, (start, kind, stop))
+    return sorted([(c["start"], c["kind"], c["stop"]) for c in found if c["base"]] + taken)
 
 
 def _written(spans: list[Span]) -> str:

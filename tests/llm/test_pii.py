@@ -33,6 +33,8 @@ def test_long_runs_take_linear_time():
     for run in ("a" * 400_000, "1" * 300_000, "1." * 200_000, "a@" * 100_000, "+1 " * 100_000, "1 " * 200_000):
         base_spans(run)
         candidates(run, [])
+        candidates("[ = : 1" + run, [])
+        candidates("[" + run + " [at] " + run.replace(".", "a") + " = " + run, [])
 
 
 TEXT = ('write to jo.doe@mail.example.com or jo [at] mail [dot] example.com, tel (030) 555-0199 or +49 30 5550 1999, '
@@ -67,3 +69,21 @@ def test_reliabilities():
     p = [float(model.probability(np.array([6]), np.array([2]), np.array([v]))[0]) for v in (good, bad, *noisy)]
     assert p[0] > 0.9 and p[2] > 0.9 and p[1] < 0.1 and p[3] < 0.1
     assert len(KINDS) == 7 and fit_spans([]).weights is not None
+
+
+def test_whole_tokens(docs):
+    """Long tokens are one span and leave nothing in the masked text."""
+    token = "aB3dE5gH7j" * 400
+    texts = [f"api_key = \"{token}\" end", f"secret: {token} end", "k" * 90 + "1 [at] mail [dot] example.com. Next", f"use {'A1B2C3D4' * 30} now"]
+    for text, kind, length in zip(texts, (6, 6, 0, 6), (4_000, 4_000, 119, 240), strict=True):
+        (found, _, _), = [c for c in candidates(text, base_spans(text)) if c[0][1] == kind]
+        assert found[2] - found[0] == length, text[:40]
+    rows = [(k, t) for k, t in enumerate(texts[:2] * 20)]
+    for r in mask_documents(docs(rows)).collect():
+        assert "[SECRET]" in r.text and "aB3dE5" not in r.text and r.text.endswith(" end")
+
+
+def test_overlapping_candidates_are_judged_first(docs):
+    texts = ["iban DE89 3704 0044 0532 0130 00 please", "konto FR76 3000 6000 0112 3456 7890 189 please"]
+    got = find_personal_data(docs([(k, texts[k % 2]) for k in range(40)])).collect()
+    assert {(r.doc_id % 2, r.spans) for r in got} == {(0, "account:5:32"), (1, "account:6:39")}

@@ -74,7 +74,7 @@ def spectral_embedding(spark, sf):
 
 @register("umap_layout")
 def umap_layout(spark, sf):
-    return layout.umap(bands(spark, sf), BAND_ROLES, 2)[0]
+    return layout.umap(bands(spark, sf), BAND_ROLES, 2, rounds=20)[0]
 
 
 @register("tsne_layout")

@@ -60,7 +60,7 @@ def categories(df: DataFrame, col: str, limit: int = MAX_DUMMIES) -> list[str]:
     """Sorted distinct values; refuses a column with more than ``limit`` of them."""
     rows = df.where(q(col).isNotNull()).groupBy(q(col)).count().select(q(col)).limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"{col!r} has more than {limit} values; use ordinal codes instead")
+        raise ValueError(f"{col!r} has more than {limit} values; use sparse_dummies, or pass a larger limit")
     return sorted(r[0] for r in rows)
 
 
@@ -78,13 +78,15 @@ class OneHot:
         return df.select(*kept, *made)
 
 
-def fit_one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False) -> OneHot:
-    return OneHot({c: tuple(categories(df, c)[1 if drop_first else 0:]) for c in cols})
+def fit_one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False, limit: int = MAX_DUMMIES) -> OneHot:
+    return OneHot({c: tuple(categories(df, c, limit)[1 if drop_first else 0:]) for c in cols})
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False) -> DataFrame:
-    """0/1 columns ``{column}_{value}`` in sorted value order; NULL gives all zeros."""
-    return fit_one_hot(df, cols, drop_first).transform(df)
+def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False, limit: int = MAX_DUMMIES) -> DataFrame:
+    """0/1 columns ``{column}_{value}`` in sorted value order; NULL gives all zeros.
+
+    A table has one column per value here: beyond ``limit`` values of a column use ``sparse.sparse_dummies``."""
+    return fit_one_hot(df, cols, drop_first, limit).transform(df)
 
 
 def code_table(df: DataFrame, col: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tabreg.functions.columns import numeric_columns
-from tabreg.operators import clean, encode, impute, reduce, rowstats, select, smooth, spectral, timeops, wrappers
+from tabreg.operators import clean, encode, impute, reduce, rowstats, select, smooth, sparse, spectral, timeops, wrappers
 from tabreg.operators.order import INDEX
 from tabreg.roles import Roles, select_roles
 
@@ -70,6 +70,9 @@ def encode_categories(df, roles, method="one_hot", drop_first=False):
     cats = [c for c in roles.categorical if df.schema[c].dataType.typeName() == "string"]
     if method == "label":
         return encode.label_encode(df, cats), roles.with_features(roles.features, ())
+    if method == "sparse":  # one vector column, for models that take vectors
+        kept = [c for c in roles.features if c not in cats]
+        return sparse.sparse_dummies(df, cats, drop_first), roles.with_features(kept, [c for c in roles.categorical if c not in cats])
     fitted = encode.fit_one_hot(df, cats, drop_first)
     names = [n for c in cats for n in fitted.names(c)]
     kept = [c for c in roles.features if c not in cats]

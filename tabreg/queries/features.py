@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabreg.operators import encode, evaluate, rowstats, select, spectral
+from tabreg.operators import encode, evaluate, rowstats, select, sparse, spectral
 from tabreg.queries.catalog import load, r, register, round_all
 from tabreg.roles import Roles
 
@@ -63,6 +63,18 @@ def one_hot_drop_first(spark, sf):
     return encode.one_hot(_priority(spark, sf), ["o_orderpriority"], drop_first=True)
 
 
+@register("one_hot_wide_vectors", """
+WITH n AS (SELECT count(DISTINCT o_orderkey) AS n, count(DISTINCT o_orderpriority) AS m FROM orders)
+SELECT o_orderkey, CAST(n + m AS INTEGER) AS size, CAST(dense_rank() OVER (ORDER BY 'O' || o_orderkey) - 1 AS INTEGER) AS first_place,
+ CAST(n + dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS second_place, 2.0::DOUBLE AS ones
+FROM orders, n""")
+def one_hot_wide_vectors(spark, sf):
+    df = load(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("O"), "o_orderkey").alias("name"), "o_orderpriority")
+    made = sparse.sparse_dummies(df, ["name", "o_orderpriority"]).select("o_orderkey", F.unwrap_udt("dummies").alias("v"))
+    return made.select("o_orderkey", "v.size", F.col("v.indices")[0].alias("first_place"), F.col("v.indices")[1].alias("second_place"),
+                       F.aggregate("v.values", F.lit(0.0), lambda a, b: a + b).alias("ones"))
+
+
 @register("label_encode_priority", """
 SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority FROM orders""")
 def label_encode_priority(spark, sf):

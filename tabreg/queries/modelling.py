@@ -8,6 +8,7 @@ from tabreg.models.ensembles import RandomForest
 from tabreg.models.leaderboard import leaderboard
 from tabreg.models.linear import LinearRegression, Ridge
 from tabreg.models.registry import make, tune
+from tabreg.models.wide import WideRidge
 from tabreg.operators import explain, impute, layout, lowess, neighbors, reduce, timeops, wrappers
 from tabreg.operators.evaluate import regression_metrics
 from tabreg.operators.split import train_test_split
@@ -698,3 +699,33 @@ def prepared_table(spark, sf):
     spec = (PipelineSpec().then("remove_by_threshold", col="p_retailprice", condition="greater than", threshold=1500.0)
             .then("impute_missing", method="mean").then("scale_features", kind="minmax"))
     return round_all(PipelineSpec.from_json(spec.to_json()).apply(df, roles)[0])
+
+
+# --- text features with any number of values ---------------------------------------------------------------
+
+@register("wide_ridge_customers", f"""
+WITH g AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY 1),
+ m AS (SELECT sum(t / (n + 1)) / sum(CAST(n AS DOUBLE) / (n + 1)) AS m FROM g)
+SELECT o_orderkey, o_custkey, {r('m + (t - n * m) / (n + 1)', 3)} AS prediction FROM orders JOIN g USING (o_custkey), m""")
+def wide_ridge_customers(spark, sf):
+    df = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("C"), "o_custkey").alias("customer"), "o_totalprice")
+    made = WideRidge(alpha=1.0).fit(df, ["customer"], "o_totalprice").predict(df)
+    return round_all(made.select("o_orderkey", "o_custkey", "prediction"), 3)
+
+
+@register("wide_ridge_optimality", """
+SELECT DISTINCT 'supplier' AS feature, 'S' || l_suppkey AS value, 0.0::DOUBLE AS gap FROM lineitem
+UNION ALL SELECT DISTINCT 'l_returnflag', l_returnflag, 0.0::DOUBLE FROM lineitem""")
+def wide_ridge_optimality(spark, sf):
+    """Gradient of the penalised squares at every value's coefficient, as a share of the target's sum: zero at the optimum."""
+    df = load(spark, sf, "lineitem").select("l_quantity", "l_discount", F.concat(F.lit("S"), "l_suppkey").alias("supplier"),
+                                            "l_returnflag", "l_extendedprice")
+    model = WideRidge(alpha=1.0).fit(df, ["l_quantity", "l_discount", "supplier", "l_returnflag"], "l_extendedprice")
+    made, out = model.predict(df), None
+    for c, effects in model.tables.items():
+        sums = made.groupBy(F.col(c).alias("value")).agg(F.sum(F.col("l_extendedprice") - F.col("prediction")).alias("e"),
+                                                         F.sum("l_extendedprice").alias("y"))
+        part = sums.join(effects.withColumnRenamed("code", "x"), "value").select(
+            F.lit(c).alias("feature"), "value", ((F.col("e") - F.col("x")) / F.col("y")).alias("gap"))
+        out = part if out is None else out.unionByName(part)
+    return round_all(out, 6)

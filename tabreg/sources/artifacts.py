@@ -17,6 +17,7 @@ from tabreg.models.iterative import Back, FittedBack, FourierMap
 from tabreg.models.kernels import FittedProcess, Kernel, LandmarkMap
 from tabreg.models.knn import FittedNeighbors
 from tabreg.models.trees import FittedTrees, Tree
+from tabreg.models.wide import FittedWide
 
 MAPS = {"fourier": FourierMap, "landmarks": LandmarkMap}
 
@@ -59,6 +60,10 @@ def save_model(spark: SparkSession, model: Fitted, folder: str, name: str) -> st
                  "intercept": model.intercept}
         if isinstance(model, FittedProcess):
             note |= {"kind": "process", "spread": _plain(model.spread), "scale": model.scale}
+    elif isinstance(model, FittedWide):
+        note |= {"kind": "wide", "numeric": model.numeric, "coef": model.coef, "intercept": model.intercept, "totals": model.totals}
+        for i, table in enumerate(model.tables.values()):
+            table.write.mode("overwrite").parquet(f"{path}/values{i}")
     elif isinstance(model, FittedBack):
         note |= {"kind": "back", "back": asdict(model.back)}
         save_model(spark, model.inner, path, "inner")
@@ -86,6 +91,10 @@ def load_model(spark: SparkSession, folder: str, name: str) -> Fitted:
     if kind in ("mapped", "process"):
         parts = features, _map_of(note), np.array(note["coef"]), note["intercept"]
         return FittedMapped(*parts) if kind == "mapped" else FittedProcess(*parts, np.array(note["spread"]), note["scale"])
+    if kind == "wide":
+        totals = {c: tuple(v) for c, v in note["totals"].items()}
+        tables = {c: spark.read.parquet(f"{path}/values{i}") for i, c in enumerate(totals)}
+        return FittedWide(note["numeric"], note["coef"], note["intercept"], tables, totals)
     if kind == "back":
         return FittedBack(load_model(spark, path, "inner"), Back(**note["back"]))
     stages = PipelineModel.load(f"{path}/stages").stages

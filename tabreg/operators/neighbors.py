@@ -301,12 +301,15 @@ def _routes(ask: DataFrame, boxes: Boxes, p: int, want: int, bound: str | None)
     return ask.select(*cols).mapInArrow(route, f"id {id_type}, vec array<double>, group int")
 
 
-def knn_graph(df: DataFrame, features: Sequence[str], row_id: str, k: int = 15, scaled: bool = True) -> DataFrame:
-    """(src, dst, rank, dist): the k nearest other rows of every row, on unit-variance features."""
+def knn_graph(df: DataFrame, features: Sequence[str], row_id: str, k: int = 15, scaled: bool = True,
+              small_donors: int = SMALL_DONORS) -> DataFrame:
+    """(src, dst, rank, dist): the k nearest other rows of every row, on unit-variance features.
+
+    Up to ``small_donors`` rows are sent whole to every task; more meet in the block join."""
     from tabreg.operators.encode import scale
 
     base = scale(df, list(features), "standard") if scaled else df
-    out = nearest(base, base, features, k, row_id, row_id, exclude_self=True)
+    out = nearest(base, base, features, k, row_id, row_id, exclude_self=True, small_donors=small_donors)
     return out.select(F.col("id").alias("src"), F.col("neighbor").alias("dst"), "rank", "dist")
 
 

@@ -58,11 +58,20 @@ WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(em
  g AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d)"""
 
 
-@register("knn_graph", SCALED_BANDS + f" SELECT src, dst, CAST(rank AS INTEGER) AS rank, {r('dist')} AS dist FROM g WHERE rank <= 15")
+KNN_GRAPH = SCALED_BANDS + f" SELECT src, dst, CAST(rank AS INTEGER) AS rank, {r('dist')} AS dist FROM g WHERE rank <= 15"
+
+
+@register("knn_graph", KNN_GRAPH)
 def knn_graph(spark, sf):
     return round_all(neighbors.knn_graph(bands(spark, sf), BANDS, "vec_id", 15))
 
 
+@register("knn_graph_by_blocks", KNN_GRAPH)
+def knn_graph_by_blocks(spark, sf):
+    """The block join that larger tables take."""
+    return round_all(neighbors.knn_graph(bands(spark, sf), BANDS, "vec_id", 15, small_donors=0))
+
+
 @register("fuzzy_graph")
 def fuzzy_graph(spark, sf):
     return reduce.fuzzy_graph(neighbors.knn_graph(bands(spark, sf), BANDS, "vec_id", 15))

@@ -99,3 +99,12 @@ def test_no_rows_and_missing_target(make):
     pdf.loc[3, "y"] = np.nan
     with pytest.raises(Exception, match="missing cells"):
         WideRidge().fit(make(pdf), ["x", "b"], "y")
+
+
+def test_step_of_a_plan(make):
+    from tabreg.plans.pipeline import PipelineSpec
+    from tabreg.roles import Roles
+
+    df = make(mixed(30))
+    table, roles = PipelineSpec().then("encode_categories", method="sparse").apply(df, Roles(["x", "a", "b"], "y", categorical=["a", "b"]))
+    assert list(roles.features) == ["x"] and "dummies" in table.columns and "a" not in table.columns and table.count() == 30

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,22 +64,28 @@ class SparseDummies:
     def transform(self, df: DataFrame, name: str = "dummies") -> DataFrame:
         """The text columns give way to one vector column of ``width`` places."""
         rest = [q(c) for c in df.columns if c not in self.tables]
-        df, parts = self.with_places(df), []
-        for i, c in enumerate(self.tables):
-            k = self.kept(c)
-            if not k:
-                continue
-            # the last category of the encoder stands for "no value" and is left out of its vectors
-            last = df.sparkSession.range(k, k + 1).select(F.col("id").cast("double").alias(f"{PLACE}{i}"))
-            encoder = OneHotEncoder(inputCol=f"{PLACE}{i}", outputCol=f"{PLACE}v{i}", dropLast=True).fit(last)
-            code = F.coalesce(F.col(f"{PLACE}{i}") - self.offsets[c], F.lit(k)).cast("double")
-            df = encoder.transform(df.withColumn(f"{PLACE}{i}", code))
-            parts.append(f"{PLACE}v{i}")
+        df, parts = self.with_places(df), sum(self.kept(c) > 0 for c in self.tables)
         if not parts:
             return df.select(*rest, array_to_vector(F.array().cast("array<double>")).alias(name))
-        if len(parts) == 1:
-            return df.select(*rest, F.col(parts[0]).alias(name))
-        return VectorAssembler(inputCols=parts, outputCol=f"{PLACE}v").transform(df).select(*rest, F.col(f"{PLACE}v").alias(name))
+        return df.select(*rest, _as_vector(_cells(self.places(), self.width, parts)).alias(name))
+
+
+# the cells are those of a vector already; an encoder or assembler would also keep a name of every place on the driver
+_as_vector = F.arrow_udf(lambda cells: cells, VectorUDT())
+
+
+def _cells(places: Sequence[Column], width: int, parts: int) -> Column:
+    """The cells of a vector with 1 at the places, in ascending order; several columns of few values take the dense form where it is
+    the shorter one, as Spark's own assembler does."""
+    indices = F.array_compact(F.array(*[p.cast("int") for p in places]))
+    sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(width).cast("int").alias("size"), indices.alias("indices"),
+                      F.transform(indices, lambda _: F.lit(1.0)).alias("values"))
+    if parts == 1 or 1.5 * (parts + 1) < width:
+        return sparse
+    every = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.array_contains(indices, k).cast("double"))
+    dense = F.struct(F.lit(1).cast("byte").alias("type"), F.lit(None).cast("int").alias("size"),
+                     F.lit(None).cast("array<int>").alias("indices"), every.alias("values"))
+    return F.when(1.5 * (F.size(indices) + 1) < width, sparse).otherwise(dense)
 
 
 def fit_sparse_dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = False) -> SparseDummies:

@@ -47,6 +47,33 @@ def test_missing_single_and_unseen_values(make, spark):
     assert [len(r["v"]) for r in bare.select(vector_to_array("dummies").alias("v")).collect()] == [0, 0, 0]
 
 
+def test_the_plan_names_no_places(make, monkeypatch):
+    """Names of the places would fill the driver: one per value, in the schema of every plan."""
+    df = make(mixed())
+    for small in (0, 1000):
+        monkeypatch.setattr(encode, "SMALL_CODE_TABLE", small)
+        got = sparse.sparse_dummies(df, ["a", "b", "c"])
+        assert not got.schema["dummies"].metadata and len(got.schema.json()) < 2_000
+        vectors = [r["dummies"] for r in got.collect()]
+        assert {v.size for v in vectors} == {2 + 7 + 25} and {len(v.indices) for v in vectors} == {2, 3}
+
+
+@pytest.mark.parametrize("cols", [["a"], ["a", "b"], ["a", "c"]])
+def test_forms_are_those_of_the_assembler(make, cols):
+    """Few places in all are dense, one column alone and many places sparse."""
+    from pyspark.ml.feature import VectorAssembler
+
+    df = make(mixed().assign(c=lambda t: t["c"].where(t["c"].isin(["c1", "c2"]), None)))
+    got = sparse.sparse_dummies(df, cols).orderBy("id")
+    parts = [f"v{i}" for i in range(len(cols))]
+    for i, c in enumerate(cols):
+        alone = sparse.sparse_dummies(df.select("id", c), [c], name=f"v{i}").withColumnRenamed("id", f"id{i}")
+        got = got.join(alone, F.col("id") == F.col(f"id{i}"))
+    want = VectorAssembler(inputCols=parts, outputCol="want").transform(got) if len(cols) > 1 else got.withColumn("want", F.col("v0"))
+    rows = want.select("dummies", "want").collect()
+    assert len(rows) == 300 and all(type(r["dummies"]) is type(r["want"]) and r["dummies"] == r["want"] for r in rows)
+
+
 def test_ridge_equals_the_dense_one(make):
     df = make(mixed())
     got = WideRidge(alpha=2.0).fit(df, ["x", "z", "a", "b", "c"], "y")

@@ -101,3 +101,49 @@ def test_id_types(make, spark):
     for small in (0, 1000):
         got = neighbors.nearest(df, df, list("abc"), 2, "name", "name", small_donors=small)
         assert got.where("rank = 1 AND id = neighbor").count() >= 45
+
+
+def wide_rows(n, seed, p=12, copies=40):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(n, p)) * 2) / 2  # exact in binary, so equal distances tie
+    x[:copies] = x[0]
+    return pd.DataFrame(x, columns=[f"c{j}" for j in range(p)]).assign(id=range(n))
+
+
+@pytest.mark.parametrize("small,share", [(0, 0.0), (0, 2.0), (10_000, 0.0)])
+@pytest.mark.parametrize("same", [False, True])
+def test_wide_rows_are_exact_without_plain_distances_of_all_pairs(make, monkeypatch, small, share, same):
+    for name, value in (("BLOCK_ROWS", 32), ("CHUNK_ROWS", 16), ("TILE_ROWS", 64), ("TASK_BLOCKS", 4), ("FEW_GROUPS", share)):
+        monkeypatch.setattr(neighbors, name, value)
+
+    def refuse(*_):
+        raise AssertionError("plain distances of a whole block")
+
+    monkeypatch.setattr(neighbors, "distances", refuse)
+    donors = wide_rows(500, 3)
+    queries = donors if same else wide_rows(90, 4)
+    cols = [c for c in donors.columns if c != "id"]
+    got = neighbors.nearest(make(queries), make(donors), cols, 5, "id", "id", payload="c1", exclude_self=same,
+                            small_donors=small).toPandas().sort_values(["id", "rank"])
+    want = brute(queries[cols].to_numpy(), donors[cols].to_numpy(), 5, skip=queries["id"].to_numpy() if same else None)
+    assert list(zip(got["id"], got["neighbor"])) == [(i, j) for i, j, _ in want]
+    np.testing.assert_array_equal(got["dist"], [d for _, _, d in want])
+    np.testing.assert_array_equal(got["value"].astype(float), donors["c1"].to_numpy()[got["neighbor"]])
+
+
+def test_near_equals_plain_distances_bit_by_bit():
+    rng = np.random.default_rng(9)
+    x, d = rng.normal(3e4, 1e-3, (60, 16)), rng.normal(3e4, 1e-3, (300, 16))  # far from the origin: products lose most digits
+    d[:50] = x[:50]
+    qid, did = np.arange(60), rng.permutation(300)
+    plain = neighbors.distances(x, d, 2)
+    plain[qid[:, None] == did[None]] = np.inf
+    order = np.lexsort((np.broadcast_to(did, plain.shape), plain), axis=1)[:, :7]
+    for within in (None, np.take_along_axis(plain, order, 1)[:, -1], np.full(60, np.inf)):
+        row, at, dist = neighbors._near(x, d, qid, did, 7, 2, True, within)
+        np.testing.assert_array_equal(at, order.ravel())
+        np.testing.assert_array_equal(row, np.repeat(qid, 7))
+        np.testing.assert_array_equal(dist, np.take_along_axis(plain, order, 1).ravel())
+    x[3, 2] = np.nan
+    d[5, 4] = np.inf
+    assert len(neighbors._near(x, d, qid, did, 7, 2, True)[0]) == 420

@@ -269,3 +269,15 @@ def test_mixed_is_even_and_repeatable():
     u = mixed(np.arange(20_000), 3, 4)
     assert (u == mixed(np.arange(20_000), 3, 4)).all() and 0 <= u.min() and u.max() < 1
     assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u, mixed(np.arange(20_000), 3, 5))[0, 1]) < 0.03
+
+
+def test_pieces_of_a_fit_hold_a_bounded_number_of_rows(spark, monkeypatch, tmp_path):
+    """A piece is held as objects; by bytes alone its rows grew with the table."""
+    from tabreg.models.ensembles import prepared
+    from tabreg.sources import storage
+
+    monkeypatch.setattr(storage, "PIECE_ROWS", 500)
+    rows = 500 * spark.sparkContext.defaultParallelism * 3
+    spark.range(rows).selectExpr("cast(id % 2 as double) AS flag", "cast(id as double) AS y").coalesce(1).write.parquet(str(tmp_path / "t"))
+    held = prepared(spark.read.parquet(str(tmp_path / "t")), ["flag"], "y").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert sum(held) == rows and max(held) <= 600

@@ -272,6 +272,14 @@ def _meet(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("rep", "met").alias("a"), F.greatest("rep", "met").alias("b")).distinct()
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose classes lie in different components."""
+    for c in "ab":
+        named = labels.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
+        pairs = pairs.join(named, F.col(c) == F.col(f"n{c}"), "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c)).drop(f"n{c}")
+    return pairs.filter("ca != cb").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
@@ -297,9 +305,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: float = 0.8) -
         return cut_lineage(pairs.join(facts("b"), F.col("b") == F.col("rb")).join(facts("a"), F.col("a") == F.col("ra"))
                            .filter(_possible(threshold)).select("a", "b"))
 
-    tried = judged(shared.filter("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), None)
+    # a class meets its first hub, then the hubs of its other buckets that this left in another component
+    to_hubs = shared.filter("hub < rep")
+    tried = judged(to_hubs.groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b")), None)
     links = cut_lineage(confirm(docs, tried, shingle, threshold))
     labels = components(links)
+    apart = _apart(to_hubs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), labels)
+    further = judged(apart, tried)
+    if further.limit(1).count():
+        tried = cut_lineage(tried.union(further))
+        links = cut_lineage(links.union(confirm(docs, further, shingle, threshold)))
+        labels = components(links)
     members = shared.select("key", "rep")
     for turn in range(ROUNDS):
         pairs = judged(_meet(members, labels, turn), tried)

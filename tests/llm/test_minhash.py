@@ -96,3 +96,9 @@ def test_sketches_judge_closely():
     h, ends = shingle_sets([" ".join(words[:300]), " ".join(words[200:500])], 1)
     _, sketch = signatures(h, ends)
     assert int(np.bitwise_count(sketch[0] ^ sketch[1]).sum()) > similar_bits(0.8)
+
+
+def test_only_pairs_between_components_go_to_the_other_hubs(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5), (6, 7)], "a long, b long")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)], "node long, component long")
+    assert sorted(tuple(r) for r in minhash._apart(pairs, labels).collect()) == [(1, 3), (6, 7)]

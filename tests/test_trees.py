@@ -281,3 +281,39 @@ def test_pieces_of_a_fit_hold_a_bounded_number_of_rows(spark, monkeypatch, tmp_p
     spark.range(rows).selectExpr("cast(id % 2 as double) AS flag", "cast(id as double) AS y").coalesce(1).write.parquet(str(tmp_path / "t"))
     held = prepared(spark.read.parquet(str(tmp_path / "t")), ["flag"], "y").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
     assert sum(held) == rows and max(held) <= 600
+
+
+def test_stored_rows_hold_many_rows(spark, data, monkeypatch):
+    """A scan meets a row per block, not a row per row of the table; blocks of any size give the same tree and predictions."""
+    x, y = data
+    wide = frame(spark, x, y, 1).select(*NAMES, "y")
+    stored = []
+    real = trees.cut_lineage
+    monkeypatch.setattr(trees, "cut_lineage", lambda df: stored.append(real(df)) or stored[-1])
+    monkeypatch.setattr(trees, "discard", lambda df: None)
+    found = {}
+    for most in (50, 65_536):
+        monkeypatch.setattr(trees, "BLOCK_ROWS", most)
+        stored.clear()
+        model = make("LGBMRegressor", n_estimators=3, min_child_samples=5).fit(wide, NAMES, "y")
+        assert {t.count() for t in stored} == {math.ceil(400 / most)}
+        found[most] = model.margin(x)
+        stored.clear()
+        whole = wide.na.fill(0.0)
+        make("ExtraTreeRegressor", max_depth=3).fit(whole, NAMES, "y")
+        assert {t.count() for t in stored} == {math.ceil(400 / most)}
+    assert np.allclose(found[50], found[65_536])
+
+
+def test_parted_rows_meet_their_leaves(data):
+    """Walking node by node finds each row's leaf, for values and for codes, and only of the nodes asked for."""
+    x = data[0]
+    t = Tree.of([(0, 5.0, 1, 2, 0, False, 1), (2, 10.0, 3, 4, 0, True, 1), (-1, 0.0, -1, -1, 1.0, False, 1), (-1, 0.0, -1, -1, 2.0, False, 1),
+                 (1, 2.0, 5, 6, 0, False, 1), (-1, 0.0, -1, -1, 3.0, False, 1), (-1, 0.0, -1, -1, 4.0, False, 1)])
+    plain = np.array([t.leaf_of(r[None]) for r in x]).ravel()
+    assert (t.leaf_of(x) == plain).all() and set(plain) == {2, 3, 5, 6}
+    codes = [np.where(np.isnan(c), 255, c).astype("u1") for c in x.T]
+    slots = np.array([-1, -1, -1, 0, -1, -1, 1])
+    for columns, missing in ((x.T, None), (codes, 255)):
+        got = {slot: rows.tolist() for slot, rows in t.parted(columns, slots, missing)}
+        assert got == {0: np.flatnonzero(plain == 3).tolist(), 1: np.flatnonzero(plain == 6).tolist()}

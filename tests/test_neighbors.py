@@ -54,6 +54,45 @@ def test_graph_leaves_the_row_itself_out(make, small):
     assert list(zip(got["id"], got["neighbor"])) == [(i, j) for i, j, _ in brute(x, x, 5, 2, range(len(x)))]
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_queries_that_lack_the_same_cell_meet_copies_of_what_is_compared_once(make, monkeypatch, exclude_self):
+    held = []
+    visit = neighbors._visit
+    monkeypatch.setattr(neighbors, "_visit", lambda asks, blocks, *rest: (
+        held.append(blocks.agg(F.sum(F.size("did"))).first()[0]), visit(asks, blocks, *rest))[1])
+    rng = np.random.default_rng(11)
+    donors = pd.DataFrame({"a": rng.integers(0, 6, 300) * 1.0, "b": rng.normal(size=300), "id": range(300)})
+    donors.loc[:9, "b"] = np.nan
+    queries = donors.head(60).assign(b=np.nan)
+    got = neighbors.nearest(make(queries), make(donors), ["a", "b"], 4, "id", "id", exclude_self=exclude_self,
+                            small_donors=0).toPandas().sort_values(["id", "rank"])
+    want = brute(queries[["a", "b"]].to_numpy(), donors[["a", "b"]].to_numpy(), 4, skip=range(60) if exclude_self else None)
+    assert list(zip(got["id"], got["neighbor"])) == [(i, j) for i, j, _ in want]
+    np.testing.assert_allclose(got["dist"], [d for _, _, d in want])
+    assert max(held) <= 6 * 5  # 6 values of a, k + 1 copies
+
+
+def test_a_block_that_many_ask_for_is_held_once_for_many_chunks(make, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 64), ("CHUNK_ROWS", 4), ("SHARE", 3)):
+        monkeypatch.setattr(neighbors, name, value)
+    fed = []
+    visit = neighbors._visit
+
+    def spy(asks, blocks, *rest):
+        assert asks.columns == ["group", "qid", "qx", "within"]
+        fed.append(asks.agg(F.max(F.size("qid"))).first()[0])
+        return visit(asks, blocks, *rest)
+
+    monkeypatch.setattr(neighbors, "_visit", spy)
+    rng = np.random.default_rng(12)
+    donors = pd.DataFrame(rng.normal(size=(500, 3)), columns=list("abc")).assign(id=range(500))
+    queries = donors.iloc[np.r_[np.full(150, 7), :40]].assign(id=range(190))  # most ask for the same place
+    got = neighbors.nearest(make(queries), make(donors), list("abc"), 4, "id", "id", small_donors=0).toPandas().sort_values(["id", "rank"])
+    want = brute(queries[list("abc")].to_numpy(), donors[list("abc")].to_numpy(), 4)
+    assert list(zip(got["id"], got["neighbor"])) == [(i, j) for i, j, _ in want]
+    assert max(v or 0 for v in fed) <= 4
+
+
 def test_too_many_patterns_switch_the_boxes_off(make, monkeypatch):
     monkeypatch.setattr(neighbors, "MAX_GROUPS", 3)
     donors, queries = table(120, 4, 0.4), table(20, 5, 0.4)

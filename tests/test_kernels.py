@@ -97,3 +97,27 @@ def test_models_are_saved_and_loaded(spark, data, tmp_path, name, settings):
     if name.startswith("Gaussian"):
         both = [m.predict_spread(df).agg(F.sum("deviation")).first()[0] for m in (model, again)]
         assert both[0] == pytest.approx(both[1])
+
+
+def test_mapped_rows_come_in_slices_and_predictions_skip_the_features(make):
+    import pandas as pd
+
+    from tabreg.models.base import FittedMapped
+    from tabreg.models.gram import MAPPED_CELLS, grams, total
+    from tabreg.models.kernels import Kernel, LandmarkMap
+
+    class Short(LandmarkMap):
+        def __call__(self, x):
+            assert len(x) <= max(256, MAPPED_CELLS // self.turn.shape[1]), "a whole batch at once"
+            return LandmarkMap.__call__(self, x)
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 2))
+    table = make(pd.DataFrame(x, columns=["a", "b"]).assign(y=x.sum(1)), 1)
+    made = LandmarkMap.of(np.zeros(2), np.ones(2), Kernel("rbf", 0.5), rng.normal(size=(300, 2)) * 3)
+    short = Short(made.mean, made.wide, made.kernel, made.landmarks, made.turn, made.sign)
+    g, phi = total(grams(table, ["a", "b"], "y", mapper=short)), made(x)
+    np.testing.assert_allclose(g.xx, phi.T @ phi, atol=1e-6)
+    coef = rng.normal(size=phi.shape[1])
+    got = FittedMapped(["a", "b"], short, coef, 2.0).predict(table).toPandas()
+    np.testing.assert_allclose(got["prediction"], made(got[["a", "b"]].to_numpy()) @ coef + 2.0, atol=1e-6)

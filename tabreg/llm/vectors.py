@@ -4,7 +4,9 @@ The index (list centres, code books) is fitted on at most about ``SAMPLE`` diffe
 vectors are one class. A class is assigned to its nearest centre; the residual's subspaces become one byte each, and the length of
 what the code loses is kept, so that the lookup distance gives a bound, not a guess: a member whose code lies farther than the
 search radius plus its own loss cannot be a neighbour. All lists are probed whose border with the query's own list is within the
-search radius, whatever direction a neighbour lies in, so no link is missed. What remains is decided by the cosine in double precision.
+search radius, whatever direction a neighbour lies in, so no link is missed. That border is the same seen from either list, so of two
+lists only one asks the other. Lookup distances of a block come from one product of the queries with the decoded members, in single
+precision with its rounding allowed for. What remains is decided by the cosine in double precision.
 
 Work is dealt in shelves of about ``SHELF`` members (several lists, or parts of a long one) against blocks of about ``QUERIES`` query
 classes; each pair of classes is looked at once. A task sends numbers of links per class and a forest of links, never all pairs.
@@ -83,16 +85,17 @@ class Index:
         """Which of ``lists`` each vector must visit."""
         reach = radius * min(1.0, PROBE / np.sqrt(x.shape[1]))
         here = ((x - self.centres[own]) ** 2).sum(1)[:, None]
-        border = _squares(x, self.centres[lists]) - here <= 2 * reach * self.gap[own][:, lists] + 1e-9
-        return border | (own[:, None] == lists[None, :])
+        a, b = own[:, None], lists[None, :]
+        border = _squares(x, self.centres[lists]) - here <= 2 * reach * self.gap[a, b] + 1e-9
+        turn = (a < b) == ((a + b) % 2 == 0)  # one of two lists asks the other, either as often as not
+        return border & turn | (a == b)
 
-    def lookup(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances from each query to the coded members of list ``at``."""
-        rest = x - self.centres[at]
-        total = np.zeros((len(x), len(codes)))
-        for k, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            total += _squares(rest[:, c], b)[:, codes[:, k]]
-        return total
+    def lookup(self, lists: np.ndarray, codes: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coded members as their codes give them back, and the product with a unit query from which on the lookup distance may be
+        ``within``: the bound allows for products in single precision."""
+        back = self.centres[lists] + np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], 1)
+        square = (back * back).sum(1)
+        return back.astype(np.float32), (1 + square - within ** 2) / 2 - (back.shape[1] + 4) * 2.0 ** -22 * (1 + square)
 
 
 def _unit(raw: list[bytes], kind: str, d: int) -> np.ndarray:
@@ -191,16 +194,20 @@ def _search(classes: DataFrame, d: int, kind: str, threshold: float, sample: int
         ca, cb = left.column("copies").to_numpy(), right.column("copies").to_numpy()
         la, lb = left.column("list").to_numpy(), right.column("list").to_numpy()
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(kb), -1)
-        most = (radius + right.column("lost").to_numpy() + 1e-9) ** 2
+        back, least = index.lookup(lb, codes, radius + right.column("lost").to_numpy() + 1e-9)
+        single = x.astype(np.float32)
         na, nb = np.zeros(len(ka), np.int64), np.zeros(len(kb), np.int64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         lists = np.unique(lb)
         visits = index.probes(x, la, lists, radius)
         for c, at in enumerate(lists.tolist()):
             there, asking = np.flatnonzero(lb == at), np.flatnonzero(visits[:, c])
+            coded, enough = back[there].T, least[there].astype(np.float32)[None, :]
             for s in range(0, len(asking), CHUNK):
                 q = asking[s:s + CHUNK]
-                link = (index.lookup(x[q], at, codes[there]) <= most[there][None, :]) & (ka[q][:, None] < kb[there][None, :])
+                link = single[q] @ coded >= enough
+                if (mine := np.flatnonzero(la[q] == at)).size:
+                    link[mine] &= ka[q[mine]][:, None] < kb[there][None, :]
                 i, j = np.nonzero(link)
                 if len(i) > link.size // 16:
                     link &= x[q] @ y[there].T >= threshold

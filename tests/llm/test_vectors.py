@@ -66,6 +66,24 @@ def test_exact_on_few_directions(spark, rank, clusters):
     assert got == brute(rows)
 
 
+def test_one_of_two_lists_asks_the_other():
+    """Whatever both could see of each other is looked up once, and neither list does all the asking."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = vectors.Index.fit(x, 400 * vectors.LIST_SIZE // 40)
+    every = np.arange(len(index.centres))
+    asks = np.zeros((len(every), len(every)), bool)
+    own, codes, lost = index.encode(x)
+    for c, row in zip(own, index.probes(x, own, every, 2.0), strict=True):
+        asks[c] |= row
+    assert len(every) == 10 and asks.diagonal().all() and not (asks & asks.T & ~np.eye(10, dtype=bool)).any()
+    assert (asks | asks.T).all() and 2 <= asks.sum(1).min() and asks.sum(1).max() <= 8
+    back, least = index.lookup(own, codes, lost + 0.4)
+    exact = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2) <= 0.16
+    assert exact.any() and (x.astype(np.float32) @ back.T >= least.astype(np.float32)[None, :])[exact].all()
+
+
 def test_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [1.0, nan]), (8, [float("inf"), 1.0]),

@@ -16,7 +16,7 @@ from tabreg.models.ensembles import FittedLog, FittedMedianTrees
 from tabreg.models.iterative import Back, FittedBack, FourierMap
 from tabreg.models.kernels import FittedProcess, Kernel, LandmarkMap
 from tabreg.models.knn import FittedNeighbors
-from tabreg.models.trees import FittedTrees, Tree
+from tabreg.models.trees import FittedTrees, Tree, trees_of_spark
 from tabreg.models.wide import FittedWide
 
 MAPS = {"fourier": FourierMap, "landmarks": LandmarkMap}
@@ -32,6 +32,17 @@ def _map_of(note: dict):
     return MAPS[note["map"]](**parts)
 
 
+def _save_trees(spark: SparkSession, trees, path: str) -> None:
+    nodes = pd.concat([pd.DataFrame({**asdict(t), "tree": i, "node": np.arange(len(t.feature))}) for i, t in enumerate(trees)])
+    spark.createDataFrame(nodes).write.mode("overwrite").parquet(f"{path}/nodes")
+
+
+def _load_trees(spark: SparkSession, path: str) -> list[Tree]:
+    nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])  # the model itself
+    columns = ["feature", "threshold", "left", "right", "value", "missing_left", "cover"]
+    return [Tree(*[g[c].to_numpy() for c in columns]) for _, g in nodes.groupby("tree")]
+
+
 def save_model(spark: SparkSession, model: Fitted, folder: str, name: str) -> str:
     """Write a model below ``folder``; an older one of the same name is replaced."""
     path = f"{folder.rstrip('/')}/{name}"
@@ -45,15 +56,14 @@ def save_model(spark: SparkSession, model: Fitted, folder: str, name: str) -> st
         inputs = VectorAssembler(inputCols=model.features, outputCol="__x", handleInvalid="error")
         PipelineModel([inputs, model.model.setFeaturesCol("__x")]).write().overwrite().save(f"{path}/stages")
     elif isinstance(model, FittedMedianTrees):
-        note |= {"kind": "median_trees", "weights": model.weights}
-        PipelineModel(list(model.models)).write().overwrite().save(f"{path}/stages")
+        note |= {"kind": "voting_trees", "weights": model.weights}
+        _save_trees(spark, model.trees, path)
     elif isinstance(model, FittedNeighbors):
         note |= {"kind": "neighbors", "options": model.options}
         model.train.write.mode("overwrite").parquet(f"{path}/rows")
     elif isinstance(model, FittedTrees):
         note |= {"kind": "trees", "weights": model.weights, "base": model.base, "link": model.link, "importances": model.importances}
-        nodes = pd.concat([pd.DataFrame({**asdict(t), "tree": i, "node": np.arange(len(t.feature))}) for i, t in enumerate(model.trees)])
-        spark.createDataFrame(nodes).write.mode("overwrite").parquet(f"{path}/nodes")
+        _save_trees(spark, model.trees, path)
     elif isinstance(model, FittedMapped):
         name_of = next(k for k, kind in MAPS.items() if isinstance(model.mapper, kind))
         note |= {"kind": "mapped", "map": name_of, "parts": _plain(asdict(model.mapper)), "coef": _plain(np.asarray(model.coef)),
@@ -83,11 +93,8 @@ def load_model(spark: SparkSession, folder: str, name: str) -> Fitted:
     if kind == "neighbors":
         return FittedNeighbors(spark.read.parquet(f"{path}/rows"), features, note["options"])
     if kind == "trees":
-        nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])  # the model itself
-        columns = ["feature", "threshold", "left", "right", "value", "missing_left", "cover"]
-        trees = [Tree(*[g[c].to_numpy() for c in columns]) for _, g in nodes.groupby("tree")]
         shares = note["importances"]
-        return FittedTrees(features, trees, note["weights"], note["base"], note["link"], None if shares is None else [shares[c] for c in features])
+        return FittedTrees(features, _load_trees(spark, path), note["weights"], note["base"], note["link"], None if shares is None else [shares[c] for c in features])
     if kind in ("mapped", "process"):
         parts = features, _map_of(note), np.array(note["coef"]), note["intercept"]
         return FittedMapped(*parts) if kind == "mapped" else FittedProcess(*parts, np.array(note["spread"]), note["scale"])
@@ -97,8 +104,10 @@ def load_model(spark: SparkSession, folder: str, name: str) -> Fitted:
         return FittedWide(note["numeric"], note["coef"], note["intercept"], tables, totals)
     if kind == "back":
         return FittedBack(load_model(spark, path, "inner"), Back(**note["back"]))
+    if kind == "voting_trees":
+        return FittedMedianTrees(features, _load_trees(spark, path), note["weights"])
     stages = PipelineModel.load(f"{path}/stages").stages
-    if kind == "median_trees":
-        return FittedMedianTrees(features, stages, note["weights"])
+    if kind == "median_trees":  # as saved before the trees were flat arrays
+        return FittedMedianTrees(features, [trees_of_spark(m, spark, features).trees[0] for m in stages], note["weights"])
     weights = note["importances"]
     return FittedSpark(features, stages[-1], None if weights is None else [weights[c] for c in features])

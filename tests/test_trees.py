@@ -305,6 +305,51 @@ def test_stored_rows_hold_many_rows(spark, data, monkeypatch):
     assert np.allclose(found[50], found[65_536])
 
 
+@pytest.mark.parametrize("levels", [3, 6])
+def test_adaboost_grows_the_trees_of_spark(spark, data, levels, tmp_path):
+    """Three rounds over blocks against weighted trees of Spark ML; no round meets a row of the table by itself."""
+    from pyspark.ml import regression as M
+
+    from tabreg.models import ensembles
+    from tabreg.models.base import assemble
+    from tabreg.sources.artifacts import load_model, save_model
+
+    x, y = np.nan_to_num(data[0]), data[1]
+    x[:, 2] += np.arange(400) / 1000  # more values than bins
+    wide = frame(spark, x, y, 3).select(*NAMES, "y")
+    stored, real = [], ensembles.cut_lineage
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ensembles, "cut_lineage", lambda df: stored.append(real(df)) or stored[-1])
+        patch.setattr(ensembles, "discard", lambda df: None)
+        model = make("AdaBoostRegressor", n_estimators=3, max_depth=levels).fit(wide, NAMES, "y")
+    assert [t.count() <= 3 for t in stored] == [True] * 3
+    w, votes, weights = np.ones(len(y)), [], []
+    for _ in range(3):
+        rows = spark.createDataFrame([(*map(float, r), float(t), float(v)) for r, t, v in zip(x, y, w, strict=True)], [*NAMES, "y", "w"])
+        tree = M.DecisionTreeRegressor(featuresCol="__x", labelCol="y", weightCol="w", maxDepth=levels, seed=42).fit(assemble(rows.coalesce(1), NAMES))
+        votes.append(trees.trees_of_spark(tree, spark, NAMES).trees[0].predict(x))
+        unit = np.abs(y - votes[-1]) / np.abs(y - votes[-1]).max()
+        mean = (w * unit).sum() / w.sum()
+        beta = mean / (1 - mean)
+        weights.append(np.log(1 / beta))
+        w = w / w.mean() * beta ** (1 - unit)
+    assert np.allclose(np.column_stack([t.predict(x) for t in model.trees]), np.column_stack(votes))
+    assert np.allclose(model.weights, weights)
+    save_model(spark, model, str(tmp_path), "boost")
+    got = load_model(spark, str(tmp_path), "boost").predict(wide).collect()
+    expect = [v[o][np.argmax(np.cumsum(np.array(weights)[o]) >= sum(weights) / 2)] for v in np.column_stack(votes) for o in [np.argsort(v)]]
+    assert np.allclose(sorted(r["prediction"] for r in got), sorted(expect))
+
+
+def test_weighted_cuts():
+    from tabreg.models.ensembles import weighted_cuts
+
+    assert weighted_cuts(np.array([3.0, 1.0, 1.0, 2.0]), np.ones(4), 32).tolist() == [1.5, 2.5]
+    assert weighted_cuts(np.arange(8.0), np.ones(8), 4).tolist() == [1.5, 3.5, 5.5]
+    assert weighted_cuts(np.arange(8.0), np.r_[np.ones(4), np.full(4, 5.0)], 2).tolist() == [5.5]
+    assert len(weighted_cuts(np.ones(5), np.ones(5), 32)) == 0
+
+
 def test_parted_rows_meet_their_leaves(data):
     """Walking node by node finds each row's leaf, for values and for codes, and only of the nodes asked for."""
     x = data[0]

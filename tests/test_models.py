@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabreg.models import iterative, linear
-from tabreg.models.gram import grams, total
+from tabreg.models.gram import Gram, fold_column, grams, total
 from tabreg.models.leaderboard import adjusted, leaderboard
 from tabreg.models.registry import REGRESSORS, SPACES, make as build, tune
 from tabreg.models.search import LogUniform, RandInt, Uniform, draw, random_search
@@ -91,6 +91,21 @@ def test_paths_end_at_least_squares(df):
         assert abs(coef[0] - 3) < 0.4 and abs(coef[1] + 2) < 0.2, name
 
 
+@pytest.mark.parametrize("name", ["ElasticNetCV", "LarsCV", "LassoCV", "LassoLarsCV", "OrthogonalMatchingPursuitCV"])
+def test_folds_reach_the_tasks(df, name):
+    """The fold column itself went to the tasks, and no cross-validated fit could start."""
+    fold = fold_column(df, 5)
+    rows = df.select(*NAMES, "y", fold.alias("fold")).toPandas()
+    plain = {}
+    for f, part in rows.groupby("fold"):
+        x, y, n = part[NAMES].to_numpy(), part["y"].to_numpy(), len(part)
+        plain[f] = Gram(n, x.sum(0), y.sum(), x.T @ x, x.T @ y, y @ y, np.zeros(4), 0.0)
+    want = build(name).from_blocks(plain, NAMES)
+    got = build(name).fit(df, NAMES, "y")
+    np.testing.assert_allclose([*got.coef, got.intercept], [*want.coef, want.intercept], rtol=1e-5, atol=1e-6)
+    assert {f: g.n for f, g in grams(df, NAMES, "y", fold).items()} == {f: g.n for f, g in plain.items()} and len(plain) == 5
+
+
 def test_path_against_elastic_net_on_correlated_columns():
     rng = np.random.default_rng(3)
     z = rng.normal(size=(400, 6))

@@ -58,3 +58,19 @@ def test_permutation_importance_uses_all_repeats(spark, monkeypatch):
     monkeypatch.setattr(explain, "permutation_importance", lambda m, df, y, ids, n=10, seed=42: seen.append(n) or real(m, df, y, ids, n, seed))
     entry_points.queries()["permutation_importance"](spark, FOLDER)
     assert seen == [10]
+
+
+def test_extra_trees_are_registered_with_their_defaults(spark, monkeypatch):
+    """20 trees of depth 6 were fitted, of 100 of depth 10."""
+    from tabreg.models.trees import ExtraTrees
+
+    seen = []
+
+    def fit(self, df, features, target):
+        seen.append((self.params, df.count()))
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(ExtraTrees, "fit", fit)
+    with pytest.raises(RuntimeError, match="seen"):
+        entry_points.queries()["fit_ExtraTreesRegressor"](spark, FOLDER)
+    assert seen == [(ExtraTrees.defaults, spark.read.parquet(f"{FOLDER}/lineitem.parquet").count())]
